@@ -5,6 +5,7 @@ from flowlens.catalog import (  # noqa: F401
     evaluation_queries,
     feature_queries,
     label_queries,
+    model_queries,
     profile_queries,
     sampling_queries,
     source_queries,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +105,32 @@ def binary_log_loss(df: DataFrame, flag: str, probability: str, eps: float = 1e-
     """Cross-entropy of a 0/1 label and the probability of 1."""
     p = F.when(column(flag) == 1, column(probability)).otherwise(1 - column(probability))
     return df.agg((-F.avg(F.log(F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))))).alias("log_loss"))
+
+
+def one_hot_report(df: DataFrame, truths: dict[str, str], predictions: dict[str, str]) -> DataFrame:
+    """Per class, the scores of its 0/1 prediction column against its 0/1 truth column."""
+    cells = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(c).alias("class"), column(truths[c]).cast("int").alias("t"), column(predictions[c]).cast("int").alias("p"))
+                for c in truths
+            ]
+        )
+    )
+    both = (F.col("t") == 1) & (F.col("p") == 1)
+    sums = df.select(cells.alias("c")).select("c.*").groupBy("class").agg(
+        F.count_if(both).alias("hits"), F.count_if(F.col("p") == 1).alias("predicted"), F.count_if(F.col("t") == 1).alias("support")
+    )
+    hits, predicted, support = F.col("hits"), F.col("predicted"), F.col("support")
+    return sums.select(
+        "class",
+        _ratio(hits, predicted).alias("precision"),
+        _ratio(hits, support).alias("recall"),
+        _ratio(2 * hits, support + predicted).alias("f1"),
+        "support",
+    )
+
+
+def auc_of(scored: DataFrame, flag: str = "flag") -> float:
+    """Area under the ROC curve of a fitted classifier's raw scores, over all distinct scores."""
+    return BinaryClassificationEvaluator(labelCol=flag, rawPredictionCol="rawPrediction", numBins=0).evaluate(scored)
