@@ -27,7 +27,7 @@ from flowlens.sources.models import load_model, save_model
 
 _MERGED = """m AS (SELECT * REPLACE (CASE WHEN label LIKE 'Web Attack%' THEN 'Web-Attack' ELSE label END AS label) FROM wide)"""
 _SMALL = fo.ForestSize(trees=20, depth=8)
-_NET = nn.Training(rounds=6, iterations=15, patience=2)
+_NET = nn.Training(rounds=4, iterations=12, patience=2)
 _AUTO = ae.Training(epochs=8, rate=0.005, patience=3)
 
 

@@ -34,7 +34,7 @@ def random_split(df: DataFrame, keys: list[str], weights: dict[str, float], seed
     return df.withColumn("_drawn", drawn).withColumn("split", chosen.otherwise(F.lit(last))).drop("_drawn")
 
 
-def rank_cuts(df: DataFrame, key: str, quotas: list[Column], seed: int, label: str = "label") -> DataFrame:
+def rank_cuts(df: DataFrame, key: str, quotas: list[Column], seed: int | str, label: str = "label") -> DataFrame:
     """For each class and quota q, the draw key of the q-th smallest row of that class.
 
     ``quotas`` are column expressions over ``n``, the size of the class. Returns
@@ -92,8 +92,12 @@ def stratified_split(
 def sample_by_class(
     df: DataFrame, key: str, fractions: dict[str, float], seed: int, label: str = "label"
 ) -> DataFrame:
-    """Keep each row with its class's fraction; classes not named are kept whole."""
-    drawn = draw_key(seed, column(key))
+    """Keep each row with its class's fraction; classes not named are kept whole.
+
+    The draw is independent of the one a split with the same seed makes, so thinning a table
+    and then splitting it leaves both parts thinned alike.
+    """
+    drawn = draw_key(f"{seed}-sample", column(key))
     kept = F.lit(True)
     for name, fraction in fractions.items():
         kept = F.when(column(label) == F.lit(name), drawn_below(drawn, fraction)).otherwise(kept)

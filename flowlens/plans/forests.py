@@ -33,7 +33,7 @@ from flowlens.operators.features import assembler
 from flowlens.operators.profile import dedupe_rows, label_counts
 from flowlens.operators.sampling import random_split, stratified_split, thin_benign
 from flowlens.operators.smote import smote
-from flowlens.runtime import bounded_rows, column, materialise
+from flowlens.runtime import bounded_rows, column, materialise, spread
 
 # Deeper trees are refused by the library.
 DEEPEST = 30
@@ -98,7 +98,8 @@ def fit_regressor(train: DataFrame, features: list[str], label: str, size: Fores
 
 
 def _fit(train: DataFrame, stages: list, names: list[str]) -> tuple[PipelineModel, float]:
-    held = train.select(*[column(n) for n in names]).persist(StorageLevel.MEMORY_AND_DISK)
+    work = stages[-1].getNumTrees()
+    held = spread(train.select(*[column(n) for n in names]), work).persist(StorageLevel.MEMORY_AND_DISK)
     start = time.monotonic()
     try:
         return Pipeline(stages=stages).fit(held), time.monotonic() - start
@@ -120,13 +121,16 @@ def fit_attack(
     df: DataFrame,
     attack: str,
     features: list[str],
-    size: ForestSize = ForestSize(),
+    size: ForestSize = ForestSize(bins=256),
     shares: dict[str, float] | None = None,
     seed: int = 200,
     label: str = "label",
 ) -> Fitted:
     """One attack against every other label, benign included, on the attack's own features.
 
+    A rare attack often sits in the last fraction of a percent of a feature, which few bins of
+    equal frequency cannot cut off; hence many bins.
+
     Copies are dropped first, so the split goes by the content of the rows: a distinct row is
     its own key.
     """
@@ -142,7 +146,9 @@ def fit_attack(
     return Fitted(model, clean.where("split = 'test'").drop("split"), seconds)
 
 
-def fit_attacks(df: DataFrame, dictionary: dict[str, list[str]], size: ForestSize = ForestSize(), **more) -> dict[str, Fitted]:
+def fit_attacks(
+    df: DataFrame, dictionary: dict[str, list[str]], size: ForestSize = ForestSize(bins=256), **more
+) -> dict[str, Fitted]:
     """``fit_attack`` for every attack of the dictionary."""
     return side_by_side(df.sparkSession, {a: (lambda a=a, fs=fs: fit_attack(df, a, fs, size, **more)) for a, fs in dictionary.items()})
 
@@ -282,7 +288,7 @@ def fit_smote_regression(
     """Regression on the label code of an oversampled training table."""
     grown = smote(train, key, features, ratio=ratio, seed=seed, label=label)
     coded = grown.select(*[column(f) for f in features], code_by_list(column(label), classes).cast("double").alias("code"))
-    return fit_regressor(coded, features, "code", size)[0]
+    return fit_regressor(materialise(coded, "oversampled"), features, "code", size)[0]
 
 
 def fit_code_regression(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from flowlens.fixed_values import CLASSIFIER_WIDTHS
 from flowlens.functions.draws import uniform
 from flowlens.operators.features import assembler
-from flowlens.runtime import column
+from flowlens.runtime import column, spread
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,7 @@ class Training:
     iterations: int = 20
     patience: int = 20
     min_delta: float = 1e-4
+    tolerance: float = 1e-5
     seed: int = 1
     block: int = 1024
 
@@ -78,14 +79,12 @@ def fit_network(
             StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
         ]
     ).fit(train)
-    held = [
-        prepare.transform(t).select("features", column(code).cast("double").alias(code)).persist(StorageLevel.MEMORY_AND_DISK)
-        for t in (train, valid)
-    ]
+    held = [prepare.transform(t).select("features", column(code).cast("double").alias(code)) for t in (train, valid)]
+    held = [spread(t, 200).persist(StorageLevel.MEMORY_AND_DISK) for t in held]
     layers = [len(features), *(widths if widths is not None else CLASSIFIER_WIDTHS), classes]
     learner = MultilayerPerceptronClassifier(
         layers=layers, labelCol=code, featuresCol="features", maxIter=training.iterations, seed=training.seed,
-        blockSize=training.block,
+        blockSize=training.block, tol=training.tolerance,
     )
     judge = MulticlassClassificationEvaluator(labelCol=code, metricName="logLoss")
     best, best_loss, losses, stale = None, float("inf"), [], 0

@@ -42,6 +42,20 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, work: int) -> DataFrame:
+    """More partitions for heavy computation on a table that has fewer of them than there are cores.
+
+    ``work`` is a rough cost per row; about 250,000 units make a partition. A table with as
+    many partitions as cores, as any large one has, is neither counted nor shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    if have >= cores:
+        return df
+    wanted = min(cores, 1 + df.count() * work // 250_000)
+    return df.repartition(wanted) if wanted > have else df
+
+
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` unchanged.
 

@@ -1,5 +1,5 @@
 """All inputs of this project are bounded tables, so there is no streaming job here.
 
 The row-wise functions (cleaning, label encoding, scoring) are plain projections and filters
-and accept a streaming DataFrame unchanged; ``tests/test_streaming.py`` checks that.
+and accept a streaming DataFrame unchanged; ``tests/test_plans.py`` checks that.
 """
