@@ -123,11 +123,11 @@ def head_rows(spark, sf_dir):
 @query(
     "append_columns",
     f"""{WITH_FLOWS} SELECT flow_id, f_value, label,
-    CASE WHEN label IS NULL THEN NULL WHEN label = 'BENIGN' THEN 1 ELSE 0 END AS benign FROM flows""",
+    CASE WHEN label IS NULL THEN -1 WHEN label = 'BENIGN' THEN 1 ELSE 0 END AS benign FROM flows""",
 )
 def append_columns_query(spark, sf_dir):
     df = flows(spark, sf_dir)
-    codes = df.select("flow_id", "label", benign_flag(F.col("label")).alias("benign"))
+    codes = df.select("flow_id", "label", F.coalesce(benign_flag(F.col("label")), F.lit(-1)).alias("benign"))
     return append_columns(df.select("flow_id", "f_value"), codes, "flow_id")
 
 

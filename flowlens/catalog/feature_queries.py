@@ -173,8 +173,4 @@ def pca_covariance(spark, sf_dir):
 
 @query("rfe")
 def rfe(spark, sf_dir):
-    df = _coded(spark, sf_dir).persist()
-    try:
-        return f.eliminate(df, WIDE_FEATURES, "code", keep=18, iterations=20)
-    finally:
-        df.unpersist()
+    return f.eliminate(_coded(spark, sf_dir), WIDE_FEATURES, "code", keep=18, iterations=20)

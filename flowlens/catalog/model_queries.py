@@ -327,7 +327,7 @@ def pca_anomaly(spark, sf_dir):
 
 @query(
     "pca_anomaly_complete",
-    f"{WITH_CLEAN} SELECT flow_id, 0.0 AS error FROM clean",
+    f"{WITH_CLEAN} SELECT flow_id, CAST(0 AS DOUBLE) AS error FROM clean",
 )
 def pca_anomaly_complete(spark, sf_dir):
     """With as many components as features nothing is left of any row."""

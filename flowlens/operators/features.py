@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -113,7 +114,11 @@ def tree_importance(
         labelCol=code, featuresCol="features", numTrees=trees, maxDepth=depth, bootstrap=False,
         featureSubsetStrategy="sqrt", seed=seed,
     )
-    model = Pipeline(stages=[assembler(features), forest]).fit(df).stages[-1]
+    held = df.select(column(code), *[column(f) for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = Pipeline(stages=[assembler(features), forest]).fit(held).stages[-1]
+    finally:
+        held.unpersist()
     rows = list(zip(features, [float(v) for v in model.featureImportances.toArray()]))
     return df.sparkSession.createDataFrame(rows, "feature string, score double")
 
@@ -144,16 +149,22 @@ def eliminate(
     """``feature, rank, selected``: recursive elimination by logistic regression.
 
     Each round refits on the features left and drops the ``step`` with the smallest sum of
-    squared coefficients over the classes. The caller should pass a persisted table.
+    squared coefficients over the classes. The table is held for the whole of it.
     """
+    held = df.select(column(code), *[column(f) for f in features]).persist(StorageLevel.MEMORY_AND_DISK)
     left, dropped = list(features), []
-    while len(left) > keep:
-        regression = LogisticRegression(labelCol=code, featuresCol="features", maxIter=iterations, standardization=False)
-        model = Pipeline(stages=[assembler(left), regression]).fit(df.select(column(code), *[column(f) for f in left]))
-        weight = (model.stages[-1].coefficientMatrix.toArray() ** 2).sum(axis=0)
-        worst = sorted(range(len(left)), key=lambda j: (weight[j], left[j]))[: min(step, len(left) - keep)]
-        dropped.append([left[j] for j in worst])
-        left = [f for j, f in enumerate(left) if j not in set(worst)]
+    try:
+        while len(left) > keep:
+            regression = LogisticRegression(
+                labelCol=code, featuresCol="features", maxIter=iterations, standardization=False
+            )
+            model = Pipeline(stages=[assembler(left), regression]).fit(held)
+            weight = (model.stages[-1].coefficientMatrix.toArray() ** 2).sum(axis=0)
+            worst = sorted(range(len(left)), key=lambda j: (weight[j], left[j]))[: min(step, len(left) - keep)]
+            dropped.append([left[j] for j in worst])
+            left = [f for j, f in enumerate(left) if j not in set(worst)]
+    finally:
+        held.unpersist()
     ranks = {f: 1 for f in left}
     for distance, names in enumerate(reversed(dropped), start=2):
         ranks.update({f: distance for f in names})

@@ -7,9 +7,10 @@ they are. Each class is cut along that direction into slabs of about equal size:
 2. only points whose bound reaches past their slab visit the slabs it reaches;
 3. the best of all visits are the exact neighbours.
 
-Copies of a point are collapsed first, so neither a large class nor a point repeated in a third
-of all rows lands in one task. A task holds one slab and one chunk of visitors, both of bounded
-size, and returns k rows per point, never pairs.
+Copies of a point are collapsed first, and a slab that many points share because their
+projections are equal is dealt out over several parts, so neither a large class nor a point
+repeated in a third of all rows lands in one task. A task holds one part of a slab and one
+chunk of visitors, both of bounded size, and returns k rows per point, never pairs.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from flowlens.runtime import bounded_rows, column, materialise
+from flowlens.runtime import bounded_rows, column, materialise, small_side
 
 _CANDIDATES = "array<struct<d2 double, id bigint, x array<double>>>"
 _MAX_EDGES = 10_000
+# Distances held at a time by one task.
+_BLOCK_CELLS = 4_000_000
 
 
-def _nearest(points: np.ndarray, others: np.ndarray, ids: np.ndarray, k: int, block: int = 512) -> list[list[tuple]]:
+def _nearest(points: np.ndarray, others: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple]]:
     """For each point, the k nearest of ``others`` by (squared distance, id)."""
-    found = []
+    found, block = [], max(1, _BLOCK_CELLS // max(1, len(others)))
     for start in range(0, len(points), block):
         part = points[start : start + block]
         d2 = np.zeros((len(part), len(others)))
@@ -52,7 +55,7 @@ def _matrix(column_of_arrays: pd.Series) -> np.ndarray:
 
 
 def nearest_in_class(
-    df: DataFrame, key: str, features: list[str], k: int = 5, label: str = "label", slab_rows: int = 2048
+    df: DataFrame, key: str, features: list[str], k: int = 5, label: str = "label", slab_rows: int = 8192
 ) -> DataFrame:
     """``class, x, near``: for every distinct point its ``k + 1`` nearest rows of the same class.
 
@@ -86,6 +89,12 @@ def nearest_in_class(
         return pd.Series(out)
 
     slabbed = points.withColumn("slab", slab_of("class", "p"))
+    crowded = _crowded(slabbed, slab_rows)
+    slabbed = (
+        slabbed.join(crowded, ["class", "slab"], "left")
+        .withColumn("part", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int"))
+        .drop("parts")
+    )
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
         others, ids = _matrix(group["x"]), group["id"].to_numpy()
@@ -96,6 +105,7 @@ def nearest_in_class(
             {
                 "class": firsts["class"].to_numpy(),
                 "slab": firsts["slab"].to_numpy(),
+                "part": firsts["part"].to_numpy(),
                 "x": firsts["x"].to_numpy(),
                 "p": firsts["p"].to_numpy(),
                 "reach": reach,
@@ -103,13 +113,13 @@ def nearest_in_class(
             }
         )
 
-    own = slabbed.groupBy("class", "slab").applyInPandas(
-        inside, f"class string, slab int, x array<double>, p double, reach double, near {_CANDIDATES}"
+    own = slabbed.groupBy("class", "slab", "part").applyInPandas(
+        inside, f"class string, slab int, part int, x array<double>, p double, reach double, near {_CANDIDATES}"
     )
-    if all(len(e) == 0 for e in edges.values()):
+    if all(len(e) == 0 for e in edges.values()) and crowded.isEmpty():
         return own.select("class", "x", "near")
     own = materialise(own, "own-slab")
-    visits = _visits(own, slab_of)
+    visits = _visits(own, slab_of, crowded)
     return _merge(own, _visited(visits, slabbed, keep, slab_rows), keep)
 
 
@@ -129,35 +139,46 @@ def _slab_edges(points: DataFrame, slab_rows: int) -> dict[str, np.ndarray]:
     return edges
 
 
-def _visits(own: DataFrame, slab_of) -> DataFrame:
-    """One row per point and foreign slab its reach touches."""
+def _crowded(slabbed: DataFrame, slab_rows: int) -> DataFrame:
+    """``class, slab, parts`` for slabs far above their intended size; usually none."""
+    sizes = slabbed.groupBy("class", "slab").agg(F.count(F.lit(1)).alias("n"))
+    over = sizes.where(F.col("n") > 4 * slab_rows)
+    return small_side(over.select("class", "slab", F.ceil(F.col("n") / slab_rows).cast("int").alias("parts")))
+
+
+def _visits(own: DataFrame, slab_of, crowded: DataFrame) -> DataFrame:
+    """One row per point and foreign part of a slab that its reach touches."""
     # Widened a little so that rounding in the projection cannot hide a true neighbour.
     slack = F.col("reach") * 1e-9 + F.abs("p") * 1e-9 + 1e-9
     low, high = F.col("p") - F.col("reach") - slack, F.col("p") + F.col("reach") + slack
     touched = own.select(
-        "class", "slab", "x", slab_of("class", low).alias("from"), slab_of("class", high).alias("to")
-    ).where("from < slab or to > slab")
+        "class", "x", F.struct("slab", "part").alias("home"), slab_of("class", low).alias("from"), slab_of("class", high).alias("to")
+    )
+    slabs = touched.select("class", "x", "home", F.explode(F.sequence("from", "to")).alias("slab"))
+    last = F.coalesce("parts", F.lit(1)) - 1
     return (
-        touched.select("class", "x", F.col("slab").alias("home"), F.explode(F.sequence("from", "to")).alias("slab"))
-        .where("slab <> home")
+        slabs.join(crowded, ["class", "slab"], "left")
+        .select("class", "x", "home", "slab", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+        .where(F.struct("slab", "part") != F.col("home"))
         .drop("home")
     )
 
 
 def _visited(visits: DataFrame, slabbed: DataFrame, keep: int, chunk_rows: int) -> DataFrame:
     """Neighbours found in foreign slabs; a slab with many visitors is served to chunks of them."""
-    demand = visits.groupBy("class", "slab").agg(F.count(F.lit(1)).alias("n"))
-    chunks = demand.select("class", "slab", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
-    guests = visits.join(chunks, ["class", "slab"]).withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
-    hosts = slabbed.join(chunks, ["class", "slab"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    at = ["class", "slab", "part"]
+    demand = visits.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
+    chunks = demand.select(*at, F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    guests = visits.join(chunks, at).withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
+    hosts = slabbed.join(chunks, at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def serve(guest: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         if guest.empty or host.empty:
-            return pd.DataFrame({"class": [], "x": [], "near": []})
+            return pd.DataFrame({"class": [], "x": [], "near": []}, dtype=object)
         near = _nearest(_matrix(guest["x"]), _matrix(host["x"]), host["id"].to_numpy(), keep)
         return pd.DataFrame({"class": guest["class"].to_numpy(), "x": guest["x"].to_numpy(), "near": near})
 
-    where = ["class", "slab", "chunk"]
+    where = [*at, "chunk"]
     return (
         guests.select(*where, "x")
         .groupBy(*where)

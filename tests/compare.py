@@ -19,13 +19,13 @@ def connect(sf_dir: str):
 
 def _cell(value):
     if value is None:
-        return (0, "")
+        return (0, "", 0)
     if isinstance(value, bool):
-        return (1, float(value))
+        return (1, float(value), 1)
     if isinstance(value, (int, float)) or type(value).__name__ == "Decimal":
         number = float(value)
-        return (2, "nan") if math.isnan(number) else (1, number)
-    return (3, str(value))
+        return (2, "nan", 0) if math.isnan(number) else (1, number, math.copysign(1, number))
+    return (3, str(value), 0)
 
 
 def rows_of(names, rows):

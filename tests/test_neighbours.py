@@ -35,6 +35,16 @@ def test_neighbours_equal_brute_force(spark, slab_rows, seed):
         assert [j for j in own if j != i][:5] == want[i]
 
 
+def test_one_crowded_slab_is_dealt_out(spark):
+    """A feature that dwarfs the other makes almost all projections equal."""
+    rng = random.Random(9)
+    rows = [(i, "a", 5e7 if i % 9 else -5e7, rng.random() * 1e-9) for i in range(400)]
+    df = spark.createDataFrame(rows, "flow_id bigint, label string, u double, v double")
+    found = {tuple(r["x"]): [n["id"] for n in r["near"]] for r in nearest_in_class(df, "flow_id", ["u", "v"], 5, slab_rows=20).collect()}
+    want = _brute(rows, 5)
+    assert all([j for j in found[tuple(x)] if j != i][:5] == want[i] for i, _, *x in rows)
+
+
 def test_fewer_rows_than_neighbours(spark):
     df = spark.createDataFrame([(1, "a", 0.0), (2, "a", 1.0), (3, "b", 5.0)], "flow_id bigint, label string, u double")
     found = {tuple(r["x"]): [n["id"] for n in r["near"]] for r in nearest_in_class(df, "flow_id", ["u"], 5).collect()}
