@@ -222,23 +222,30 @@ def _binary_parts(spark, sf_dir) -> DataFrame:
 
 @query("early_stopping")
 def early_stopping(spark, sf_dir):
-    """Validation loss round by round and the round whose weights were kept."""
+    """Validation loss and scores round by round, and the round whose weights were kept."""
     parts = _binary_parts(spark, sf_dir)
-    training = nn.Training(rounds=12, iterations=5, patience=3)
+    training = nn.Training(rounds=8, iterations=5, patience=3)
+    seen = []
     network = nn.fit_network(
-        parts.where("split = 'train'"), parts.where("split = 'valid'"), WIDE_FEATURES, "code", 2, [20], training
+        parts.where("split = 'train'"), parts.where("split = 'valid'"), WIDE_FEATURES, "code", 2, [20], training,
+        lambda number, scored: seen.append(nn.round_scores(scored, "code", 2)),
     )
-    rows = [(i, loss, int(i == network.best_round)) for i, loss in enumerate(network.losses)]
-    return spark.createDataFrame(rows, "round int, loss double, kept int")
+    names = ["precision", "recall", "f1", "average_precision"]
+    rows = [
+        (i, loss, *[float(seen[i][n]) for n in names], int(i == network.best_round)) for i, loss in enumerate(network.losses)
+    ]
+    scores = ", ".join(f"{n} double" for n in names)
+    return spark.createDataFrame(rows, f"round int, loss double, {scores}, kept int")
 
 
 @query("width_sweep")
 def width_sweep(spark, sf_dir):
     parts = _binary_parts(spark, sf_dir)
     training = nn.Training(rounds=3, iterations=10, patience=2)
-    candidates = {"narrow": [10], "wide": [50], "deep": [20, 20]}
-    return nn.sweep_widths(
-        parts.where("split = 'train'"), parts.where("split = 'valid'"), WIDE_FEATURES, "code", 2, candidates, training
+    slow = nn.Training(rounds=3, iterations=10, patience=2, solver="gd", step=0.002)
+    candidates = {"narrow": ([10], training), "wide": ([50], training), "deep": ([20, 20], training), "slow": ([10], slow)}
+    return nn.sweep_networks(
+        parts.where("split = 'train'"), parts.where("split = 'valid'"), WIDE_FEATURES, "code", 2, candidates
     )
 
 

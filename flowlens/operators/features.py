@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, Bucketizer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +20,39 @@ def label_means(df: DataFrame, features: list[str], label: str = "label") -> Dat
     return means.unpivot([label], features, "feature", "score")
 
 
-def joint_counts(df: DataFrame, features: list[str], label: str = "label", bins: int = 32) -> DataFrame:
-    """``feature, bin, label, n`` over equal-width bins between each feature's extremes.
+def joint_counts(
+    df: DataFrame, features: list[str], label: str = "label", bins: int = 32, by_rank: bool = False
+) -> DataFrame:
+    """``feature, bin, label, n`` over bins of equal width, or of about equal frequency with ``by_rank``.
 
-    One pass for the extremes, one for the counts of all features together: rows are unpivoted
+    Bins by rank suit heavy-tailed features, of which equal widths see little but the tail.
+    One pass finds the borders of all features, one counts them together: rows are unpivoted
     inside each task and counted before the shuffle, so what is shuffled is bounded by
     features x bins x classes. A missing value is a bin of its own, -1.
     """
+    binned = _rank_bins(df, features, label, bins) if by_rank else _width_bins(df, features, label, bins)
+    long = binned.unpivot(["label"], [column(f) for f in features], "feature", "bin")
+    return long.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rank_bins(df: DataFrame, features: list[str], label: str, bins: int) -> DataFrame:
+    usable = [F.when(~F.isnan(column(f).cast("double")), column(f).cast("double")) for f in features]
+    grid = [i / bins for i in range(1, bins)]
+    borders = df.agg(*[F.percentile_approx(u, grid, 10_000).alias(f"b{i}") for i, u in enumerate(usable)]).first()
+    infinite = float("inf")
+    splits = [[-infinite, *sorted({b for b in (borders[i] or [0.0]) if abs(b) != infinite} or {0.0}), infinite] for i in range(len(features))]
+    named = df.select(column(label).alias("label"), *[u.alias(f"x{i}") for i, u in enumerate(usable)])
+    cut = Bucketizer(
+        splitsArray=splits,
+        inputCols=[f"x{i}" for i in range(len(features))],
+        outputCols=[f"bin{i}" for i in range(len(features))],
+        handleInvalid="keep",
+    ).transform(named)
+    found = [F.when(F.col(f"x{i}").isNull(), -1).otherwise(F.col(f"bin{i}")).cast("int").alias(f) for i, f in enumerate(features)]
+    return cut.select("label", *found)
+
+
+def _width_bins(df: DataFrame, features: list[str], label: str, bins: int) -> DataFrame:
     spec = []
     for i, f in enumerate(features):
         usable = F.when(~F.isnan(column(f).cast("double")), column(f).cast("double"))
@@ -42,9 +68,7 @@ def joint_counts(df: DataFrame, features: list[str], label: str = "label", bins:
             place = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))), F.lit(bins - 1))
         return F.when(x.isNull() | F.isnan(x), F.lit(-1)).otherwise(place).cast("int").alias(f)
 
-    binned = df.select(column(label).alias("label"), *[bin_of(i, f) for i, f in enumerate(features)])
-    long = binned.unpivot(["label"], [column(f) for f in features], "feature", "bin")
-    return long.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(column(label).alias("label"), *[bin_of(i, f) for i, f in enumerate(features)])
 
 
 def mutual_information(joint: DataFrame, *by: str) -> DataFrame:

@@ -6,6 +6,7 @@ library's network offers; there is no dropout. Features are standardised inside
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -13,11 +14,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.fixed_values import CLASSIFIER_WIDTHS
 from flowlens.functions.draws import uniform
+from flowlens.functions.labels import round_probability
+from flowlens.operators.curves import average_precision, cells
+from flowlens.operators.evaluation import micro
 from flowlens.operators.features import assembler
 from flowlens.runtime import column, spread
 
@@ -31,6 +36,8 @@ class Training:
     patience: int = 20
     min_delta: float = 1e-4
     tolerance: float = 1e-5
+    solver: str = "l-bfgs"
+    step: float = 0.03  # learning rate of solver "gd"
     seed: int = 1
     block: int = 1024
 
@@ -67,11 +74,12 @@ def fit_network(
     classes: int,
     widths: list[int] | None = None,
     training: Training = Training(),
+    after_round: Callable[[int, DataFrame], None] | None = None,
 ) -> Network:
     """A network on named columns; the weights of the best validation round are kept.
 
     Each round starts from the weights the round before ended with. Both tables are held for
-    the whole of the training.
+    the whole of the training. ``after_round`` gets the round and the scored validation rows.
     """
     prepare = Pipeline(
         stages=[
@@ -84,14 +92,17 @@ def fit_network(
     layers = [len(features), *(widths if widths is not None else CLASSIFIER_WIDTHS), classes]
     learner = MultilayerPerceptronClassifier(
         layers=layers, labelCol=code, featuresCol="features", maxIter=training.iterations, seed=training.seed,
-        blockSize=training.block, tol=training.tolerance,
+        blockSize=training.block, tol=training.tolerance, solver=training.solver, stepSize=training.step,
     )
     judge = MulticlassClassificationEvaluator(labelCol=code, metricName="logLoss")
     best, best_loss, losses, stale = None, float("inf"), [], 0
     try:
-        for _ in range(training.rounds):
+        for number in range(training.rounds):
             model = learner.fit(held[0])
-            losses.append(judge.evaluate(model.transform(held[1])))
+            scored = model.transform(held[1])
+            losses.append(judge.evaluate(scored))
+            if after_round is not None:
+                after_round(number, scored)
             if losses[-1] < best_loss - training.min_delta:
                 best, best_loss, stale = model, losses[-1], 0
             else:
@@ -105,13 +116,25 @@ def fit_network(
     return Network(PipelineModel([*prepare.stages, best if best is not None else model]), losses)
 
 
-def sweep_widths(
-    train: DataFrame, valid: DataFrame, features: list[str], code: str, classes: int, candidates: dict[str, list[int]],
-    training: Training = Training(),
+def round_scores(scored: DataFrame, code: str, classes: int) -> dict[str, float]:
+    """Micro precision, recall, F1 and average precision over the rounded outputs of all classes."""
+    outputs = vector_to_array(F.col("probability"))
+    hot = scored.select(
+        *[(column(code) == c).cast("int").alias(f"t{c}") for c in range(classes)],
+        *[round_probability(outputs[c]).alias(f"p{c}") for c in range(classes)],
+    )
+    truths, rounded = ([f"{side}{c}" for c in range(classes)] for side in "tp")
+    found = micro(hot, truths, rounded).first().asDict()
+    return {**found, "average_precision": average_precision(cells(hot, truths, rounded), "flag", "score").first()[0]}
+
+
+def sweep_networks(
+    train: DataFrame, valid: DataFrame, features: list[str], code: str, classes: int,
+    candidates: dict[str, tuple[list[int], Training]],
 ) -> DataFrame:
-    """``name, widths, rounds, best_loss`` for several layer widths over the same tables."""
+    """``name, widths, rounds, best_loss`` for several layer widths and settings over the same tables."""
     rows = []
-    for name, widths in candidates.items():
+    for name, (widths, training) in candidates.items():
         network = fit_network(train, valid, features, code, classes, widths, training)
         rows.append((name, "-".join(map(str, widths)), len(network.losses), float(min(network.losses))))
     return train.sparkSession.createDataFrame(rows, "name string, widths string, rounds int, best_loss double")

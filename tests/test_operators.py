@@ -93,6 +93,17 @@ def test_information_of_a_copy_is_the_entropy_and_of_noise_nothing(spark):
     assert math.isclose(got["same"], math.log(4)) and abs(got["other"]) < 1e-12
 
 
+def test_bins_by_rank_do_not_see_a_monotone_change(spark):
+    df = spark.range(3000).selectExpr("double(id % 1000) as x", "exp(double(id % 1000) / 20) as y", "string(id % 1000 < 300) as label")
+    df = df.withColumn("z", F.when(F.col("x") < 10, float("nan")).otherwise(F.col("x")))
+    joint = features.joint_counts(df, ["x", "y", "z"], by_rank=True)
+    got = {r["feature"]: r["score"] for r in features.mutual_information(joint).collect()}
+    assert math.isclose(got["x"], got["y"]) and got["x"] > 0.5
+    assert joint.where("feature = 'z' and bin = -1").agg(F.sum("n")).first()[0] == 30
+    flat = {r["feature"]: r["score"] for r in features.mutual_information(features.joint_counts(df, ["x", "y"])).collect()}
+    assert flat["y"] < 0.3 < flat["x"]
+
+
 # Splits -------------------------------------------------------------------------------------
 
 
@@ -173,6 +184,16 @@ def test_curve_measures_equal_brute_force(spark):
     assert best["threshold"] == min(t for t in f1 if f1[t] == max(f1.values()))
 
 
+def test_auc_equals_the_library_evaluator(spark, sf_dir):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from flowlens.catalog.views import flows
+
+    df = flows(spark, sf_dir).where("label is not null").select((F.col("label") == "BENIGN").cast("double").alias("flag"), "f_k")
+    judge = BinaryClassificationEvaluator(labelCol="flag", rawPredictionCol="f_k", numBins=0)
+    assert math.isclose(curves.auc_roc(df, "flag", "f_k").first()["auc"], judge.evaluate(df))
+
+
 def test_ties_go_to_the_first_model_and_nan_counts_as_none(spark):
     df = spark.createDataFrame(
         [(1, 0.5, 0.5, 0.5), (2, 0.1, 0.9, 0.9), (3, float("nan"), 0.2, 0.1)], "flow_id int, m1 double, m2 double, m3 double"
