@@ -6,6 +6,8 @@ score ranges and shifted by the totals of earlier ranges, so no task sees all sc
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,16 +40,16 @@ def running_totals(counts: DataFrame, sums: list[str], descending: bool = False)
     counts = materialise(counts, "scores")
     grid = [i / ranges for i in range(1, ranges)] or [0.5]
     borders = counts.agg(F.percentile_approx("score", grid, 10_000).alias("b")).first()["b"] or []
-    borders = sorted({float(b) for b in borders} | {0.0})
-    splits = [float("-inf"), *[b for b in borders if abs(b) != float("inf") and b == b], float("inf")]
+    inner = sorted({float(b) for b in borders if math.isfinite(b)}) or [0.0]
+    splits = [-math.inf, *inner, math.inf]
     ranged = Bucketizer(splits=splits, inputCol="score", outputCol="range", handleInvalid="keep").transform(counts)
     order = F.desc if descending else F.asc
     earlier = Window.orderBy(order("range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("range").agg(*[F.sum(s).alias(s) for s in sums])  # at most len(splits) rows
     shifts = totals.select("range", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_shift") for s in sums])
-    inner = Window.partitionBy("range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(F.broadcast(shifts), "range")
-    before = [(F.col(f"{s}_shift") + F.coalesce(F.sum(s).over(inner), F.lit(0))).alias(f"{s}_before") for s in sums]
+    before = [(F.col(f"{s}_shift") + F.coalesce(F.sum(s).over(within), F.lit(0))).alias(f"{s}_before") for s in sums]
     return joined.select(*counts.columns, *before)
 
 

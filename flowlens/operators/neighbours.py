@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from flowlens.functions.labels import MAX_CLASSES
 from flowlens.runtime import bounded_rows, column, materialise, small_side
 
 _CANDIDATES = "array<struct<d2 double, id bigint, x array<double>>>"
 _MAX_EDGES = 10_000
+# A slab this many times its intended size is dealt out over parts.
+_CROWDED = 4
 # Distances held at a time by one task.
 _BLOCK_CELLS = 4_000_000
 
@@ -79,7 +82,9 @@ def nearest_in_class(
     p = sum((F.col("x")[j] * F.lit(float(w)) for j, w in enumerate(direction)), F.lit(0.0))
     points = materialise(points.withColumn("p", p), "points")
 
-    edges = _slab_edges(points, slab_rows)
+    sizes = _class_sizes(points)
+    edges = _slab_edges(points, sizes, slab_rows)
+    whole = all(len(e) == 0 for e in edges.values())
 
     @F.pandas_udf(IntegerType())
     def slab_of(cls: pd.Series, p: pd.Series) -> pd.Series:
@@ -88,19 +93,21 @@ def nearest_in_class(
             out[at] = np.searchsorted(edges[name], p[at].to_numpy(), side="right")
         return pd.Series(out)
 
-    slabbed = points.withColumn("slab", slab_of("class", "p"))
-    crowded = _crowded(slabbed, slab_rows)
-    slabbed = (
-        slabbed.join(crowded, ["class", "slab"], "left")
-        .withColumn("part", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int"))
-        .drop("parts")
-    )
+    slabbed = points.withColumn("slab", F.lit(0) if whole else slab_of("class", "p")).withColumn("part", F.lit(0))
+    crowded = None
+    if max(sizes.values(), default=0) > _CROWDED * slab_rows:
+        crowded = _crowded(slabbed, slab_rows)
+        slabbed = (
+            slabbed.join(crowded, ["class", "slab"], "left")
+            .withColumn("part", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int"))
+            .drop("parts")
+        )
 
     def inside(group: pd.DataFrame) -> pd.DataFrame:
         others, ids = _matrix(group["x"]), group["id"].to_numpy()
         firsts = group[group["copy"] == 1]
         near = _nearest(_matrix(firsts["x"]), others, ids, keep)
-        reach = [np.sqrt(c[-1]["d2"]) if len(c) == keep else np.inf for c in near]
+        bound = [c[-1]["d2"] if len(c) == keep else np.inf for c in near]
         return pd.DataFrame(
             {
                 "class": firsts["class"].to_numpy(),
@@ -108,31 +115,35 @@ def nearest_in_class(
                 "part": firsts["part"].to_numpy(),
                 "x": firsts["x"].to_numpy(),
                 "p": firsts["p"].to_numpy(),
-                "reach": reach,
+                "bound": bound,
                 "near": near,
             }
         )
 
     own = slabbed.groupBy("class", "slab", "part").applyInPandas(
-        inside, f"class string, slab int, part int, x array<double>, p double, reach double, near {_CANDIDATES}"
+        inside, f"class string, slab int, part int, x array<double>, p double, bound double, near {_CANDIDATES}"
     )
-    if all(len(e) == 0 for e in edges.values()) and crowded.isEmpty():
+    if whole and crowded is None:
         return own.select("class", "x", "near")
     own = materialise(own, "own-slab")
     visits = _visits(own, slab_of, crowded)
     return _merge(own, _visited(visits, slabbed, keep, slab_rows), keep)
 
 
-def _slab_edges(points: DataFrame, slab_rows: int) -> dict[str, np.ndarray]:
+def _class_sizes(points: DataFrame) -> dict[str, int]:
+    counts = points.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return {r["class"]: r["n"] for r in bounded_rows(counts, MAX_CLASSES, "classes")}
+
+
+def _slab_edges(points: DataFrame, sizes: dict[str, int], slab_rows: int) -> dict[str, np.ndarray]:
     """Per class the inner slab borders, from the class's own quantiles."""
-    sizes = {r["class"]: r["n"] for r in bounded_rows(points.groupBy("class").agg(F.count(F.lit(1)).alias("n")), 10_000, "classes")}
     slabs = {c: min(_MAX_EDGES, -(-n // slab_rows)) for c, n in sizes.items()}
     edges = {c: np.array([]) for c in sizes}
     most = max(slabs.values(), default=1)
     if most > 1:
         grid = [i / most for i in range(1, most)]
         quantiles = points.groupBy("class").agg(F.percentile_approx("p", grid, 100_000).alias("q"))
-        for r in bounded_rows(quantiles, 10_000, "classes"):
+        for r in bounded_rows(quantiles, MAX_CLASSES, "classes"):
             step = max(1, most // slabs[r["class"]])
             if slabs[r["class"]] > 1:
                 edges[r["class"]] = np.unique(np.array(r["q"])[step - 1 :: step])
@@ -142,30 +153,36 @@ def _slab_edges(points: DataFrame, slab_rows: int) -> dict[str, np.ndarray]:
 def _crowded(slabbed: DataFrame, slab_rows: int) -> DataFrame:
     """``class, slab, parts`` for slabs far above their intended size; usually none."""
     sizes = slabbed.groupBy("class", "slab").agg(F.count(F.lit(1)).alias("n"))
-    over = sizes.where(F.col("n") > 4 * slab_rows)
+    over = sizes.where(F.col("n") > _CROWDED * slab_rows)
     return small_side(over.select("class", "slab", F.ceil(F.col("n") / slab_rows).cast("int").alias("parts")))
 
 
-def _visits(own: DataFrame, slab_of, crowded: DataFrame) -> DataFrame:
+def _visits(own: DataFrame, slab_of, crowded: DataFrame | None) -> DataFrame:
     """One row per point and foreign part of a slab that its reach touches."""
     # Widened a little so that rounding in the projection cannot hide a true neighbour.
-    slack = F.col("reach") * 1e-9 + F.abs("p") * 1e-9 + 1e-9
-    low, high = F.col("p") - F.col("reach") - slack, F.col("p") + F.col("reach") + slack
+    reach = F.sqrt("bound") * (1 + 1e-9) + F.abs("p") * 1e-9 + 1e-9
     touched = own.select(
-        "class", "x", F.struct("slab", "part").alias("home"), slab_of("class", low).alias("from"), slab_of("class", high).alias("to")
+        "class", "x", "bound", F.struct("slab", "part").alias("home"),
+        slab_of("class", F.col("p") - reach).alias("from"), slab_of("class", F.col("p") + reach).alias("to"),
     )
-    slabs = touched.select("class", "x", "home", F.explode(F.sequence("from", "to")).alias("slab"))
+    slabs = touched.select("class", "x", "bound", "home", F.explode(F.sequence("from", "to")).alias("slab"))
+    if crowded is None:
+        slabs = slabs.withColumn("parts", F.lit(1))
+    else:
+        slabs = slabs.join(crowded, ["class", "slab"], "left")
     last = F.coalesce("parts", F.lit(1)) - 1
     return (
-        slabs.join(crowded, ["class", "slab"], "left")
-        .select("class", "x", "home", "slab", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+        slabs.select("class", "x", "bound", "home", "slab", F.explode(F.sequence(F.lit(0), last)).alias("part"))
         .where(F.struct("slab", "part") != F.col("home"))
         .drop("home")
     )
 
 
 def _visited(visits: DataFrame, slabbed: DataFrame, keep: int, chunk_rows: int) -> DataFrame:
-    """Neighbours found in foreign slabs; a slab with many visitors is served to chunks of them."""
+    """Neighbours found in foreign slabs, but for those beyond what the own slab already offers.
+
+    A slab with many visitors is served to chunks of them.
+    """
     at = ["class", "slab", "part"]
     demand = visits.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
     chunks = demand.select(*at, F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
@@ -176,11 +193,13 @@ def _visited(visits: DataFrame, slabbed: DataFrame, keep: int, chunk_rows: int)
         if guest.empty or host.empty:
             return pd.DataFrame({"class": [], "x": [], "near": []}, dtype=object)
         near = _nearest(_matrix(guest["x"]), _matrix(host["x"]), host["id"].to_numpy(), keep)
-        return pd.DataFrame({"class": guest["class"].to_numpy(), "x": guest["x"].to_numpy(), "near": near})
+        near = [[c for c in cs if c["d2"] <= limit] for cs, limit in zip(near, guest["bound"])]
+        out = pd.DataFrame({"class": guest["class"].to_numpy(), "x": guest["x"].to_numpy(), "near": near})
+        return out[out["near"].str.len() > 0]
 
     where = [*at, "chunk"]
     return (
-        guests.select(*where, "x")
+        guests.select(*where, "x", "bound")
         .groupBy(*where)
         .cogroup(hosts.select(*where, "id", "x").groupBy(*where))
         .applyInPandas(serve, f"class string, x array<double>, near {_CANDIDATES}")

@@ -80,6 +80,21 @@ def test_oversampling_reaches_its_target_between_neighbours(spark, ratio):
     assert max(seeds) - min(seeds) <= 1
 
 
+@pytest.mark.parametrize("bound", [10_000, 0])
+def test_points_with_many_copies_only_repeat_themselves(spark, monkeypatch, bound):
+    """Both ways of pairing, with and without the broadcast of copied points, give the same rows."""
+    from flowlens.operators import smote as module
+
+    real = module.small_side
+    monkeypatch.setattr(module, "small_side", lambda df, *m: df if bound == 0 and "copied" in df.columns else real(df, *m))
+    rows = [(i, "big", 0.0) for i in range(90)] + [(100 + i, "hot", 7.0) for i in range(20)] + [(130, "hot", 9.0), (131, "hot", 9.5)]
+    df = spark.createDataFrame(rows, "flow_id bigint, label string, u double")
+    out = smote(df, "flow_id", ["u"], k=5, seed=1).where("label = 'hot' and copy > 0").collect()
+    assert len(out) == 90 - 22
+    assert all(r["u"] == 7.0 for r in out if r["flow_id"] < 130)
+    assert all(7.0 <= r["u"] <= 9.5 for r in out if r["flow_id"] >= 130) and any(r["u"] > 7 for r in out)
+
+
 def test_one_row_raised_to_many(spark, monkeypatch):
     from flowlens.operators import smote as module
 
