@@ -26,7 +26,9 @@ from flowlens.runtime import bounded_rows, column, materialise, small_side
 
 _CANDIDATES = "array<struct<d2 double, id bigint, x array<double>>>"
 _MAX_EDGES = 10_000
-# A slab this many times its intended size is dealt out over parts.
+# Rows of a table with one row per slab that may be broadcast.
+_MAX_SLABS = 200_000
+# A slab this many times its usual size is dealt out over parts.
 _CROWDED = 4
 # Distances held at a time by one task.
 _BLOCK_CELLS = 4_000_000
@@ -95,8 +97,10 @@ def nearest_in_class(
 
     slabbed = points.withColumn("slab", F.lit(0) if whole else slab_of("class", "p")).withColumn("part", F.lit(0))
     crowded = None
-    if max(sizes.values(), default=0) > _CROWDED * slab_rows:
-        crowded = _crowded(slabbed, slab_rows)
+    # Slabs of the largest classes are larger, as no class is cut into more than a set number.
+    usual = max(slab_rows, -(-max(sizes.values(), default=0) // _MAX_EDGES))
+    if max(sizes.values(), default=0) > _CROWDED * usual:
+        crowded = _crowded(slabbed, usual)
         slabbed = (
             slabbed.join(crowded, ["class", "slab"], "left")
             .withColumn("part", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int"))
@@ -150,11 +154,11 @@ def _slab_edges(points: DataFrame, sizes: dict[str, int], slab_rows: int) -> dic
     return edges
 
 
-def _crowded(slabbed: DataFrame, slab_rows: int) -> DataFrame:
-    """``class, slab, parts`` for slabs far above their intended size; usually none."""
+def _crowded(slabbed: DataFrame, usual: int) -> DataFrame:
+    """``class, slab, parts`` for slabs far above their usual size; mostly none."""
     sizes = slabbed.groupBy("class", "slab").agg(F.count(F.lit(1)).alias("n"))
-    over = sizes.where(F.col("n") > _CROWDED * slab_rows)
-    return small_side(over.select("class", "slab", F.ceil(F.col("n") / slab_rows).cast("int").alias("parts")))
+    over = sizes.where(F.col("n") > _CROWDED * usual)
+    return small_side(over.select("class", "slab", F.ceil(F.col("n") / usual).cast("int").alias("parts")), _MAX_SLABS)
 
 
 def _visits(own: DataFrame, slab_of, crowded: DataFrame | None) -> DataFrame:
@@ -185,7 +189,7 @@ def _visited(visits: DataFrame, slabbed: DataFrame, keep: int, chunk_rows: int)
     """
     at = ["class", "slab", "part"]
     demand = visits.groupBy(*at).agg(F.count(F.lit(1)).alias("n"))
-    chunks = demand.select(*at, F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    chunks = small_side(demand.select(*at, F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks")), _MAX_SLABS)
     guests = visits.join(chunks, at).withColumn("chunk", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
     hosts = slabbed.join(chunks, at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 

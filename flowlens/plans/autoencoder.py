@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from flowlens.fixed_values import AUTOENCODER_CODE, AUTOENCODER_WIDTHS
 from flowlens.operators.features import assembler
 from flowlens.operators.reconstruction import mean_squared_difference
-from flowlens.runtime import column
+from flowlens.runtime import column, spread
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def scaled_rows(scaler: PipelineModel, df: DataFrame) -> DataFrame:
 
 def fit_autoencoder(train: DataFrame, valid: DataFrame, start: Autoencoder, training: Training = Training()) -> Autoencoder:
     """Train on the arrays ``x`` of one table, stop by the reconstruction error on another."""
-    held = [t.select("x").persist(StorageLevel.MEMORY_AND_DISK) for t in (train, valid)]
+    held = [spread(t.select("x"), 20).persist(StorageLevel.MEMORY_AND_DISK) for t in (train, valid)]
     widths, model = start.widths, start
     best, best_loss, losses, stale = start, float("inf"), [], 0
     try:
