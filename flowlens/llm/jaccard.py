@@ -4,7 +4,7 @@ Words are maximal runs of anything but blank, tab, line feed, vertical tab, form
 A document is the set of its runs of ``shingle`` words; one with fewer words, but at least one, is the set
 of that single shorter run. Two documents are linked if |A and B| >= threshold * |A or B|.
 
-1. Documents with the same words in the same order form a class; only one of each goes on.
+1. Documents with the same words in the same order form a class (a 128-bit hash); only one of each goes on.
 2. ``HASHES`` MinHash values; classes that agree in one of the bands meet. Inside such a bucket, values are
    compared a few at a time, and a pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold is below ``TOLERANCE``. What survives joins candidate groups.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def joined_words(text: Column) -> Column:
+def joined_words(text: str) -> bytes:
     """The words of a text with one blank between them."""
-    return F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return b" ".join(text.encode("utf-8", "surrogatepass").split())
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -98,39 +99,53 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def _signatures(size: int):
+    """Adds the class, the low bytes of the MinHash values and the band keys; none for a text without a word."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = column(pa.Table.from_batches([batch]), "norm")
-            for a, b, data, offsets in text_chunks(texts):
-                doc, gram = shingles(data, offsets, size)
-                starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-                if not len(starts):
-                    continue
-                values = np.empty((len(starts), HASHES), dtype=np.uint32)
-                for k in range(HASHES):
-                    hashed = ((gram * _SCALES[k] + _SHIFTS[k]) >> np.uint64(32)).astype(np.uint32)
-                    values[:, k] = np.minimum.reduceat(hashed, starts)
-                keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
-                for r in range(ROWS):
-                    keys = _mixed(keys * _BASE + values[:, r::ROWS].astype(np.uint64) + np.uint64(1))
-                keys = _mixed(keys + np.arange(BANDS, dtype=np.uint64) * _PLACES[0]).view(np.int64)
-                low = np.ascontiguousarray((values & np.uint32(255)).astype(np.uint8))
-                took = batch.slice(a, b - a).take(pa.array(doc[starts]))
+        for whole in batches:
+            for a, b, _, _ in text_chunks(whole.column(2), 1 << 23):
+                batch = whole.slice(a, b - a)
+                norm = [joined_words(t or "") for t in batch.column(2).to_pylist()]
+                cls = [blake2b(t, digest_size=16).digest() if t else None for t in norm]
+                rows, sig, bands = _values(pa.array(norm, pa.binary()).cast(pa.string()), size)
+                all_sig, all_bands = [None] * len(norm), [None] * len(norm)
+                for k, r in enumerate(rows):
+                    all_sig[r], all_bands[r] = sig[k].tobytes(), bands[k]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        took.column("id"),
-                        took.column("cls"),
-                        pa.array([low[i].tobytes() for i in range(len(low))], pa.binary()),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1))
-                        ),
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array(cls, pa.binary()),
+                        pa.array(all_sig, pa.binary()),
+                        pa.array(all_bands, pa.list_(pa.int64())),
                     ],
-                    names=["id", "cls", "sig", "bands"],
+                    names=["id", "tag", "cls", "sig", "bands"],
                 )
 
     return work
 
 
+def _values(texts: pa.Array, size: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """(rows with a word, low bytes of their MinHash values, their band keys)."""
+    rows, sig, bands = [], [], []
+    for a, _, data, offsets in text_chunks(texts):
+        doc, gram = shingles(data, offsets, size)
+        if not len(doc):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        values = np.empty((len(starts), HASHES), dtype=np.uint32)
+        for k in range(HASHES):
+            hashed = ((gram * _SCALES[k] + _SHIFTS[k]) >> np.uint64(32)).astype(np.uint32)
+            values[:, k] = np.minimum.reduceat(hashed, starts)
+        keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
+        for r in range(ROWS):
+            keys = _mixed(keys * _BASE + values[:, r::ROWS].astype(np.uint64) + np.uint64(1))
+        rows += (a + doc[starts]).tolist()
+        sig += list((values & np.uint32(255)).astype(np.uint8))
+        bands += list(_mixed(keys + np.arange(BANDS, dtype=np.uint64) * _PLACES[0]).view(np.int64))
+    return rows, sig, bands
+
+
 def least_matches(threshold: float, tolerance: float = TOLERANCE) -> list[int]:
     """For STEP, 2 * STEP ... values compared: fewest equal low bytes that keep a pair.
 
@@ -200,7 +215,7 @@ def _checked(size: int, ratio: Fraction):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, borders in runs(batches, ["part", "lo", "hi"]):
-            norm, cls = column(table, "norm"), column(table, "cls")
+            text, cls = column(table, "text"), column(table, "cls")
             copies, side, root = table.column("copies").to_numpy(), table.column("side").to_numpy(), column(table, "root")
             two_parts = table.column("lo").to_numpy() != table.column("hi").to_numpy()
             out_cls, out_other, out_links = [], [], []
@@ -213,7 +228,7 @@ def _checked(size: int, ratio: Fraction):
                     rows = np.array([a + same[i] for i in keep])
                     if len(rows) < 2:
                         continue
-                    inter, count = overlaps(norm.take(pa.array(rows)), size)
+                    inter, count = overlaps(text.take(pa.array(rows)), size)
                     union = count[:, None] + count[None, :] - inter
                     linked = den * inter >= num * union
                     np.fill_diagonal(linked, False)
@@ -251,7 +266,8 @@ def _first_of_each(values: list) -> list[int]:
 def overlaps(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sizes of the common n-gram sets of all texts of one task's group, and of each set."""
     docs, grams = [], []
-    for a, _, data, offsets in text_chunks(texts):
+    norm = pa.array([joined_words(t) for t in texts.to_pylist()], pa.binary()).cast(pa.string())
+    for a, _, data, offsets in text_chunks(norm):
         doc, gram = shingles(data, offsets, size)
         docs.append(doc + a)
         grams.append(gram)
@@ -278,23 +294,27 @@ def overlaps(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """A row for each class: smallest id, rows with that id, rows at all, signature and band keys."""
-    ids = signed.groupBy("cls", "id").agg(F.count("*").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n"))
+    """A row for each class: the row that stands for it, its number of rows, signature and band keys."""
+    rows = signed.where("cls IS NOT NULL").groupBy("cls", "id", "tag")
+    rows = rows.agg(F.count("*").alias("n"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag", "n"))
     return (
-        ids.groupBy("cls")
+        rows.groupBy("cls")
         .agg(first.alias("f"), F.sum("n").alias("copies"), F.min("sig").alias("sig"), F.min("bands").alias("bands"))
-        .select("cls", F.col("f.id").alias("rep"), F.col("f.n").alias("rep_rows"), "copies", "sig", "bands")
+        .select("cls", F.col("f.id").alias("rep"), F.col("f.tag").alias("tag"), F.col("f.n").alias("rep_rows"), "copies", "sig", "bands")
     )
 
 
 def class_table(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(rows: id and class of every text with a word, classes: cls, rep, rep_rows, n_links, root, keeper)."""
-    texts = docs.select(named(id_col).alias("id"), joined_words(named(text_col)).alias("norm"))
-    texts = texts.where("norm <> ''").withColumn("cls", F.unhex(F.md5("norm")))
+    """(rows: id, tag and class of every text, classes: cls, rep, tag, rep_rows, n_links, class_id, keeper).
+
+    The tag is a hash of the text; with it, rows are found again whose ids are null or repeat. The class of
+    a text without a word is null.
+    """
+    texts = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("tag"), named(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialise(
-        texts.mapInArrow(_signatures(shingle), f"id {kind}, cls binary, sig binary, bands array<bigint>"), "signatures"
+        texts.mapInArrow(_signatures(shingle), f"id {kind}, tag bigint, cls binary, sig binary, bands array<bigint>"), "signatures"
     )
     classes = materialise(_classes(signed), "classes")
     least = least_matches(threshold)
@@ -302,58 +322,59 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     buckets = sorted_by(pair_tiles(banded, ["band"], "cls", TILE), ["band", "lo", "hi"])
     found = buckets.select("band", "lo", "hi", "side", "cls", "sig").mapInArrow(_candidate_links(least), "a binary, b binary")
     groups = components(found)
-    wanted = groups.join(classes.select("cls", "rep", "copies"), groups["node"] == F.col("cls"))
-    wanted = materialise(wanted.select("cls", "rep", "copies", "root"), "groups")
-    near = small_side(wanted, BROADCAST_ROWS).alias("g")
-    t = texts.alias("t")
-    fetched = t.join(near, F.col("t.id").eqNullSafe(F.col("g.rep")) & (F.col("t.cls") == F.col("g.cls")))
-    fetched = fetched.select("g.cls", "g.root", "g.copies", "t.norm", F.xxhash64("g.root").alias("part"))
-    parts = sorted_by(pair_tiles(fetched, ["part"], "cls", TILE // 4), ["part", "lo", "hi"])
-    parts = parts.select("part", "lo", "hi", "side", "cls", "root", "copies", "norm")
+    wanted = groups.join(classes.select("cls", "rep", "tag", "copies"), groups["node"] == F.col("cls"))
+    wanted = wanted.select("cls", "rep", "tag", "copies", "root", F.xxhash64("root").alias("part"))
+    dealt = materialise(pair_tiles(wanted, ["part"], "cls", TILE // 4), "groups")
+    g, t = small_side(dealt, BROADCAST_ROWS).alias("g"), texts.alias("t")
+    fetched = t.join(g, F.col("t.id").eqNullSafe(F.col("g.rep")) & (F.col("t.tag") == F.col("g.tag")))
+    parts = sorted_by(fetched.select("g.*", "t.text"), ["part", "lo", "hi"])
+    parts = parts.select("part", "lo", "hi", "side", "cls", "root", "copies", "text")
     checked = materialise(
         parts.mapInArrow(_checked(shingle, Fraction(str(threshold))), "a binary, b binary, links bigint"), "checked"
     )
     links = checked.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(checked.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cls")
-    named_by = classes.select("cls", "rep", "rep_rows", "copies").join(links, "cls", "left").join(roots, "cls", "left")
-    named_by = named_by.withColumn("root", F.coalesce("root", "cls"))
-    keeper = named_by.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("k"))
-    full = named_by.join(keeper, "root").select(
+    full = classes.select("cls", "rep", "tag", "rep_rows", "copies").join(links, "cls", "left").join(roots, "cls", "left")
+    full = full.withColumn("root", F.coalesce("root", "cls"))
+    keeper = full.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "cls")).alias("k"))
+    full = full.join(keeper, "root").select(
         "cls",
         "rep",
+        "tag",
         "rep_rows",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.col("k.rep").alias("class_id"),
         (F.col("k.cls") == F.col("cls")).alias("keeper"),
     )
-    return signed.select("id", "cls"), materialise(full, "classes")
+    return signed.select("id", "tag", "cls"), materialise(full, "classes")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row per document: its id, ``class_id`` (smallest id that links reach), ``n_links`` (documents
     linked directly, copies included) and ``kept`` (its id is ``class_id``)."""
     rows, classes = class_table(docs, id_col, text_col, threshold, shingle)
-    found = rows.join(classes.select("cls", "class_id", "n_links"), "cls")
-    empty = docs.select(named(id_col).alias("id"), joined_words(named(text_col)).alias("norm")).where("norm IS NULL OR norm = ''")
-    all_rows = found.select("id", "class_id", "n_links").union(empty.select("id", "id", F.lit(0).cast("bigint")))
-    return all_rows.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    found = rows.where("cls IS NOT NULL").join(classes.select("cls", "class_id", "n_links"), "cls")
+    alone = rows.where("cls IS NULL").select("id", "id", F.lit(0).cast("bigint"))
+    every = found.select("id", "class_id", "n_links").union(alone)
+    return every.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each group of linked ones; texts without a word all stay.
 
-    The rows that go are named by a table without texts. It is broadcast if small; otherwise both sides
-    are shuffled by id.
+    What happens to the rows of groups is told by a table of ids and text hashes. It is broadcast if small;
+    otherwise both sides are shuffled by id.
     """
-    _, classes = class_table(docs, id_col, text_col, threshold, shingle)
-    touched = classes.where("n_links > 0").select("cls", F.col("rep").alias("_rep"), "keeper", "rep_rows")
-    rows = docs.withColumn("__cls", F.unhex(F.md5(joined_words(named(text_col)))))
-    t, g = rows.alias("t"), small_side(touched, BROADCAST_ROWS).alias("g")
-    joined = t.join(g, F.col("t.__cls") == F.col("g.cls"), "left")
-    stays = F.col("g.cls").isNull() | (F.col("g.keeper") & named_in("t", id_col).eqNullSafe(F.col("g._rep")))
-    left = joined.where(stays).select("t.*", F.coalesce(F.col("g.rep_rows"), F.lit(1)).alias("__rows"))
-    once = left.where("__rows = 1").drop("__cls", "__rows")
-    again = left.where("__rows > 1").dropDuplicates(["__cls"]).drop("__cls", "__rows")
+    rows, classes = class_table(docs, id_col, text_col, threshold, shingle)
+    r, c = rows.alias("r"), classes.where("n_links > 0").alias("c")
+    stays = F.col("c.keeper") & F.col("r.id").eqNullSafe(F.col("c.rep")) & (F.col("r.tag") == F.col("c.tag"))
+    fate = r.join(c, F.col("r.cls") == F.col("c.cls")).select("r.id", "r.tag", stays.alias("stays"), "c.rep_rows").distinct()
+    f, d = small_side(materialise(fate, "fate"), BROADCAST_ROWS).alias("f"), docs.withColumn("__tag", F.xxhash64(named(text_col))).alias("d")
+    joined = d.join(f, named_in("d", id_col).eqNullSafe(F.col("f.id")) & (F.col("d.__tag") == F.col("f.tag")), "left")
+    left = joined.where(F.coalesce(F.col("f.stays"), F.lit(True)))
+    left = left.select("d.*", F.when(F.col("f.stays"), F.col("f.rep_rows")).otherwise(F.lit(1)).alias("__rows"))
+    once = left.where("__rows = 1").drop("__tag", "__rows")
+    again = left.where("__rows > 1").dropDuplicates([id_col, "__tag"]).drop("__tag", "__rows")
     return once.unionByName(again)
 
 

@@ -29,10 +29,10 @@ MIN_WORDS = 50
 ROUNDS = 60
 KEEP = 0.5
 #: Priors: share of good texts; rates of votes -1, 0 and 1 on good and on bad texts; their weight.
-GOOD_SHARE = 0.9
-GOOD_VOTES = (0.02, 0.08, 0.9)
-BAD_VOTES = (0.4, 0.2, 0.4)
-PRIOR = 0.05
+GOOD_SHARE = 0.85
+GOOD_VOTES = (0.01, 0.09, 0.9)
+BAD_VOTES = (0.25, 0.1, 0.65)
+PRIOR = 0.3
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 _MARKS = ".!?:;,"
@@ -57,23 +57,19 @@ def measures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = base.withColumn("windows", windows)
     base = base.withColumn("repeats", F.size("windows") > F.size(F.array_distinct("windows")))
 
-    # long texts are read by few patterns: letters and signs are first taken out, then told apart
-    base = base.select(
-        "*",
-        F.regexp_replace("text", r"\P{L}+", "").alias("letters"),
-        F.regexp_replace("text", rf"[^{_SYMBOLS}{_MARKS}]+", "").alias("signs"),
-    )
+    # one pass over the text takes out the signs and capitals, which are then told apart
+    base = base.withColumn("signs", F.regexp_replace("text", rf"[^{_SYMBOLS}{_MARKS}\p{{Lu}}]+", ""))
+    base = base.withColumn("marks", F.regexp_replace("signs", r"\p{Lu}+", ""))
     return base.select(
         "id",
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        F.length(F.translate("signs", _MARKS, "")).cast("bigint").alias("n_symbols"),
+        F.length(F.translate("marks", _MARKS, "")).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.when(F.col("repeats"), _covered(F.col("windows"))).otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
         F.size("lines").cast("bigint").alias("n_lines"),
-        F.length(F.regexp_replace("letters", r"\P{Lu}+", "")).cast("bigint").alias("n_upper"),
-        F.length("letters").cast("bigint").alias("n_letters"),
-        F.length(F.translate("signs", _SYMBOLS, "")).cast("bigint").alias("n_marks"),
+        (F.length("signs") - F.length("marks")).cast("bigint").alias("n_upper"),
+        F.length(F.translate("marks", _SYMBOLS, "")).cast("bigint").alias("n_marks"),
     )
 
 
@@ -104,17 +100,15 @@ def votes() -> dict[str, Column]:
     symbols = F.col("n_symbols") / words
     lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
     repeats = F.col("n_repeat_words") / words
-    upper = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
-    letters = F.col("n_letters") / F.greatest(F.col("word_chars"), F.lit(1))
+    upper = F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
     marks = F.col("n_marks") / words
     return {
         "length": rule(words, (words >= 100) & (words <= 100_000), words < 30),
-        "word_length": rule(mean, (mean >= 3.5) & (mean <= 7), (mean < 2.5) | (mean > 9)),
+        "word_length": rule(mean, (mean >= 3.5) & (mean <= 7), (mean < 2.5) | (mean > 7.5)),
         "symbols": rule(symbols, symbols <= 0.02, symbols > 0.1),
         "lines": rule(lines, lines <= 0.1, lines > 0.4),
         "repeats": rule(repeats, repeats <= 0.1, repeats > 0.3),
         "capitals": rule(upper, upper <= 0.1, upper > 0.3),
-        "letters": rule(letters, letters >= 0.85, letters < 0.6),
         "marks": rule(marks, (marks >= 0.02) & (marks <= 0.5), marks > 0.9),
     }
 

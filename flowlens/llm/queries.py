@@ -106,13 +106,13 @@ def op9_embedding_near_dedup(spark, sf_dir):
 def op10_line_dedup(spark, sf_dir):
     """Per document: lines, the numbers of the deleted ones, and what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    before = F.size(F.split("text", "\n", -1))
-    left = line_dedup.drop_repeated_lines(docs.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(before).cast("bigint")))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    left = line_dedup.drop_repeated_lines(docs.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("bigint")))
     return left.select(
         "doc_id",
         "n_lines",
         F.size("removed_lines").cast("bigint").alias("n_removed"),
         F.array_join("removed_lines", ",").alias("removed_lines"),
-        mixing.word_count(F.col("text")).alias("n_words_left"),
+        F.length("text").cast("bigint").alias("n_chars_left"),
         F.md5(F.col("text").cast("binary")).alias("text_md5"),
     )
