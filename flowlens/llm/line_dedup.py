@@ -137,8 +137,9 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, gram_words: int
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """All rows and columns with repeated lines cut out of the text, and the numbers of those lines.
 
-    Adds ``removed_lines`` (array of int, empty if none; counted from 0).
+    Adds ``removed_lines`` (array of int, empty if none; counted from 0), in place of a column of that name.
     """
+    docs = docs.drop("removed_lines")
     gone = small_side(repeated_lines(docs, id_col, text_col, gram_words, run_words), BROADCAST_ROWS)
     gone = gone.select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
     joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left")

@@ -339,7 +339,11 @@ class Encoder:
 
 
 def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = 1, out_col: str = "pieces") -> DataFrame:
-    """All columns of ``docs`` with ``pieces`` (array<int>), ``score`` and ``scores`` (of the ``n`` best segmentations)."""
+    """All columns of ``docs`` with ``pieces`` (array<int>), ``score`` and ``scores`` (of the ``n`` best segmentations).
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    docs = docs.drop(out_col, "score", "scores")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +385,8 @@ def _by_size(batch: pa.RecordBatch, text_col: str, size: int = 1 << 24) -> Itera
 
 
 def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, pieces_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
-    """All columns with the text of the pieces; null for null."""
+    """All columns with the text of the pieces; null for null. A column of that name is replaced."""
+    encoded = encoded.drop(out_col)
     shared = encoded.sparkSession.sparkContext.broadcast((vocabulary.pieces, vocabulary.bytes_at))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
