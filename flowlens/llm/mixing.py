@@ -214,7 +214,11 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix: every row as often as it is taken, with ``shard``, ``copy`` and ``place``, shuffled locally."""
+    """The mix: every row as often as it is taken, with ``shard``, ``copy`` and ``place``, shuffled locally.
+
+    Columns of ``docs`` with these names are replaced.
+    """
+    docs = docs.drop("shard", "copy", "place")
     _, blocks = mix_plan(docs, id_col, text_col, source_col, shards, seed)
     chosen = _applied(_keyed(docs, id_col, text_col, source_col, seed), blocks)
     copies = chosen.select("doc", "id", F.posexplode("shards").alias("copy", "shard"))
