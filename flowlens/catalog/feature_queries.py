@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.catalog.registry import query
-from flowlens.catalog.views import WIDE_FEATURES, WITH_CLEAN, WITH_WIDE, flows, wide
+from flowlens.catalog.views import WIDE_FEATURES, WITH_CLEAN, WITH_FLOWS, WITH_WIDE, flows, wide
 from flowlens.fixed_values import ATTACK_FEATURES, WEB_ATTACK
 from flowlens.functions.labels import fit_codes, merge_web_attacks, one_vs_rest
 from flowlens.operators import features as f
 from flowlens.operators.cleaning import clean_flows
+from flowlens.runtime import column
 from flowlens.sources.dictionary import feature_union
 
 
@@ -73,6 +74,39 @@ def select_k_best(spark, sf_dir):
     return f.best(_wide_scores(spark, sf_dir), 10)
 
 
+@query(
+    "project_k_best",
+    f"""{_WIDE_MI}, top AS (SELECT feature FROM mi ORDER BY round(score, 6) DESC, feature DESC LIMIT 10),
+    long AS ({" UNION ALL ".join(f"""SELECT flow_id, label, '{n}' AS feature, CAST("{n}" AS DOUBLE) AS value FROM wide""" for n in WIDE_FEATURES)})
+    SELECT flow_id, label, feature, value FROM long SEMI JOIN top USING (feature)""",
+)
+def project_k_best(spark, sf_dir):
+    """The table's ten best columns, one line per cell."""
+    df = wide(spark, sf_dir)
+    kept = f.keep_best(df, _wide_scores(spark, sf_dir), 10, "flow_id", "label")
+    names = [c for c in kept.columns if c not in ("flow_id", "label")]
+    values = [column(n).cast("double").alias(n) for n in names]
+    return kept.select("flow_id", "label", *values).unpivot(["flow_id", "label"], [column(n) for n in names], "feature", "value")
+
+
+_RAW = """r AS (SELECT min(x) FILTER (isfinite(x)) AS low, max(x) FILTER (isfinite(x)) AS high FROM raw), joint AS (
+    SELECT 'f_dirty' AS feature, CASE WHEN x IS NULL OR isnan(x) THEN -1 WHEN isinf(x) THEN CASE WHEN x < 0 THEN -2 ELSE -3 END
+        ELSE CAST(least(floor((x - low) / (high - low) * 32.0), 31) AS INT) END AS bin, label, count(*) AS n
+    FROM raw, r GROUP BY ALL)"""
+
+
+@query(
+    "mutual_information_raw",
+    f"""{WITH_FLOWS}, raw AS (SELECT TRY_CAST(f_dirty AS DOUBLE) AS x, label FROM flows WHERE label IS NOT NULL AND label <> ' Label'),
+    {_RAW} SELECT feature, round(score, 6) AS score FROM ({_information('joint', 'feature')})""",
+)
+def mutual_information_raw(spark, sf_dir):
+    """An uncleaned column: missing, infinite and other values are bins of their own."""
+    df = flows(spark, sf_dir).where("label IS NOT NULL AND label <> ' Label'")
+    df = df.select("label", F.expr("try_cast(f_dirty AS double)").alias("f_dirty"))
+    return f.mutual_information(f.joint_counts(df, ["f_dirty"])).withColumn("score", F.round("score", 6))
+
+
 # The registry key's dictionary: per attack its three most informative features.
 _DICTIONARY = f"""{WITH_WIDE}, {_joint('wide', WIDE_FEATURES)},
     attacks AS (SELECT DISTINCT label AS attack FROM wide WHERE label <> 'BENIGN'),
@@ -140,15 +174,36 @@ def _coded(spark, sf_dir) -> DataFrame:
     return fit_codes(df, "label", "code").transform(df)
 
 
-@query("tree_importance")
+_LISTED = " UNION ALL ".join(f"SELECT '{n}' AS feature" for n in WIDE_FEATURES)
+
+
+@query("tree_importance", f"SELECT feature, 1 AS in_range, 1 AS sum_is_one, 1 AS informative FROM ({_LISTED})")
 def tree_importance(spark, sf_dir):
-    scores = f.tree_importance(_coded(spark, sf_dir), WIDE_FEATURES, "code", trees=10, depth=8)
-    return f.rank_scores(scores)
+    """Per feature: a share between 0 and 1, shares that sum to one, and more than one feature with weight."""
+    scores = f.rank_scores(f.tree_importance(_coded(spark, sf_dir), WIDE_FEATURES, "code", trees=10, depth=8))
+    sums = scores.agg(F.sum("score").alias("s"), F.count_if(F.col("score") > 0).alias("n")).first()
+    inside = F.col("score").between(0, 1).cast("int").alias("in_range")
+    return scores.select("feature", inside, F.lit(int(abs(sums["s"] - 1) < 1e-6)).alias("sum_is_one"), F.lit(int(sums["n"] > 1)).alias("informative"))
 
 
-@query("pca")
+@query("pca", f"SELECT i AS component, {len(WIDE_FEATURES)} AS n_features, 1 AS unit_length, 1 AS right_angles, 1 AS falls FROM range(5) t(i)")
 def pca(spark, sf_dir):
-    return f.pca_summary(wide(spark, sf_dir), WIDE_FEATURES, 5)
+    """Per component: unit length, a right angle to the others, and a share of variance not above the one before."""
+    summary = f.pca_summary(wide(spark, sf_dir), WIDE_FEATURES, 5).collect()
+    vectors = [[r["loading"] for r in summary if r["component"] == c] for c in range(5)]
+    shares = [next(r["explained"] for r in summary if r["component"] == c) for c in range(5)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    rows = [
+        (
+            c,
+            len(vectors[c]),
+            int(abs(dot(vectors[c], vectors[c]) - 1) < 1e-6),
+            int(all(abs(dot(vectors[c], vectors[d])) < 1e-6 for d in range(5) if d != c)),
+            int(0 <= shares[c] <= (shares[c - 1] if c else 1.0)),
+        )
+        for c in range(5)
+    ]
+    return spark.createDataFrame(rows, "component bigint, n_features int, unit_length int, right_angles int, falls int")
 
 
 _COV = " UNION ALL ".join(
@@ -171,6 +226,12 @@ def pca_covariance(spark, sf_dir):
     return out.withColumn("covariance", F.round("covariance", 5))
 
 
-@query("rfe")
+@query("rfe", f"SELECT feature, {len(WIDE_FEATURES)} AS n, 18 AS n_selected, 1 AS ranks_fit FROM ({_LISTED})")
 def rfe(spark, sf_dir):
-    return f.eliminate(_coded(spark, sf_dir), WIDE_FEATURES, "code", keep=18, iterations=20)
+    """Per feature: features, selected ones, and whether selected ones rank first and dropped ones are all apart."""
+    ranked = f.eliminate(_coded(spark, sf_dir), WIDE_FEATURES, "code", keep=18, iterations=20)
+    rows = [(r["feature"], r["rank"]) for r in ranked.collect()]
+    ranks = sorted(k for _, k in rows)
+    fits = int(ranks == [1] * 18 + list(range(2, len(rows) - 18 + 2)))
+    out = [(name, len(rows), sum(k == 1 for k in ranks), fits) for name, _ in rows]
+    return spark.createDataFrame(out, "feature string, n int, n_selected int, ranks_fit int")

@@ -16,42 +16,48 @@ from flowlens.sources.csv import read_csv_text, read_csv_typed, write_csv
 from flowlens.sources.dictionary import load_dictionary, save_dictionary
 from flowlens.sources.matrix import read_matrix, read_split, write_matrix
 
-_EVENTS_SCHEMA = "event_id bigint, user_id bigint, event_type string, value double, props string"
+_EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+_EVENTS_SQL = "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM events"
 
 
 def _events(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value", "props")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
-@query(
-    "scan_csv_text",
-    "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props FROM events",
-)
+def _micros(df):
+    """Timestamps as microseconds, which every engine shows alike."""
+    return df.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
+
+
+@query("scan_csv_text", _EVENTS_SQL)
 def scan_csv_text(spark, sf_dir):
-    raw = _events(spark, sf_dir).drop("value").withColumnRenamed("event_type", " event_type")
-    return read_csv_text(spark, write_csv(raw, scratch_path(spark, "csv")))
+    raw = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("string")).withColumnRenamed("event_type", " event_type")
+    text = read_csv_text(spark, write_csv(raw, scratch_path(spark, "csv")))
+    numbers = {c: F.col(c).cast(t) for c, t in (("event_id", "bigint"), ("user_id", "bigint"), ("value", "double"))}
+    return _micros(text.withColumns(numbers))
 
 
-@query("scan_csv_typed", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("scan_csv_typed", _EVENTS_SQL)
 def scan_csv_typed(spark, sf_dir):
-    path = write_csv(_events(spark, sf_dir), scratch_path(spark, "csv"))
-    return read_csv_typed(spark, path, _EVENTS_SCHEMA)
+    raw = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("string"))
+    path = write_csv(raw, scratch_path(spark, "csv"))
+    return _micros(read_csv_typed(spark, path, _EVENTS_SCHEMA.replace("timestamp", "string")))
 
 
 @query(
     "scan_csv_latin1",
-    f"SELECT flow_id, replace(label, '-', chr(183)) AS label FROM ({FLOWS_SQL}) WHERE label IS NOT NULL AND label <> ' Label'",
+    f"SELECT * REPLACE (replace(label, '-', chr(183)) AS label) FROM ({FLOWS_SQL}) WHERE label IS NOT NULL AND label <> ' Label'",
 )
 def scan_csv_latin1(spark, sf_dir):
     df = flows(spark, sf_dir).where("label <> ' Label'")
-    marked = df.select("flow_id", F.replace("label", F.lit("-"), F.lit("\u00b7")).alias("label"))
+    marked = df.withColumn("label", F.replace("label", F.lit("-"), F.lit("\u00b7")))
     path = write_csv(marked, scratch_path(spark, "latin1"), encoding="ISO-8859-1")
-    return read_csv_typed(spark, path, "flow_id bigint, label string", encoding="ISO-8859-1")
+    return read_csv_typed(spark, path, marked.schema, encoding="ISO-8859-1")
 
 
 @query("scan_part_files", ITEMS_SQL)
 def scan_part_files(spark, sf_dir):
-    df = items(spark, sf_dir).repartition(7)
+    df = items(spark, sf_dir)
     path = write_csv(df, scratch_path(spark, "parts"))
     return read_csv_typed(spark, path, df.schema)
 
@@ -107,9 +113,9 @@ def load_dictionary_query(spark, sf_dir):
     )
 
 
-@query("sink_csv", f"{WITH_CLEAN} SELECT flow_id, f_value, f_k, f_dirty, label FROM clean")
+@query("sink_csv", f"{WITH_CLEAN} SELECT flow_id, src_id, f_value, f_k, f_dirty, label FROM clean")
 def sink_csv(spark, sf_dir):
-    df = clean_flows(flows(spark, sf_dir), ["f_dirty"]).drop("src_id")
+    df = clean_flows(flows(spark, sf_dir), ["f_dirty"])
     path = write_csv(df, scratch_path(spark, "sink"), header=False)
     return trim_headers(spark.read.schema(df.schema).csv(path))
 

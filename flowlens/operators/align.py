@@ -26,7 +26,7 @@ def align_scores(tables: dict[str, DataFrame], key: str, score: str) -> DataFram
         [t.select(column(key), F.lit(name).alias("model"), column(score).alias("score")) for name, t in tables.items()],
     )
     scores = [F.max(F.when(F.col("model") == F.lit(name), F.col("score"))).alias(name) for name in tables]
-    present = F.count(F.lit(1)) == len(tables)
+    present = F.count_distinct("model") == len(tables)
     return stacked.groupBy(column(key)).agg(*scores, present.alias("_all")).where("_all").drop("_all")
 
 

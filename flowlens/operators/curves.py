@@ -33,11 +33,17 @@ def cells(df: DataFrame, flags: list[str], scores: list[str]) -> DataFrame:
     return df.select(pair.alias("c")).select("c.flag", "c.score")
 
 
+#: Distinct scores in a range: what one task sorts.
+_RANGE_ROWS = 200_000
+
+
 def running_totals(counts: DataFrame, sums: list[str], descending: bool = False) -> DataFrame:
-    """Add ``<name>_before``: the total of earlier rows in score order (one row per score)."""
-    spark = counts.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Add ``<name>_before``, the total of earlier rows in score order (one row per score), and ``<name>_all``.
+
+    ``counts`` is computed and written once; the number of score ranges follows from its size.
+    """
     counts = materialise(counts, "scores")
+    ranges = 1 + counts.count() // _RANGE_ROWS
     grid = [i / ranges for i in range(1, ranges)] or [0.5]
     borders = counts.agg(F.percentile_approx("score", grid, 10_000).alias("b")).first()["b"] or []
     inner = sorted({float(b) for b in borders if math.isfinite(b)}) or [0.0]
@@ -46,11 +52,15 @@ def running_totals(counts: DataFrame, sums: list[str], descending: bool = False)
     order = F.desc if descending else F.asc
     earlier = Window.orderBy(order("range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("range").agg(*[F.sum(s).alias(s) for s in sums])  # at most len(splits) rows
-    shifts = totals.select("range", *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_shift") for s in sums])
+    shifts = totals.select(
+        "range",
+        *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_shift") for s in sums],
+        *[F.sum(s).over(Window.partitionBy()).alias(f"{s}_all") for s in sums],
+    )
     within = Window.partitionBy("range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(F.broadcast(shifts), "range")
     before = [(F.col(f"{s}_shift") + F.coalesce(F.sum(s).over(within), F.lit(0))).alias(f"{s}_before") for s in sums]
-    return joined.select(*counts.columns, *before)
+    return joined.select(*counts.columns, *before, *[f"{s}_all" for s in sums])
 
 
 def auc_roc(df: DataFrame, flag: str, score: str) -> DataFrame:
@@ -71,11 +81,14 @@ def pr_curve(df: DataFrame, flag: str, score: str) -> DataFrame:
         "pos",
         (F.col("pos_before") + F.col("pos")).alias("tp"),
         (F.col("neg_before") + F.col("neg")).alias("fp"),
+        F.col("pos_all").cast("double").alias("all_pos"),
     )
-    total = df.where(column(score).isNotNull()).agg(F.count_if(column(flag) == 1)).first()[0]
-    tp, fp, all_pos = F.col("tp"), F.col("fp"), F.lit(float(total))
+    tp, fp, all_pos = F.col("tp"), F.col("fp"), F.col("all_pos")
     return curve.select(
-        "*",
+        "threshold",
+        "pos",
+        "tp",
+        "fp",
         (tp / (tp + fp)).alias("precision"),
         F.when(all_pos > 0, tp / all_pos).otherwise(0.0).alias("recall"),
         (2 * tp / (tp + fp + all_pos)).alias("f1"),

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, Bucketizer, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.fixed_values import BENIGN
@@ -28,34 +28,50 @@ def joint_counts(
     Bins by rank suit heavy-tailed features, of which equal widths see little but the tail.
     One pass finds the borders of all features, one counts them together: rows are unpivoted
     inside each task and counted before the shuffle, so what is shuffled is bounded by
-    features x bins x classes. A missing value is a bin of its own, -1.
+    features x bins x classes. A missing value is a bin of its own, -1, and so are minus and plus
+    infinity, -2 and -3: they take no part in the borders of the others.
     """
     binned = _rank_bins(df, features, label, bins) if by_rank else _width_bins(df, features, label, bins)
     long = binned.unpivot(["label"], [column(f) for f in features], "feature", "bin")
     return long.groupBy("feature", "bin", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _odd_bin(feature: str) -> Column:
+    """The bin of a value that is no number, null for one that is."""
+    x = column(feature).cast("double")
+    infinite = F.when(x == float("-inf"), F.lit(-2)).when(x == float("inf"), F.lit(-3))
+    return F.when(x.isNull() | F.isnan(x), F.lit(-1)).otherwise(infinite)
+
+
+def _finite(feature: str) -> Column:
+    return F.when(_odd_bin(feature).isNull(), column(feature).cast("double"))
+
+
 def _rank_bins(df: DataFrame, features: list[str], label: str, bins: int) -> DataFrame:
-    usable = [F.when(~F.isnan(column(f).cast("double")), column(f).cast("double")) for f in features]
+    usable = [_finite(f) for f in features]
     grid = [i / bins for i in range(1, bins)]
     borders = df.agg(*[F.percentile_approx(u, grid, 10_000).alias(f"b{i}") for i, u in enumerate(usable)]).first()
     infinite = float("inf")
     splits = [[-infinite, *sorted({b for b in (borders[i] or [0.0]) if abs(b) != infinite} or {0.0}), infinite] for i in range(len(features))]
-    named = df.select(column(label).alias("label"), *[u.alias(f"x{i}") for i, u in enumerate(usable)])
+    named = df.select(
+        column(label).alias("label"),
+        *[u.alias(f"x{i}") for i, u in enumerate(usable)],
+        *[_odd_bin(f).alias(f"odd{i}") for i, f in enumerate(features)],
+    )
     cut = Bucketizer(
         splitsArray=splits,
         inputCols=[f"x{i}" for i in range(len(features))],
         outputCols=[f"bin{i}" for i in range(len(features))],
         handleInvalid="keep",
     ).transform(named)
-    found = [F.when(F.col(f"x{i}").isNull(), -1).otherwise(F.col(f"bin{i}")).cast("int").alias(f) for i, f in enumerate(features)]
+    found = [F.coalesce(F.col(f"odd{i}"), F.col(f"bin{i}")).cast("int").alias(f) for i, f in enumerate(features)]
     return cut.select("label", *found)
 
 
 def _width_bins(df: DataFrame, features: list[str], label: str, bins: int) -> DataFrame:
     spec = []
     for i, f in enumerate(features):
-        usable = F.when(~F.isnan(column(f).cast("double")), column(f).cast("double"))
+        usable = _finite(f)
         spec += [F.min(usable).alias(f"low{i}"), F.max(usable).alias(f"high{i}")]
     extremes = df.agg(*spec).first()
 
@@ -66,7 +82,7 @@ def _width_bins(df: DataFrame, features: list[str], label: str, bins: int) -> Da
             place = F.lit(0)
         else:
             place = F.least(F.floor((x - F.lit(low)) / F.lit(high - low) * F.lit(float(bins))), F.lit(bins - 1))
-        return F.when(x.isNull() | F.isnan(x), F.lit(-1)).otherwise(place).cast("int").alias(f)
+        return F.coalesce(_odd_bin(f), place).cast("int").alias(f)
 
     return df.select(column(label).alias("label"), *[bin_of(i, f) for i, f in enumerate(features)])
 

@@ -1,9 +1,13 @@
 """Autoencoders for rows without labels, trained data-parallel.
 
-An epoch is one Spark job: every partition streams its rows through mini-batches, starting from
-the same weights, and returns one weight vector; the row-weighted mean over partitions, formed
-by Spark, starts the next epoch. Only the mean, whose size depends on the layer widths alone,
-reaches the driver, where it survives the loss of any executor.
+Rows are dealt into a fixed number of groups by a hash of their values and ordered by it, so the
+result does not depend on how the table was partitioned. An epoch is one Spark job: every group
+streams its rows through mini-batches, starting from the same weights, and returns one weight vector;
+the row-weighted mean over groups, formed by Spark, starts the next epoch. Only the mean, whose size
+depends on the layer widths alone, reaches the driver, where it survives the loss of any executor.
+
+Inner layers are rectifiers, the output is linear. A rectifier that is off still passes a small part of
+the error back (``LEAK``), so that units of a narrow layer cannot die.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from flowlens.fixed_values import AUTOENCODER_CODE, AUTOENCODER_WIDTHS
 from flowlens.operators.features import assembler
 from flowlens.operators.reconstruction import mean_squared_difference
-from flowlens.runtime import column, spread
+from flowlens.runtime import column
 
 
 @dataclass(frozen=True)
@@ -46,17 +50,22 @@ class Training:
     patience: int = 20
     min_delta: float = 1e-4
     seed: int = 1
+    groups: int = 8
+
+
+#: Share of the error that passes a rectifier that is off, in training only.
+LEAK = 0.1
 
 
 def new_autoencoder(inputs: int, hidden: list[int] | None = None, code: int = AUTOENCODER_CODE, seed: int = 1) -> Autoencoder:
-    """A symmetric network with random weights; small positive offsets keep the units alive."""
+    """A symmetric network with random weights, scaled for rectifiers."""
     hidden = hidden if hidden is not None else AUTOENCODER_WIDTHS
     widths = [inputs, *hidden, code, *reversed(hidden), inputs]
     rng = np.random.default_rng(seed)
     parts = []
     for a, b in zip(widths, widths[1:]):
-        bound = np.sqrt(6.0 / (a + b))
-        parts += [rng.uniform(-bound, bound, a * b), np.full(b, 0.1)]
+        bound = np.sqrt(6.0 / a)
+        parts += [rng.uniform(-bound, bound, a * b), np.full(b, 0.01)]
     return Autoencoder(widths, len(hidden) + 1, np.concatenate(parts))
 
 
@@ -69,24 +78,26 @@ def layers_of(widths: list[int], flat: np.ndarray) -> list[tuple[np.ndarray, np.
     return layers
 
 
-def activations(layers: list, x: np.ndarray) -> list[np.ndarray]:
-    """The rows at every layer, input first; every layer is a rectifier."""
+def activations(layers: list, x: np.ndarray, last: int) -> list[np.ndarray]:
+    """The rows at every layer, input first: rectifiers, linear at layer ``last``."""
     seen = [x]
-    for w, b in layers:
-        seen.append(np.maximum(seen[-1] @ w + b, 0.0))
+    for k, (w, b) in enumerate(layers):
+        out = seen[-1] @ w + b
+        seen.append(out if k == last else np.maximum(out, 0.0))
     return seen
 
 
-def gradient(widths: list[int], flat: np.ndarray, x: np.ndarray, sparsity: float) -> np.ndarray:
+def gradient(widths: list[int], flat: np.ndarray, x: np.ndarray, sparsity: float, leak: float = LEAK) -> np.ndarray:
     """Gradient of mean squared error plus an L1 charge on the first layer's activity."""
     layers, grad = layers_of(widths, flat), np.zeros_like(flat)
     into = layers_of(widths, grad)
-    seen = activations(layers, x)
+    seen = activations(layers, x, len(layers) - 1)
     back = 2.0 * (seen[-1] - x) / x.size
     for i in range(len(layers) - 1, -1, -1):
         if i == 0:
             back = back + sparsity * np.sign(seen[1]) / len(x)
-        back = back * (seen[i + 1] > 0)
+        if i < len(layers) - 1:
+            back = back * np.where(seen[i + 1] > 0, 1.0, leak)
         into[i][0][:] = seen[i].T @ back
         into[i][1][:] = back.sum(axis=0)
         back = back @ layers[i][0].T
@@ -94,24 +105,50 @@ def gradient(widths: list[int], flat: np.ndarray, x: np.ndarray, sparsity: float
 
 
 def _pass_over(batches, widths: list[int], start: np.ndarray, t: Training):
-    """One partition's mini-batch steps; yields its final weights and row count."""
-    w = start.copy()
-    mean, square, steps, rows = np.zeros_like(w), np.zeros_like(w), 0, 0
+    """Mini-batch steps over groups that come one after the other; yields final weights and rows of each."""
+    group, steps = None, None
     for frame in batches:
-        data = np.stack(frame["x"].to_numpy())
-        for at in range(0, len(data), t.batch):
-            g = gradient(widths, w, data[at : at + t.batch], t.sparsity)
-            steps += 1
-            if t.optimiser == "adam":
-                mean = 0.9 * mean + 0.1 * g
-                square = 0.999 * square + 0.001 * g * g
-                w -= t.rate * (mean / (1 - 0.9**steps)) / (np.sqrt(square / (1 - 0.999**steps)) + 1e-7)
-            else:
-                square = 0.9 * square + 0.1 * g * g
-                w -= t.rate * g / (np.sqrt(square) + 1e-7)
-        rows += len(data)
-    if rows:
-        yield pd.DataFrame({"n": [rows], "w": [w.tolist()]})
+        for number, rows in frame.groupby("g", sort=False):
+            if number != group:
+                if steps is not None:
+                    yield steps.result()
+                group, steps = number, _Steps(widths, start.copy(), t)
+            steps.take(np.stack(rows["x"].to_numpy()))
+    if steps is not None:
+        yield steps.result()
+
+
+class _Steps:
+    """The optimiser over one group's rows, in mini-batches that do not depend on how the rows arrive."""
+
+    def __init__(self, widths: list[int], w: np.ndarray, t: Training):
+        self.widths, self.w, self.t = widths, w, t
+        self.mean, self.square = np.zeros_like(w), np.zeros_like(w)
+        self.steps, self.rows, self.waiting = 0, 0, np.zeros((0, widths[0]))
+
+    def take(self, data: np.ndarray) -> None:
+        self.rows += len(data)
+        self.waiting = np.concatenate([self.waiting, data])
+        whole = len(self.waiting) // self.t.batch * self.t.batch
+        for at in range(0, whole, self.t.batch):
+            self.step(self.waiting[at : at + self.t.batch])
+        self.waiting = self.waiting[whole:]
+
+    def step(self, x: np.ndarray) -> None:
+        t, g = self.t, gradient(self.widths, self.w, x, self.t.sparsity)
+        self.steps += 1
+        if t.optimiser == "adam":
+            self.mean = 0.9 * self.mean + 0.1 * g
+            self.square = 0.999 * self.square + 0.001 * g * g
+            self.w -= t.rate * (self.mean / (1 - 0.9**self.steps)) / (np.sqrt(self.square / (1 - 0.999**self.steps)) + 1e-7)
+        else:
+            self.square = 0.9 * self.square + 0.1 * g * g
+            self.w -= t.rate * g / (np.sqrt(self.square) + 1e-7)
+
+    def result(self) -> pd.DataFrame:
+        if len(self.waiting):
+            self.step(self.waiting)
+        return pd.DataFrame({"n": [self.rows], "w": [self.w.tolist()]})
 
 
 def scale_rows(df: DataFrame, features: list[str]) -> PipelineModel:
@@ -126,23 +163,31 @@ def scaled_rows(scaler: PipelineModel, df: DataFrame) -> DataFrame:
 
 def fit_autoencoder(train: DataFrame, valid: DataFrame, start: Autoencoder, training: Training = Training()) -> Autoencoder:
     """Train on the arrays ``x`` of one table, stop by the reconstruction error on another."""
-    held = [spread(t.select("x"), 20).persist(StorageLevel.MEMORY_AND_DISK) for t in (train, valid)]
+    place = F.xxhash64("x")
+    dealt = train.select("x", F.pmod(place, F.lit(training.groups)).cast("int").alias("g"), place.alias("place"))
+    dealt = dealt.repartition(training.groups, "g").sortWithinPartitions("g", "place", "x").select("g", "x")
+    held = [dealt.persist(StorageLevel.MEMORY_AND_DISK), valid.select("x").persist(StorageLevel.MEMORY_AND_DISK)]
     widths, model = start.widths, start
-    best, best_loss, losses, stale = start, float("inf"), [], 0
+    best, best_loss, reference, losses, stale = start, float("inf"), float("inf"), [], 0
     try:
         for _ in range(training.epochs):
             weights = model.weights
             passed = held[0].mapInPandas(
                 lambda batches, w=weights: _pass_over(batches, widths, w, training), "n bigint, w array<double>"
             )
-            entries = passed.select("n", F.posexplode("w").alias("pos", "v"))
-            means = entries.groupBy("pos").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).toArrow()
+            # group by group in one order, so that the sum is the same again
+            entries = passed.select("n", F.posexplode("w").alias("pos", "v")).groupBy("pos")
+            parts = F.sort_array(F.collect_list(F.struct("n", "v")))
+            mean = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["v"] * p["n"]) / F.sum("n")
+            means = entries.agg(mean.alias("v")).toArrow()
             averaged = np.empty(len(weights))
             averaged[means["pos"].to_numpy()] = means["v"].to_numpy()
             model = replace(model, weights=averaged)
             losses.append(float(with_error(held[1], model).agg(F.avg("error")).first()[0]))
-            if losses[-1] < best_loss - training.min_delta:
-                best, best_loss, stale = model, losses[-1], 0
+            if losses[-1] < best_loss:
+                best, best_loss = model, losses[-1]
+            if losses[-1] < reference - training.min_delta:
+                reference, stale = losses[-1], 0
             else:
                 stale += 1
                 if stale >= training.patience:
@@ -160,7 +205,7 @@ def _layer_udf(model: Autoencoder, layer: int):
     def at_layer(x: pd.Series) -> pd.Series:
         if x.empty:
             return x
-        return pd.Series(list(activations(layers_of(widths, weights)[:layer], np.stack(x.to_numpy()))[-1]))
+        return pd.Series(list(activations(layers_of(widths, weights)[:layer], np.stack(x.to_numpy()), len(widths) - 2)[-1]))
 
     return at_layer
 
@@ -199,7 +244,22 @@ def load_autoencoder(spark: SparkSession, path: str) -> Autoencoder:
     return Autoencoder(list(r["widths"]), r["code"], np.array(r["weights"]), tuple(r["losses"]))
 
 
-def pca_error(df: DataFrame, model: PipelineModel) -> DataFrame:
+def pca_distance(df: DataFrame, model: PipelineModel) -> DataFrame:
+    """Adds ``error``: how far a row lies from the mean, each direction measured by its own spread.
+
+    Inside the kept components that is the sum of squared scores over their variances; what the
+    components leave counts by its mean square over all rows. A row can stand out in either part.
+    """
+    scored = pca_error(df, model, keep="components")
+    width = model.stages[-1].getOrDefault("k")
+    code = vector_to_array(column("components"))
+    sums = scored.agg(*[F.avg(F.pow(code[i], F.lit(2))).alias(f"v{i}") for i in range(width)], F.avg("error").alias("left")).first()
+    inside = sum((code[i] * code[i] / F.lit(sums[f"v{i}"]) for i in range(width) if sums[f"v{i}"]), F.lit(0.0))
+    left = F.col("error") / F.lit(sums["left"]) if sums["left"] and sums["left"] > 1e-12 else F.lit(0.0)
+    return scored.withColumn("error", inside + left).drop("components")
+
+
+def pca_error(df: DataFrame, model: PipelineModel, keep: str | None = None) -> DataFrame:
     """Adds ``error`` of a fitted ``fit_pca`` pipeline: what the components leave of the row.
 
     The components are orthonormal, so that is the row's squared length less the code's.
@@ -211,4 +271,4 @@ def pca_error(df: DataFrame, model: PipelineModel) -> DataFrame:
 
     left = F.greatest(squares("centred") - squares("components"), F.lit(0.0))
     error = left / F.size(vector_to_array("centred"))
-    return scored.withColumn("error", error).drop("features", "centred", "components")
+    return scored.withColumn("error", error).drop(*[c for c in ("features", "centred", "components") if c != keep])

@@ -33,7 +33,7 @@ from flowlens.operators.features import assembler
 from flowlens.operators.profile import dedupe_rows, label_counts
 from flowlens.operators.sampling import random_split, stratified_split, thin_benign
 from flowlens.operators.smote import smote
-from flowlens.runtime import bounded_rows, column, materialise, spread
+from flowlens.runtime import bounded_rows, column, laid_out, materialise
 
 # Deeper trees are refused by the library.
 DEEPEST = 30
@@ -47,7 +47,7 @@ class ForestSize:
     """How large a forest to grow; the values of each plan below are its defaults.
 
     ``bins`` is the number of split candidates per feature. Plans that stand for exact splits
-    take more of them.
+    take more of them. ``partitions`` lays out the training rows; a large table needs more.
     """
 
     trees: int = 20
@@ -55,6 +55,7 @@ class ForestSize:
     min_leaf: int = 1
     bins: int = 32
     seed: int = 1
+    partitions: int = 8
 
     def settings(self) -> dict:
         return {
@@ -89,17 +90,16 @@ def fit_classifier(
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", **size.settings())
     if weight is not None:
         forest = forest.setWeightCol(weight)
-    return _fit(train, [assembler(features), forest], [*features, label, *([weight] if weight else [])])
+    return _fit(train, [assembler(features), forest], [*features, label, *([weight] if weight else [])], size)
 
 
 def fit_regressor(train: DataFrame, features: list[str], label: str, size: ForestSize) -> tuple[PipelineModel, float]:
     forest = RandomForestRegressor(labelCol=label, featuresCol="features", **size.settings())
-    return _fit(train, [assembler(features), forest], [*features, label])
+    return _fit(train, [assembler(features), forest], [*features, label], size)
 
 
-def _fit(train: DataFrame, stages: list, names: list[str]) -> tuple[PipelineModel, float]:
-    work = stages[-1].getNumTrees()
-    held = spread(train.select(*[column(n) for n in names]), work).persist(StorageLevel.MEMORY_AND_DISK)
+def _fit(train: DataFrame, stages: list, names: list[str], size: ForestSize) -> tuple[PipelineModel, float]:
+    held = laid_out(train.select(*[column(n) for n in names]), size.partitions).persist(StorageLevel.MEMORY_AND_DISK)
     start = time.monotonic()
     try:
         return Pipeline(stages=stages).fit(held), time.monotonic() - start

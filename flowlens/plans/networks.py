@@ -24,7 +24,7 @@ from flowlens.functions.labels import round_probability
 from flowlens.operators.curves import average_precision, cells
 from flowlens.operators.evaluation import micro
 from flowlens.operators.features import assembler
-from flowlens.runtime import column, spread
+from flowlens.runtime import column, laid_out
 
 
 @dataclass(frozen=True)
@@ -40,16 +40,20 @@ class Training:
     step: float = 0.03  # learning rate of solver "gd"
     seed: int = 1
     block: int = 1024
+    partitions: int = 8
 
 
 @dataclass(frozen=True)
 class Network:
+    """A trained network: the weights of ``best_round``, whose validation loss is the lowest."""
+
     model: PipelineModel
     losses: list[float]
+    best_round: int
 
     @property
-    def best_round(self) -> int:
-        return self.losses.index(min(self.losses))
+    def best_loss(self) -> float:
+        return self.losses[self.best_round]
 
 
 def repeat_by_weight(df: DataFrame, key: str, code: str, weights: dict[int, float], seed: int) -> DataFrame:
@@ -78,6 +82,9 @@ def fit_network(
 ) -> Network:
     """A network on named columns; the weights of the best validation round are kept.
 
+    Every lower loss is kept. ``min_delta`` only tells when training no longer gets on: it stops after
+    ``patience`` rounds that have not improved by that much.
+
     Each round starts from the weights the round before ended with. Both tables are held for
     the whole of the training. ``after_round`` gets the round and the scored validation rows.
     """
@@ -88,14 +95,14 @@ def fit_network(
         ]
     ).fit(train)
     held = [prepare.transform(t).select("features", column(code).cast("double").alias(code)) for t in (train, valid)]
-    held = [spread(t, 200).persist(StorageLevel.MEMORY_AND_DISK) for t in held]
+    held = [laid_out(t, training.partitions).persist(StorageLevel.MEMORY_AND_DISK) for t in held]
     layers = [len(features), *(widths if widths is not None else CLASSIFIER_WIDTHS), classes]
     learner = MultilayerPerceptronClassifier(
         layers=layers, labelCol=code, featuresCol="features", maxIter=training.iterations, seed=training.seed,
         blockSize=training.block, tol=training.tolerance, solver=training.solver, stepSize=training.step,
     )
     judge = MulticlassClassificationEvaluator(labelCol=code, metricName="logLoss")
-    best, best_loss, losses, stale = None, float("inf"), [], 0
+    best, best_round, reference, losses, stale = None, 0, float("inf"), [], 0
     try:
         for number in range(training.rounds):
             model = learner.fit(held[0])
@@ -103,8 +110,10 @@ def fit_network(
             losses.append(judge.evaluate(scored))
             if after_round is not None:
                 after_round(number, scored)
-            if losses[-1] < best_loss - training.min_delta:
-                best, best_loss, stale = model, losses[-1], 0
+            if best is None or losses[-1] < losses[best_round]:
+                best, best_round = model, number
+            if losses[-1] < reference - training.min_delta:
+                reference, stale = losses[-1], 0
             else:
                 stale += 1
                 if stale >= training.patience:
@@ -113,7 +122,7 @@ def fit_network(
     finally:
         for t in held:
             t.unpersist()
-    return Network(PipelineModel([*prepare.stages, best if best is not None else model]), losses)
+    return Network(PipelineModel([*prepare.stages, best]), losses, best_round)
 
 
 def round_scores(scored: DataFrame, code: str, classes: int) -> dict[str, float]:
@@ -136,5 +145,5 @@ def sweep_networks(
     rows = []
     for name, (widths, training) in candidates.items():
         network = fit_network(train, valid, features, code, classes, widths, training)
-        rows.append((name, "-".join(map(str, widths)), len(network.losses), float(min(network.losses))))
+        rows.append((name, "-".join(map(str, widths)), len(network.losses), float(network.best_loss)))
     return train.sparkSession.createDataFrame(rows, "name string, widths string, rounds int, best_loss double")

@@ -42,18 +42,16 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, work: int) -> DataFrame:
-    """More partitions for heavy computation on a table that has fewer of them than there are cores.
+def laid_out(df: DataFrame, partitions: int) -> DataFrame:
+    """The same rows in the same partitions and order, however they were laid out before.
 
-    ``work`` is a rough cost per row; about 250,000 units make a partition. A table with as
-    many partitions as cores, as any large one has, is neither counted nor shuffled.
+    Learners that draw or average per partition then give the same model on any cluster. The caller
+    gives the number of partitions: enough for a partition to fit a task, whatever the number of cores.
+    Equal rows may change places.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
-    if have >= cores:
-        return df
-    wanted = min(cores, 1 + df.count() * work // 250_000)
-    return df.repartition(wanted) if wanted > have else df
+    place = F.xxhash64(*[column(c) for c in df.columns])
+    placed = df.withColumn("_place", place).repartition(partitions, "_place")
+    return placed.sortWithinPartitions("_place").drop("_place")
 
 
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

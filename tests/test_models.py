@@ -93,10 +93,10 @@ def test_gradient_equals_finite_differences():
     x = np.random.default_rng(1).uniform(0.1, 1, (7, 4))
 
     def loss(w):
-        seen = ae.activations(ae.layers_of(model.widths, w), x)
+        seen = ae.activations(ae.layers_of(model.widths, w), x, len(model.widths) - 2)
         return ((seen[-1] - x) ** 2).mean() + 0.01 * np.abs(seen[1]).sum() / len(x)
 
-    g = ae.gradient(model.widths, model.weights, x, 0.01)
+    g = ae.gradient(model.widths, model.weights, x, 0.01, leak=0.0)
     for i in range(0, len(g), 3):
         step = np.zeros_like(g)
         step[i] = 1e-6
@@ -117,6 +117,24 @@ def test_autoencoder_learns_codes_and_round_trips(spark, clean):
     assert codes.where("size(code) <> 2").count() == 0
 
 
+def test_autoencoder_does_not_depend_on_the_partitions(spark, clean):
+    names = ["f_value", "f_k", "f_dirty"]
+    rows = ae.scaled_rows(ae.scale_rows(clean, names), clean).select("flow_id", "x")
+    start = ae.new_autoencoder(3, [4], 2, seed=2)
+    fitted = [ae.fit_autoencoder(rows.repartition(n), rows, start, ae.Training(epochs=2, rate=0.01, batch=20)) for n in (1, 4, 16)]
+    assert all(np.array_equal(fitted[0].weights, m.weights) for m in fitted)
+
+
+def test_network_keeps_every_lower_loss(clean, monkeypatch):
+    coded = clean.withColumn("code", (F.col("label") == "BENIGN").cast("double"))
+    losses = iter([0.5, 0.49995, 0.49999, 0.49998])
+    monkeypatch.setattr(networks.MulticlassClassificationEvaluator, "evaluate", lambda self, df: next(losses))
+    training = networks.Training(rounds=10, iterations=1, patience=3, min_delta=1e-3)
+    network = networks.fit_network(coded, coded, ["f_value", "f_k"], "code", 2, [3], training)
+    assert network.losses == [0.5, 0.49995, 0.49999, 0.49998]
+    assert network.best_round == 1 and network.best_loss == 0.49995
+
+
 def test_pca_equals_the_covariance_eigenvectors(clean):
     names = ["f_value", "f_k", "f_dirty"]
     data = np.array([[r[n] for n in names] for r in clean.collect()])
