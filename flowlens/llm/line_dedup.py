@@ -129,7 +129,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, gram_words: int
     place = F.struct("id", "line")
     firsts = places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts.select("key", "first"), "firsts")
-    later = places.join(small_side(firsts, BROADCAST_ROWS), "key").where(~place.eqNullSafe(F.col("first")))
+    # joined by key at every size: repeated keys grow with the corpus
+    later = places.join(firsts, "key").where(~place.eqNullSafe(F.col("first")))
     gone = later.select("id", "line").distinct().groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     return materialise(gone, "gone")
 
