@@ -371,9 +371,9 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
                     names=[*batch.schema.names, out_col, "score", "scores"],
                 )
 
-    schema = docs.select(
-        "*", F.array().cast("array<int>").alias(out_col), F.lit(0.0).cast("double").alias("score"), F.array().cast("array<double>").alias("scores")
-    ).schema
+    none = F.lit(None)
+    added = [none.cast(t).alias(c) for c, t in ((out_col, "array<int>"), ("score", "double"), ("scores", "array<double>"))]
+    schema = docs.select("*", *added).schema
     return docs.mapInArrow(work, schema)
 
 
@@ -406,4 +406,4 @@ def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, pieces_col: str =
                 out.append((text[1:] if text.startswith(b" ") else text).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, out_col])
 
-    return encoded.mapInArrow(work, encoded.select("*", F.lit("").cast("string").alias(out_col)).schema)
+    return encoded.mapInArrow(work, encoded.select("*", F.lit(None).cast("string").alias(out_col)).schema)
