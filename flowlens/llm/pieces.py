@@ -37,7 +37,7 @@ from flowlens.llm.batches import text_chunks
 
 MARK = "▁"
 UNKNOWN = -10.0
-CACHE = 200_000
+CACHE = 50_000
 #: Units longer than this are not put together with others.
 LONG = 40
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -298,7 +298,7 @@ class Encoder:
 
     def encode(self, texts: list[str], n: int) -> Iterator[tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int]]]]]]:
         """Per text: best score, its pieces, and up to ``n`` segmentations as (score, [(unit's number, rank)])."""
-        if len(self.place) > CACHE:
+        if len(self.place) + len(self.alternatives) > CACHE:
             self.clear()
         place = self.place
         coded, fresh = [], []
@@ -338,16 +338,20 @@ class Encoder:
         return [(total - h, list(c)) for h, c in heap]
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = 1, out_col: str = "pieces") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", n: int = 1, out_col: str = "pieces", decoded_col: str | None = None
+) -> DataFrame:
     """All columns of ``docs`` with ``pieces`` (array<int>), ``score`` and ``scores`` (of the ``n`` best segmentations).
 
-    Columns of ``docs`` with these names are replaced.
+    With ``decoded_col``, also the text that the pieces give back, in the same pass. Columns of ``docs`` with
+    these names are replaced.
     """
-    docs = docs.drop(out_col, "score", "scores")
+    docs = docs.drop(out_col, "score", "scores", *([decoded_col] if decoded_col else []))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    added = [(out_col, "array<int>"), ("score", "double"), ("scores", "array<double>"), *([(decoded_col, "string")] if decoded_col else [])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, raw = Encoder(shared.value), _raw(shared.value)
         for whole in batches:
             for batch in _by_size(whole, text_col):
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
@@ -367,43 +371,45 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text"
                         pieces,
                         pa.array(score, mask=null),
                         pa.array([None if x else s for x, s in zip(null, scores)], pa.list_(pa.float64())),
+                        *([pa.array([None if x else _text(raw, i) for x, i in zip(null, ids)], pa.string())] if decoded_col else []),
                     ],
-                    names=[*batch.schema.names, out_col, "score", "scores"],
+                    names=[*batch.schema.names, *(c for c, _ in added)],
                 )
 
-    none = F.lit(None)
-    added = [none.cast(t).alias(c) for c, t in ((out_col, "array<int>"), ("score", "double"), ("scores", "array<double>"))]
-    schema = docs.select("*", *added).schema
+    schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in added]).schema
     return docs.mapInArrow(work, schema)
 
 
-def _by_size(batch: pa.RecordBatch, text_col: str, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _by_size(batch: pa.RecordBatch, text_col: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``size`` bytes of text."""
     texts = batch.column(batch.schema.get_field_index(text_col))
     for a, b, _, _ in text_chunks(texts, size):
         yield batch.slice(a, b - a)
 
 
+def _raw(v: Vocabulary) -> list[bytes]:
+    """The bytes of each piece in a text."""
+    raw = [p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p in v.pieces]
+    for b, i in v.bytes_at.items():
+        raw[i] = bytes([b])
+    return raw
+
+
+def _text(raw: list[bytes], ids: np.ndarray) -> str:
+    text = b"".join([raw[i] for i in ids.tolist()])
+    return (text[1:] if text.startswith(b" ") else text).decode("utf-8", "surrogatepass")
+
+
 def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, pieces_col: str = "pieces", out_col: str = "decoded") -> DataFrame:
     """All columns with the text of the pieces; null for null. A column of that name is replaced."""
     encoded = encoded.drop(out_col)
-    shared = encoded.sparkSession.sparkContext.broadcast((vocabulary.pieces, vocabulary.bytes_at))
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, at = shared.value
-        raw = [p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p in pieces]
-        for b, i in at.items():
-            raw[i] = bytes([b])
+        raw = _raw(shared.value)
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(pieces_col))
-            out = []
-            for row in lists:
-                ids = row.values
-                if ids is None:
-                    out.append(None)
-                    continue
-                text = b"".join([raw[i] for i in ids.to_numpy()])
-                out.append((text[1:] if text.startswith(b" ") else text).decode("utf-8", "surrogatepass"))
+            out = [None if row.values is None else _text(raw, row.values.to_numpy()) for row in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(work, encoded.select("*", F.lit(None).cast("string").alias(out_col)).schema)

@@ -47,7 +47,7 @@ def op2_sentencepiece(spark, sf_dir):
     """Per document: pieces, the scores of the three best segmentations, and whether decoding gives the text back."""
     vocabulary = pieces.load_vocabulary(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode_pieces(pieces.encode_texts(docs, vocabulary, n=3), vocabulary)
+    coded = pieces.encode_texts(docs, vocabulary, n=3, decoded_col="decoded")
     return coded.select(
         "doc_id",
         F.size("pieces").cast("bigint").alias("n_pieces"),
