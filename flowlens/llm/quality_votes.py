@@ -7,7 +7,9 @@ on good and on bad texts; a text's posterior probability of being good follows f
 a list of rules that all have to pass.
 
 A text fails the base rule if it has fewer than ``MIN_WORDS`` words, or more than half of its words lie in
-3-word windows that the text has twice or more. Such a text is not kept, whatever the votes.
+3-word windows that the text has twice or more. Such a text is not kept, whatever the votes. The rates are
+those of the texts that pass, which alone the votes decide: otherwise the many symptoms of repeating texts
+fill the bad class, and a text with one symptom counts as good.
 
 Null, empty and blank texts have no words, so all measures are 0 and they fail. A pattern table has at
 most 3 ** rules rows; only its sums reach the driver. Ids may be null or repeat; other columns are never read.
@@ -26,13 +28,16 @@ from flowlens.runtime import column as named
 from flowlens.runtime import materialise
 
 MIN_WORDS = 50
-ROUNDS = 60
+ROUNDS = 1000
+#: The rounds end when the share of good texts moves less than this.
+STILL = 1e-9
 KEEP = 0.5
-#: Priors: share of good texts; rates of votes -1, 0 and 1 on good and on bad texts; their weight.
+#: Priors: share of good texts; rates of votes -1, 0 and 1 on good and on bad texts; their weight in
+#: texts for each class, which does not grow with the table.
 GOOD_SHARE = 0.85
 GOOD_VOTES = (0.01, 0.09, 0.9)
 BAD_VOTES = (0.25, 0.1, 0.65)
-PRIOR = 0.3
+PRIOR = 20.0
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 _MARKS = ".!?:;,"
@@ -116,13 +121,13 @@ def votes() -> dict[str, Column]:
 def fit_votes(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple[float, dict[str, dict[str, list[float]]]]:
     """(share of good texts, for each rule and class the rates of votes -1, 0 and 1) by expectation-maximisation.
 
-    The pattern table has at most 3 ** rules rows, whatever the number of texts; the rounds run over it. Rates are
-    the most probable ones under the priors, which weigh like PRIOR of all texts and keep the two classes apart: a
-    good text seldom gets a bad vote, a bad one often gets some good ones.
+    The pattern table has at most 3 ** rules rows, whatever the number of texts; the rounds run over it. They start
+    from the prior rates, which tell the two classes apart: a good text seldom gets a bad vote, a bad one often gets
+    some good ones. As PRIOR texts of each class the priors also keep rates off 0; on small tables they still weigh.
     """
     patterns = [(tuple(r[k] for k in rules), r["n"]) for r in voted.groupBy(*rules).agg(F.count("*").alias("n")).collect()]
     total = sum(n for _, n in patterns)
-    weight = PRIOR * max(total, 1)
+    weight = PRIOR
     share, rates = GOOD_SHARE, {r: {"good": list(GOOD_VOTES), "bad": list(BAD_VOTES)} for r in rules}
     for _ in range(rounds):
         good = 0.0
@@ -135,8 +140,10 @@ def fit_votes(voted: DataFrame, rules: list[str], rounds: int = ROUNDS) -> tuple
             for r, v in zip(rules, votes_of):
                 sums[r]["good"][v + 1] += n * q
                 sums[r]["bad"][v + 1] += n * (1 - q)
-        share = (good + GOOD_SHARE * weight) / (total + weight)
+        last, share = share, (good + GOOD_SHARE * weight) / (total + weight)
         rates = {r: {c: [x / sum(row) for x in row] for c, row in sums[r].items()} for r in rules}
+        if abs(share - last) < STILL:
+            break
     return share, rates
 
 
@@ -155,7 +162,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rules = votes()
     voted = measured.select("*", *[v.alias(f"vote_{k}") for k, v in rules.items()])
     names = [f"vote_{k}" for k in rules]
-    share, rates = fit_votes(voted.select(*names), names)
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
+    share, rates = fit_votes(voted.where(~failed).select(*names), names)
     judged = voted.withColumn("base_failed", failed).withColumn("posterior", _posterior(share, rates))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep)).withColumnRenamed("id", id_col)

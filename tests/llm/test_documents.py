@@ -371,6 +371,22 @@ def test_votes_keep_clean_documents(spark, sf_dir):
     assert got.where("quality = 0 AND NOT kept").count() > 0
 
 
+def test_votes_reject_labelled_junk_and_keep_clean_documents(spark, sf_dir):
+    large = sf_dir.replace("0.001", "0.1")
+    labels = spark.read.parquet(f"{large}/labels.parquet")
+    got = QUERIES["op8_quality_rules"](spark, large).join(labels, "doc_id").where("NOT base_failed")
+    kept = {r["quality"]: (r["kept"], r["n"]) for r in got.groupBy("quality").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    print("kept of labelled texts that pass the base rule", kept)
+    assert kept[0][0] <= 0.05 * kept[0][1] and kept[1][0] >= 0.999 * kept[1][1]
+
+
+def test_rates_of_votes_follow_the_data_at_every_size(spark):
+    for times in (20, 2000):
+        rows = spark.range(times).selectExpr("explode(array(" + "1, " * 18 + "-1, -1)) AS a").selectExpr("a", "1 AS b", "a AS c")
+        _, rates = quality_votes.fit_votes(rows, ["a", "b", "c"])
+        assert rates["a"]["bad"][0] > 0.6 and rates["b"]["bad"][2] > 0.7
+
+
 # secrets
 
 
