@@ -10,14 +10,15 @@ vertical tab, form feed and carriage return.
 * Around each selected gram, matches are extended both ways: for each line less than RUN_WORDS words
   away, the run from the gram to that line is a key; so is the gram itself for each line inside it.
 * Keys are joined over all documents. A line that some key has at an earlier place (smaller id, then
-  smaller line number) is deleted.
+  smaller hash of the text, then smaller line number) is deleted.
 
 Hence every line of a run of whole lines with at least RUN_WORDS words that occurs earlier is deleted, and
 no line is deleted unless it lies in an earlier run of at least GRAM_WORDS words. First occurrences stay,
 but a run that overlaps its own repetition (one line many times) keeps its first line only.
 
-Null texts stay null; texts without lines of that size are left as they are. Rows with one id count as one
-place, so equal rows are treated alike. A null id comes before all others. Keys are 128-bit hashes.
+Null texts stay null; texts without lines of that size are left as they are. Rows with one id and
+one text (told by a 64-bit hash) count as one place, so equal rows are treated alike; other texts of that id, or
+of the null id, are places of their own. A null id comes before all others. Keys are 128-bit hashes.
 Frequent keys are counted before they are shuffled and their first place is one row.
 """
 
@@ -102,10 +103,13 @@ def _emit(gram_words: int, run_words: int):
             rows, keys, lines = [], [], []
 
             def block():
-                ids = batch.column(0).take(pa.array(rows, pa.int64()))
-                return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(lines, pa.int32())], names=["id", "key", "line"])
+                at = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary()), pa.array(lines, pa.int32())],
+                    names=["id", "tag", "key", "line"],
+                )
 
-            for n, text in enumerate(batch.column(1)):
+            for n, text in enumerate(batch.column(2)):
                 text = text.as_py()
                 if not text:
                     continue
@@ -122,16 +126,16 @@ def _emit(gram_words: int, run_words: int):
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """(id, lines): sorted numbers of the lines to delete, for every id that has some."""
+    """(id, tag, lines): sorted numbers of the lines to delete, for every id and hash of a text that has some."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
-    places = source.mapInArrow(_emit(gram_words, run_words), f"id {kind}, key binary, line int")
-    place = F.struct("id", "line")
+    source = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("tag"), named(text_col).alias("text"))
+    places = source.mapInArrow(_emit(gram_words, run_words), f"id {kind}, tag bigint, key binary, line int")
+    place = F.struct("id", "tag", "line")
     firsts = places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts.select("key", "first"), "firsts")
     # joined by key at every size: repeated keys grow with the corpus
     later = places.join(firsts, "key").where(~place.eqNullSafe(F.col("first")))
-    gone = later.select("id", "line").distinct().groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    gone = later.select("id", "tag", "line").distinct().groupBy("id", "tag").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     return materialise(gone, "gone")
 
 
@@ -142,10 +146,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     docs = docs.drop("removed_lines")
     gone = small_side(repeated_lines(docs, id_col, text_col, gram_words, run_words), BROADCAST_ROWS)
-    gone = gone.select(F.col("id").alias("__id"), F.col("lines").alias("__lines"))
-    joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(F.col("__id")), "left")
+    gone = gone.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("lines").alias("__lines"))
     text = named(text_col)
+    same = docs[f"`{id_col}`"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col("__tag"))
+    joined = docs.join(gone, same, "left")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n")
     joined = joined.withColumn(text_col, F.when(F.col("__lines").isNull(), text).otherwise(left))
     removed = F.coalesce(F.col("__lines"), F.array().cast("array<int>"))
-    return joined.withColumn("removed_lines", removed).drop("__id", "__lines")
+    return joined.withColumn("removed_lines", removed).drop("__id", "__tag", "__lines")

@@ -149,6 +149,19 @@ def test_line_dedup_leaves_null_and_small_texts(corpus):
     assert len(got) == 5 and all(r["removed_lines"] == [] for r in got)
 
 
+@pytest.mark.parametrize("shared", [None, 5])
+def test_rows_of_one_id_lose_only_lines_of_their_own_text(spark, shared):
+    run = [brute.prose(k, 11, 10_000) for k in range(300, 305)]
+    own = [[brute.prose(400 + 20 * j + k, 11, 10_000) for k in range(8)] for j in range(4)]
+    texts = {"repeats": own[0][:2] + run + own[0][2:], "clean": own[1], "same place": own[2][:2] + run + own[2][2:]}
+    rows = [(shared, "\n".join(x)) for x in texts.values()]
+    got = [r["text"] for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert "\n".join(own[1]) in got
+    assert len(got) == 3 and sum("\n".join(run) in t for t in got) == 1
+    cut = {"\n".join(own[0]), "\n".join(own[2])}
+    assert len(cut & set(got)) == 1
+
+
 # mixing
 
 
