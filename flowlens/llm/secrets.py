@@ -1,13 +1,17 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a maximal run of at least ``MIN_LENGTH`` letters, digits and ``+/=_-`` that has a digit. The
-forest sees its length, changes between character classes, shares of digits, capitals and hexadecimal
+A candidate is, from each place on, the first that fits of: a value of at least 8 signs without blanks, quotes,
+brackets, commas and semicolons that is assigned (``=``, ``:``, ``=>``) to a name that ends with one of ``NEIGHBOURS`` or has
+such a word before ``_`` or ``-``; the password of ``scheme://user:password@``; a JSON web token; a maximal run of at least
+``MIN_LENGTH`` letters, digits and ``+/=_-`` that has a digit and is not such a name with its value. The forest sees its length, changes between character classes, shares of digits, capitals and hexadecimal
 digits, distinct characters, how much of its letters a dictionary of frequent letter pairs covers, whether it
-lies in a path or address, quotes and assignment signs around it, and which of ``NEIGHBOURS`` stand before
-it. It is trained from labelled findings and gives each candidate the probability of being a secret.
+lies in a path or address, quotes and assignment signs around it, whether it has one of the first three
+forms, and which of ``NEIGHBOURS`` stand before it. It is trained from labelled findings and gives each candidate the probability of being a secret.
 
-``labelled_findings`` labels by format what a format decides: a quoted value that is assigned to a
-credential name is a secret; runs of digits only, and parts of an address or path, are not. Everything else
+``labelled_findings`` labels by format what a format decides: a value of 16 or more signs that is assigned to a
+credential name and quoted or mixed of digits and others is a secret, and so are web tokens and passwords in
+addresses. Runs of digits only, what follows ``scheme://``, the user of a mail address, three or more short segments of
+one case and names with a file ending are not. A slash, dot or colon alone decides nothing. Everything else
 stays unlabelled and is decided by the forest. At most ``MAX_LABELLED`` labelled findings of each class
 (smallest hashes of text and context) are used to fit; candidates are searched and judged in all texts.
 
@@ -33,16 +37,30 @@ TREES, DEPTH = 40, 8
 CONTEXT = 40
 #: Frequent letter pairs that make up the dictionary.
 PAIRS = 300
-_SET = "[0-9A-Za-z+/=_-]"
-PATTERN = rf"(?<!{_SET})(?={_SET}*[0-9]){_SET}{{{MIN_LENGTH},}}"
 # fixed values: words that go before credentials
 NEIGHBOURS = ["token", "key", "secret", "password", "passwd", "pwd", "api", "auth", "bearer", "credential"]
-FEATURES = ["length", "changes", "digits", "capitals", "hex", "distinct", "covered", "path", "address", "quoted", "assigned", *[f"near_{w}" for w in NEIGHBOURS]]
+_SET = "[0-9A-Za-z+/=_-]"
+_VALUE = "[^\\s\"'`<>,;(){}\\[\\]]"
+_NAME = rf"(?i:{'|'.join(NEIGHBOURS)})(?:[_-][0-9A-Za-z_-]{{0,16}})?"
+_SIGN = "[=:]>?[ \\t]{0,3}[\"'`]?"
+#: What stands before a value that is assigned to a credential name, and before a password in an address.
+_CLAIM = rf"{_NAME}[\"'`]?[ \t]{{0,3}}{_SIGN}"
+_LOGIN = r"://[^\s/:@]{1,64}:"
+_JWT = "eyJ[0-9A-Za-z_-]{6,}[.][0-9A-Za-z_-]{6,}(?:[.][0-9A-Za-z_-]+)?"
+# short tests of what stands before come first, as most places fail them
+_ASSIGNED = rf"(?<=[=:> \t\"'`])(?<={_SIGN})(?<={_CLAIM}){_VALUE}{{8,}}(?<![.])"
+_PASSWORD = rf"(?<=:)(?<={_LOGIN})[^\s/@]{{6,}}(?=@)"
+_RUN = rf"(?<!{_SET})(?={_SET}*[0-9])(?![0-9A-Za-z_-]{{0,40}}{_NAME}={_VALUE}{{8}}){_SET}{{{MIN_LENGTH},}}"
+PATTERN = rf"{_ASSIGNED}|{_PASSWORD}|(?<!{_SET}){_JWT}|{_RUN}"
+# fixed values: endings of file names
+_ENDING = r"^[.](?:py|js|ts|java|c|h|cpp|go|rs|sh|html?|css|png|jpe?g|gif|svg|json|xml|ya?ml|txt|csv|md|pdf|log|zip|gz|tar|exe|dll|so)\b"
+FORMS = ["claimed", "login", "web_token"]
+FEATURES = ["length", "changes", "digits", "capitals", "hex", "distinct", "covered", "path", "address", "quoted", "assigned", *FORMS, *[f"near_{w}" for w in NEIGHBOURS]]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, start, value, before, after) of every candidate; ``start`` is its offset in code points."""
-    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).where(F.col("text").rlike(r"[0-9]"))
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).where(F.col("text").rlike("[0-9=:]"))
     rows = rows.select("id", F.regexp_extract_all("text", F.lit(PATTERN), 0).alias("values"), F.split("text", PATTERN, -1).alias("gaps"))
     rows = rows.where(F.size("values") > 0)
     ends = F.aggregate(
@@ -98,6 +116,9 @@ def described(found: DataFrame, pairs: list[str]) -> DataFrame:
         (before.rlike(r"[.@:]$") | after.rlike(r"^[.@:][0-9A-Za-z]")).cast("double").alias("address"),
         (before.rlike("[\"'`]$") & after.rlike("^[\"'`]")).cast("double").alias("quoted"),
         before.rlike(r"[=:]\s*[\"'`]?$").cast("double").alias("assigned"),
+        before.rlike(rf"{_CLAIM}$").cast("double").alias("claimed"),
+        (before.rlike(rf"{_LOGIN}$") & after.startswith("@")).cast("double").alias("login"),
+        v.rlike(rf"^{_JWT}$").cast("double").alias("web_token"),
         *[near.contains(w).cast("double").alias(f"near_{w}") for w in NEIGHBOURS],
     )
 
@@ -105,8 +126,14 @@ def described(found: DataFrame, pairs: list[str]) -> DataFrame:
 def labelled_findings(found: DataFrame) -> DataFrame:
     """Findings whose format decides: label 1.0 secret, 0.0 not."""
     named_value = F.greatest(*[F.col(f"near_{w}") for w in NEIGHBOURS]) > 0
-    secret = (F.col("quoted") > 0) & (F.col("assigned") > 0) & named_value & (F.col("length") >= 16)
-    harmless = (F.col("digits") == 1) | (F.col("address") > 0) | (F.col("path") > 0)
+    value, before, after = F.col("value"), F.col("before"), F.col("after")
+    quoted = (F.col("quoted") > 0) & (F.col("assigned") > 0) & named_value & (F.col("length") >= 16)
+    mixed = (F.col("claimed") > 0) & (F.col("length") >= 16) & (F.col("digits") > 0) & (F.col("digits") < 1)
+    secret = quoted | mixed | (F.col("login") > 0) | (F.col("web_token") > 0)
+    address = before.rlike(r"[A-Za-z]{2,}://\S*$") | (after.rlike("^@[0-9A-Za-z-]+[.][A-Za-z]") & ~before.endswith(":"))
+    segments = F.concat(F.regexp_extract(before, r"[0-9A-Za-z_./-]*$", 0), value)
+    path = segments.rlike("^/?(?:(?:[a-z0-9_.-]{1,12}/){2,}[a-z0-9_.-]{0,20}|(?:[A-Z0-9_.-]{1,12}/){2,}[A-Z0-9_.-]{0,20})$") | after.rlike(_ENDING)
+    harmless = (F.col("claimed") == 0) & ((F.col("digits") == 1) | address | path)
     label = F.when(secret, F.lit(1.0)).when(harmless, F.lit(0.0))
     return found.withColumn("label", label).where("label IS NOT NULL")
 

@@ -426,6 +426,34 @@ def test_secrets_in_awkward_rows(spark, corpus, empty):
     assert got["abcd1234efgh5678ijkl"]["start"] == 7
 
 
+def test_secrets_of_other_forms_are_found(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda n, signs="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(r.choice(signs) for _ in range(n))
+    token = ".".join(["eyJ" + word(17), "eyJ" + word(30), word(43)])
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    wanted = {
+        "API_KEY=abc1def2ghi3jkl4": "abc1def2ghi3jkl4",
+        f"aws_secret_access_key = {aws}": aws,
+        "token:abc123def456ghi789": "abc123def456ghi789",
+        f"Authorization Bearer {token} sent": token,
+        "postgres://admin:s3cr3tPass9@db.example.com/x": "s3cr3tPass9",
+        "password: correcthorse": "correcthorse",
+        "pwd = p@ss!w$rd~x": "p@ss!w$rd~x",
+        "passwd=hunterab": "hunterab",
+    }
+    rows = [(k, f"some words here {line} and more") for k, line in enumerate(wanted)]
+    rows += [(100 + k, f'token = "{word(40, "0123456789abcdef")}" in a text') for k in range(60)]
+    rows += [(200 + k, f"card {word(16, '0123456789')} paid") for k in range(60)]
+    rows += [(300 + k, f"see src/lib{k}/part{k}/name{k}.py there") for k in range(60)]
+    rows += [(400 + k, f"at https://example.com/page/item{k:05d}/view and on") for k in range(60)]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    kept = {(x["doc_id"], x["value"]) for x in found if x["kept"]}
+    assert {(k, v) for k, v in enumerate(wanted.values())} <= kept
+    assert not {d for d, _ in kept if d >= 200}
+
+
 # pieces
 
 
