@@ -52,6 +52,8 @@ from flowlens.runtime import materialise, scratch_path
 ARCHIVE_BYTES = 1 << 28
 #: Bytes of compressed members that are read as one piece of work.
 SPAN_BYTES = 1 << 22
+#: Bytes of compressed members that a task reads, where the session's usual number of tasks would read more.
+TASK_BYTES = 1 << 27
 #: The date of written records unless another one is given.
 DATE = "1970-01-01T00:00:00Z"
 _PIECE = 1 << 18
@@ -314,7 +316,9 @@ def normalise_archives(archives: DataFrame, folder: str, revisits: DataFrame | N
     fields = "archive string, place bigint, to_archive string, to_place bigint, to_page string"
     rows = archives.select("archive").distinct().select("archive", F.lit(-1).cast("bigint").alias("place"), *[F.lit(None).cast(t).alias(c) for c, t in (("to_archive", "string"), ("to_place", "bigint"), ("to_page", "string"))])
     rows = rows.unionByName(revisits if revisits is not None else spark.createDataFrame([], fields))
-    dealt = rows.repartition("archive").sortWithinPartitions("archive", "place")
+    # as many tasks as files: the rows are few, but the work behind each file is not
+    files = max(1, archives.select("archive").distinct().count())
+    dealt = rows.repartition(files, "archive").sortWithinPartitions("archive", "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_folder(folder)
@@ -393,7 +397,9 @@ def read_archives(archives: DataFrame, folder: str, payload: bool = False) -> Da
                 )
 
     schema = ", ".join([*[f"{c} {t}" for c, t in _READ], *(["html string"] if payload else [])])
-    return spans.repartition("archive", "start").mapInArrow(work, schema)
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    return spans.repartition(tasks, "archive", "start").mapInArrow(work, schema)
 
 
 def _read(fields: dict[str, str], block: Block, payload: bool) -> tuple:
