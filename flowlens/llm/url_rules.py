@@ -4,8 +4,8 @@ A rule is a host and a path prefix, written ``host/path``. It fits a URL whose h
 its subdomains and whose path starts with the rule's. The longest fitting rule decides; of equally long
 ones the first by code point. A URL that no rule fits gets the default verdict.
 
-A host becomes a key with its labels in reverse, each closed by a comma (``a.b.net`` is ``net,b,a,``), so
-that a rule's hosts are the interval of keys that start with its own. Rules and URLs are cut at the same
+A host becomes a key with its labels in reverse, each closed by a slash (``a.b.net`` is ``net/b/a/``), which no
+host can hold, so that a rule's hosts are the interval of keys that start with its own. Rules and URLs are cut at the same
 keys, URLs of one host may be cut among several parts, and a rule goes to each part its interval meets.
 Each part is sorted and read once: rules of enclosing hosts wait on a stack until a key lies beyond their
 interval, and a URL looks only at the stack. Between two tasks nothing is needed. The cuts come from a
@@ -44,8 +44,8 @@ def path_of(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """The host's labels in reverse, each closed by a comma; empty for an empty host."""
-    reverse = F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), ","), F.lit(","))
+    """The host's labels in reverse, each closed by a slash; empty for an empty host."""
+    reverse = F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "/"), F.lit("/"))
     return F.when(host == "", F.lit("")).otherwise(reverse)
 
 

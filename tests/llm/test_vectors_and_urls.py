@@ -115,8 +115,9 @@ def _judge(url, rules):
 
 
 def test_nested_rules_and_awkward_urls(spark):
-    rules = [("net/", "block"), ("b.net/", "allow"), ("a.b.net/x/", "block"), ("net/x/y/z/long", "allow"), ("com", "block"), ("c.com/q", "allow")]
+    rules = [("net/", "block"), ("b.net/", "allow"), ("a.b.net/x/", "block"), ("net/x/y/z/long", "allow"), ("com", "block"), ("c.com/q", "allow"), ("a,b.net/x/", "block"), ("net,/", "block")]
     hosts = ["net", "b.net", "a.b.net", "xa.b.net", "ab.net", "B.NET", "com", "d.c.com", "e.f", "", "net.", ".net", "b-net", "é.net"]
+    hosts += ["net,evil", "foo.net,b", "foo.net,b,", "c.com,q", ",net", "a,b.net", "b.net.", "net:80", "b.net:80", "x,y.b.net", "net,"]
     urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/x/1", "/x/y/z/longer?a=://b/", "?q", "#f/x/", "/q#://")]
     urls += [None, "", "no scheme", "://", "a://b://c.net/x/", "http:///path"] + ["https://w.a.b.net/x/same"] * 300
     rows = [(i % 350 or None, u) for i, u in enumerate(urls)]
