@@ -14,18 +14,20 @@ second-best score is least behind; A* runs on those. The Viterbi pass runs once
 batch, for all units of one length together, and also says how far the second best is behind.
 
 Texts are encoded where they lie: no shuffle, and no table but the vocabulary, which has a fixed size and is
-broadcast. Known units are kept in a cache of at most ``CACHE`` entries per task.
+broadcast. Known units are kept in a cache of about ``CACHE`` entries and ``CACHE_CHARS`` characters per task.
 
 Among equal scores the segmentation whose last differing piece starts earliest (the longest one) comes first. Null texts
 give null; empty texts give no pieces and score 0. Other columns are never read. Very long units are handled
-one by one in linear time.
+one by one, in time and memory linear in their length: arcs lie in arrays, and the search keeps ``n`` paths.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -38,6 +40,8 @@ from flowlens.llm.batches import text_chunks
 MARK = "▁"
 UNKNOWN = -10.0
 CACHE = 50_000
+#: Characters of the units in the cache, beyond which it is emptied.
+CACHE_CHARS = 1 << 21
 #: Units longer than this are not put together with others.
 LONG = 40
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -132,53 +136,85 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(usable, [p.get_score(i) for i in range(n)], at)
 
 
-def forward(v: Vocabulary, unit: str) -> tuple[list[float], list[list[tuple[float, int, int]]]]:
-    """Best score of each prefix, and for each place its incoming arcs as (score of the best path by it, start, piece)."""
-    best = [0.0] + [-np.inf] * len(unit)
-    incoming: list[list[tuple[float, int, int]]] = [[] for _ in range(len(unit) + 1)]
+@dataclass(frozen=True)
+class Lattice:
+    """The arcs of a unit sorted by their ends: those into ``place`` are ``first[place]`` to ``first[place + 1]``.
+
+    ``loss`` is how far the best path to an arc's end by this arc falls behind the best one.
+    """
+
+    best: np.ndarray
+    first: np.ndarray
+    start: np.ndarray
+    piece: np.ndarray
+    loss: np.ndarray
+
+    def into(self, place: int) -> Iterator[tuple[float, int, int]]:
+        a, b = int(self.first[place]), int(self.first[place + 1])
+        return zip(self.loss[a:b].tolist(), self.start[a:b].tolist(), self.piece[a:b].tolist())
+
+
+def forward(v: Vocabulary, unit: str) -> Lattice:
+    """The best score of each prefix, and all arcs."""
+    best = array("d", [0.0]) + array("d", [-np.inf]) * len(unit)
+    starts, ends, pieces, scores = array("i"), array("i"), array("i"), array("d")
     for i in range(len(unit)):
+        here = best[i]
         for end, piece, score in v.arcs(unit, i):
-            incoming[end].append((best[i] + score, i, piece))
-            best[end] = max(best[end], best[i] + score)
-    return best, incoming
+            starts.append(i)
+            ends.append(end)
+            pieces.append(piece)
+            scores.append(here + score)
+            if here + score > best[end]:
+                best[end] = here + score
+    best, ends = np.frombuffer(best), np.frombuffer(ends, dtype=np.int32)
+    order = np.argsort(ends, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(ends, minlength=len(unit) + 1))])
+    loss = best[ends[order]] - np.frombuffer(scores)[order]
+    return Lattice(best, first, np.frombuffer(starts, dtype=np.int32)[order], np.frombuffer(pieces, dtype=np.int32)[order], loss)
 
 
 def n_best(v: Vocabulary, unit: str, n: int) -> list[tuple[float, list[int]]]:
-    """The ``n`` best segmentations of a unit, best first: A* from its end."""
-    best, incoming = forward(v, unit)
-    turn = count()
-    heap = [(-best[-1], next(turn), len(unit), 0.0, None)]
+    """The ``n`` best segmentations of a unit, best first: A* from its end.
+
+    What a partial path loses against the best one is exactly what its best completion loses, and no two of them
+    share a completion. So no more of them are kept than segmentations are missing, and of equal ones the latest goes first:
+    the search runs straight to the start and does not spread over equally good paths.
+    """
+    lattice = forward(v, unit)
+    turn = count(0, -1)
+    open_paths = [(0.0, next(turn), len(unit), None)]
     out: list[tuple[float, list[int]]] = []
-    while heap and len(out) < n:
-        bound, _, place, behind, path = heapq.heappop(heap)
+    while open_paths and len(out) < n:
+        loss, _, place, path = open_paths.pop(0)
         if place == 0:
             ids: list[int] = []
             while path:
                 (start, piece), path = path
                 ids += [piece] if piece >= 0 else v.spelt(unit[start])[0]
-            out.append((-bound, ids))
+            out.append((float(lattice.best[-1]) - loss, ids))
             continue
-        for score, start, piece in incoming[place]:
-            own = score - best[start]
-            heapq.heappush(heap, (-(best[start] + own + behind), next(turn), start, behind + own, ((start, piece), path)))
+        # the earliest start is the latest to enter, so it goes first among equal ones
+        for own, start, piece in reversed([*lattice.into(place)]):
+            open_paths.append((loss + own, next(turn), start, ((start, piece), path)))
+        open_paths = heapq.nsmallest(n - len(out), open_paths)
     return out
 
 
 def _one(v: Vocabulary, unit: str) -> tuple[float, float, list[int]]:
     """(best score, how far the second best is behind, pieces) of one unit, in steps linear in its length."""
-    best, incoming = forward(v, unit)
+    lattice = forward(v, unit)
     place, gap, path = len(unit), np.inf, []
     while place:
-        top = max(incoming[place], key=lambda x: x[0])
-        for arc in incoming[place]:
-            if arc is not top:
-                gap = min(gap, top[0] - arc[0])
+        into = [*lattice.into(place)]
+        top = min(into, key=lambda x: x[0])
+        gap = min([gap, *[arc[0] for arc in into if arc is not top]])
         path.append((top[1], top[2]))
         place = top[1]
     ids: list[int] = []
     for start, piece in reversed(path):
         ids += [piece] if piece >= 0 else v.spelt(unit[start])[0]
-    return best[-1], gap, ids
+    return float(lattice.best[-1]), gap, ids
 
 
 def _many(v: Vocabulary, units: list[str], length: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -287,6 +323,7 @@ class Encoder:
         self.starts = np.array([0])
         self.names: list[str | None] = [None]
         self.alternatives: dict[tuple[int, int], list[tuple[float, list[int]]]] = {}
+        self.chars = 0
 
     def learn(self, units: list[str]) -> None:
         score, gap, ids = best_of_units(self.v, units)
@@ -295,10 +332,11 @@ class Encoder:
         self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype=np.int32)])
         self.size, self.score, self.gap = np.concatenate([self.size, size]), np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
         self.names += units
+        self.chars += sum(map(len, units))
 
     def encode(self, texts: list[str], n: int) -> Iterator[tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int]]]]]]:
         """Per text: best score, its pieces, and up to ``n`` segmentations as (score, [(unit's number, rank)])."""
-        if len(self.place) + len(self.alternatives) > CACHE:
+        if len(self.place) + len(self.alternatives) > CACHE or self.chars > CACHE_CHARS:
             self.clear()
         place = self.place
         coded, fresh = [], []

@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, on awkward and on given rows."""
 
 import math
+import random
 
 import brute
 import numpy as np
@@ -507,6 +508,23 @@ def test_pieces_give_the_text_back(spark, corpus, vocabulary, sf_dir):
         assert coded.where("text IS NULL AND pieces IS NOT NULL").count() == 0
 
 
+@pytest.mark.parametrize("letters", ["x", "abcdefghijklmnopqrstuvwxyz"])
+def test_a_word_of_a_million_letters(vocabulary, letters):
+    r = random.Random(6)
+    word = "".join(r.choice(letters) for _ in range(1_000_000))
+    total, ids, scores = next(pieces.Encoder(vocabulary).encode([word], 3))
+    assert pieces._text(pieces._raw(vocabulary), ids) == word
+    found = [s for s, _ in scores]
+    assert len(found) == 3 and found[0] == total and found == sorted(found, reverse=True)
+
+
+def test_the_cache_of_units_holds_few_characters(vocabulary):
+    encoder = pieces.Encoder(vocabulary)
+    for k in range(6):
+        list(encoder.encode([f"{k}" * pieces.CACHE_CHARS], 2))
+        assert encoder.chars <= pieces.CACHE_CHARS + 1
+
+
 # empty tables
 
 
