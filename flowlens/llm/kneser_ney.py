@@ -159,21 +159,18 @@ def _interpolated(counts: DataFrame, previous: DataFrame | None, order: int) ->
     return lower.select("gram", p.alias("p")), contexts.select("context", "weight")
 
 
-_DENSE: dict[int, np.ndarray] = {}
-
-
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per symbol; null without symbols or model)."""
+    """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per symbol; null without symbols or model).
+
+    The dense table lives as long as a task does, so that workers hold nothing between tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(shared)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        if fitted is not None and key not in _DENSE:
-            _DENSE.clear()
-            _DENSE[key] = fitted.bits()
-        table = _DENSE.get(key)
+        fitted, table = shared.value, None
         for batch in batches:
+            if table is None and fitted is not None:
+                table = fitted.bits()
             size = np.zeros(batch.num_rows, dtype=np.int64)
             total = np.zeros(batch.num_rows)
             for a, b, data, offsets in text_chunks(column(pa.Table.from_batches([batch]), text_col)):
