@@ -31,6 +31,7 @@ def test_stages_in_order(spark, sf_dir):
             assert docs.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == want
     assert len(pipeline.STAGES) == 5 and docs.count() == sizes[-2]
     assert docs.where("n_pieces <> size(pieces)").count() == 0
+    assert docs.where("NOT round_trip OR second_score > score").count() == 0
 
 
 def test_stages_take_awkward_and_empty_tables(spark, sf_dir):
@@ -49,5 +50,5 @@ def test_near_copies_leave_one_of_each(spark):
 
 def test_run_gives_tokens(spark, sf_dir):
     got = pipeline.run(spark, sf_dir)
-    assert got.columns == ["doc_id", "lang", "source", "n_pieces", "pieces", "score"]
+    assert got.columns == ["doc_id", "lang", "source", "n_pieces", "pieces", "score", "second_score", "round_trip"]
     assert got.count() > 0
