@@ -235,8 +235,7 @@ def attack_forest_onehot_rounded(spark, sf_dir):
 def attack_forest_smote(spark, sf_dir):
     parts = _parts(_attacks(spark, sf_dir), {"train": 0.8, "test": 0.2})
     classes = fo.attack_classes(parts)
-    names = ATTACK_FEATURES["DDoS"]
-    model = fo.fit_smote_regression(parts.where("split = 'train'"), "flow_id", names, classes)
+    model = fo.fit_smote_regression(parts.where("split = 'train'"), "flow_id", WIDE_FEATURES, classes)
     scored = fo.nearest_class(model.transform(parts.where("split = 'test'")))
     picked = F.array(*[F.lit(c) for c in classes])
     return _beats_majority(e.report(scored.withColumn("class_name", F.element_at(picked, F.col("class_code") + 1)), "label", "class_name"))

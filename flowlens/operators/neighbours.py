@@ -1,4 +1,6 @@
-"""Exact nearest neighbours inside each class, without comparing every pair.
+"""Exact nearest neighbours inside each class for few columns, without comparing every pair.
+
+In many columns one direction prunes nothing; ``near_join`` is for them.
 
 Points are projected on one direction, which never makes two points look further apart than
 they are. Each class is cut along that direction into slabs of about equal size:
@@ -22,36 +24,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from flowlens.functions.labels import MAX_CLASSES
+from flowlens.operators.near_join import nearest_rows
 from flowlens.runtime import bounded_rows, column, materialise, small_side
 
 _CANDIDATES = "array<struct<d2 double, id bigint, x array<double>>>"
-_MAX_EDGES = 10_000
+# Borders of slabs in a class; slabs that are larger for it are dealt out over parts.
+_EDGES = 10_000
 # Rows of a table with one row per slab that may be broadcast.
 _MAX_SLABS = 200_000
 # A slab this many times its usual size is dealt out over parts.
 _CROWDED = 4
-# Distances held at a time by one task.
-_BLOCK_CELLS = 4_000_000
 
 
 def _nearest(points: np.ndarray, others: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple]]:
     """For each point, the k nearest of ``others`` by (squared distance, id)."""
-    found, block = [], max(1, _BLOCK_CELLS // max(1, len(others)))
-    for start in range(0, len(points), block):
-        part = points[start : start + block]
-        d2 = np.zeros((len(part), len(others)))
-        for j in range(others.shape[1]):  # column by column: the same sum in any engine
-            gap = part[:, j, None] - others[None, :, j]
-            d2 += gap * gap
-        if len(others) > k:
-            # Everything at or below the k-th distance, so ties are settled by id, not by chance.
-            limit = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        else:
-            limit = np.full(len(part), np.inf)
-        for i in range(len(part)):
-            near = np.flatnonzero(d2[i] <= limit[i])
-            best = near[np.lexsort((ids[near], d2[i, near]))][:k]
-            found.append([{"d2": float(d2[i, b]), "id": int(ids[b]), "x": others[b].tolist()} for b in best])
+    order = np.argsort(ids, kind="stable")
+    row, other, d2 = nearest_rows(points, others[order], k)
+    found: list[list[tuple]] = [[] for _ in range(len(points))]
+    for r, b, d in zip(row.tolist(), order[other].tolist(), d2.tolist()):
+        found[r].append({"d2": d, "id": int(ids[b]), "x": others[b].tolist()})
     return found
 
 
@@ -97,10 +88,8 @@ def nearest_in_class(
 
     slabbed = points.withColumn("slab", F.lit(0) if whole else slab_of("class", "p")).withColumn("part", F.lit(0))
     crowded = None
-    # Slabs of the largest classes are larger, as no class is cut into more than a set number.
-    usual = max(slab_rows, -(-max(sizes.values(), default=0) // _MAX_EDGES))
-    if max(sizes.values(), default=0) > _CROWDED * usual:
-        crowded = _crowded(slabbed, usual)
+    if max(sizes.values(), default=0) > _CROWDED * slab_rows:
+        crowded = _crowded(slabbed, slab_rows)
         slabbed = (
             slabbed.join(crowded, ["class", "slab"], "left")
             .withColumn("part", F.pmod(F.xxhash64("x"), F.coalesce("parts", F.lit(1))).cast("int"))
@@ -141,7 +130,7 @@ def _class_sizes(points: DataFrame) -> dict[str, int]:
 
 def _slab_edges(points: DataFrame, sizes: dict[str, int], slab_rows: int) -> dict[str, np.ndarray]:
     """Per class the inner slab borders, from the class's own quantiles."""
-    slabs = {c: min(_MAX_EDGES, -(-n // slab_rows)) for c, n in sizes.items()}
+    slabs = {c: min(_EDGES, -(-n // slab_rows)) for c, n in sizes.items()}
     edges = {c: np.array([]) for c in sizes}
     most = max(slabs.values(), default=1)
     if most > 1:

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from flowlens.operators.near_join import ROUNDS, near_in_class
 from flowlens.operators.neighbours import nearest_in_class
 from flowlens.operators.smote import smote
 
@@ -103,3 +105,56 @@ def test_one_row_raised_to_many(spark, monkeypatch):
     out = smote(df, "flow_id", ["u"], ratio=1.0, k=5, seed=1)
     assert out.where("label = 'rare'").count() == 48
     assert out.where("label = 'rare'").select("flow_id", "copy").distinct().count() == 48
+
+
+def _cloud(n, width, seed, latent=5):
+    """Points of few dimensions, bent into many columns of different scales, with some noise."""
+    r = np.random.default_rng(seed)
+    inner = r.standard_normal((n, latent))
+    bent = np.concatenate([inner, np.sin(inner), inner**2], axis=1) @ r.standard_normal((3 * latent, width))
+    return (bent + 0.02 * r.standard_normal((n, width))) * np.exp(r.uniform(-1, 1, width))
+
+
+@pytest.mark.parametrize("width", [23, 64])
+def test_wide_neighbours_reach_their_recall_with_bounded_visits(spark, width):
+    x = _cloud(6000, width, width)
+    names = [f"c{j}" for j in range(width)]
+    labels = ["big" if i % 5 else "small" for i in range(len(x))]
+    df = spark.createDataFrame([(i, labels[i], *map(float, x[i])) for i in range(len(x))], ["flow_id", "label", *names])
+    found = near_in_class(df, "flow_id", names, 5, bucket_rows=256, seed=3)
+    right = total = rows = 0
+    at = {tuple(x[i].tolist()): i for i in range(len(x))}
+    for r in found.table.collect():
+        i = at[tuple(r["x"])]
+        own = [j for j in range(len(x)) if labels[j] == labels[i]] if rows % 10 == 0 else None
+        rows += 1
+        assert r["near"][0]["id"] == i and len(r["near"]) == 6
+        assert [c["d2"] for c in r["near"]] == sorted(c["d2"] for c in r["near"])
+        if own is not None:
+            d2 = np.sort(((x[own] - x[i]) ** 2).sum(axis=1))[5]
+            right += sum(c["d2"] <= d2 * (1 + 1e-9) for c in r["near"])
+            total += 6
+    assert rows == len(x)
+    assert right / total >= 0.9 and found.recall >= 0.95
+    # buckets hold about 256 points before they double, and every point is in one for each order
+    assert found.orders <= ROUNDS and found.visits <= found.orders * 2 * 256 < len(x)
+
+
+def test_a_crowded_cell_is_dealt_out(spark):
+    """Projections that are all but equal leave one cell for almost all points."""
+    rng = random.Random(9)
+    rows = [(i, "a", 5e7 if i % 9 else -5e7, rng.random() * 1e-9) for i in range(600)]
+    df = spark.createDataFrame(rows, "flow_id bigint, label string, u double, v double")
+    found = near_in_class(df, "flow_id", ["u", "v"], 5, bucket_rows=40)
+    assert found.recall >= 0.95 and found.table.count() == 600
+
+
+def test_small_classes_are_exact(spark):
+    rows = _points(4, 260, 120)
+    df = spark.createDataFrame(rows, "flow_id bigint, label string, u double, v double, w double")
+    near = near_in_class(df, "flow_id", ["u", "v", "w"], 5)
+    assert (near.recall, near.orders) == (1.0, 1)
+    found = {(r["class"], tuple(r["x"])): [n["id"] for n in r["near"]] for r in near.table.collect()}
+    want = _brute(rows, 5)
+    for i, c, *x in rows:
+        assert [j for j in found[(c, tuple(v + 0.0 for v in x))] if j != i][:5] == want[i]
