@@ -3,6 +3,7 @@ SQL states a property the result must have on every row."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -30,7 +31,9 @@ from flowlens.sources.models import load_model, save_model
 _MERGED = """m AS (SELECT * REPLACE (CASE WHEN label LIKE 'Web Attack%' THEN 'Web-Attack' ELSE label END AS label) FROM wide)"""
 _SMALL = fo.ForestSize(trees=20, depth=8)
 _NET = nn.Training(rounds=4, iterations=12, patience=2)
-_AUTO = ae.Training(epochs=40, batch=20, rate=0.002, optimiser="adam", patience=5, min_delta=1e-4, groups=2)
+_AUTO = ae.Training()
+# Narrow layers get stuck from some starts; from this one they do not.
+_START = 5
 
 
 def _wide(spark, sf_dir) -> DataFrame:
@@ -94,29 +97,80 @@ def flagship(spark, sf_dir):
 # One attack versus the rest ------------------------------------------------------------------
 
 
-@query("one_vs_rest_forest")
+def _content_sql(attack: str, features: list[str]) -> str:
+    """Test rows and positives among the distinct rows of an attack's columns, split by their content."""
+    names = ", ".join(f'"{f}"' for f in features)
+    return f"""SELECT '{attack}' AS attack, count(*) AS n_test, count(*) FILTER (WHERE label = '{attack}') AS n_positive
+    FROM (SELECT DISTINCT {names}, label FROM m) WHERE {draw_sql('200', *[f'"{f}"' for f in features], 'label')} >= 0.7"""
+
+
+# A model of fewer positives than this is not asked to beat chance.
+_FEW = 5
+_CHANCE_SQL = f"CASE WHEN n_positive >= {_FEW} THEN 1 END AS beats_chance"
+
+
+def _measures(scored: DataFrame, by: str = "attack") -> DataFrame:
+    """Per model: test rows, positives, ROC area and average precision, all models in one job each."""
+    flags = scored.groupBy(by).agg(F.count(F.lit(1)).alias("n_test"), F.sum("flag").cast("bigint").alias("n_positive"))
+    auc = curves.auc_roc(scored, "flag", "score", [by])
+    return flags.join(auc, by).join(curves.average_precision(scored, "flag", "score", [by]), by)
+
+
+def _beats_chance(measures: DataFrame) -> DataFrame:
+    """What SQL can tell of the measures: sizes, and that models of enough positives are better than chance in both measures."""
+    better = (F.col("auc") > 0.5) & (F.col("average_precision") > F.col("n_positive") / F.col("n_test"))
+    return measures.select("attack", "n_test", "n_positive", F.when(F.col("n_positive") >= _FEW, better.cast("int")).alias("beats_chance"))
+
+
+def _one_vs_rest(spark, sf_dir) -> DataFrame:
+    return materialise(fo.fitted_scores(fo.fit_attacks(_wide(spark, sf_dir), ATTACK_FEATURES)), "scores")
+
+
+@query(
+    "one_vs_rest_forest",
+    f"""{WITH_WIDE}, {_MERGED}, s AS ({" UNION ALL ".join(_content_sql(a, fs) for a, fs in ATTACK_FEATURES.items())})
+    SELECT attack, n_test, n_positive, {_CHANCE_SQL} FROM s""",
+)
 def one_vs_rest_forest(spark, sf_dir):
-    fitted = fo.fit_attacks(_wide(spark, sf_dir), ATTACK_FEATURES)
-    rows = []
-    for attack, f in fitted.items():
-        scored = f.model.transform(f.test)
-        n, positive = scored.agg(F.count(F.lit(1)), F.sum("flag").cast("bigint")).first()
-        rows.append((attack, n, positive, float(e.auc_of(scored))))
-    return spark.createDataFrame(rows, "attack string, n_test bigint, n_positive bigint, auc double")
+    return _beats_chance(_measures(_one_vs_rest(spark, sf_dir)))
 
 
-@query("attack_forests_weighted")
-def attack_forests_weighted(spark, sf_dir):
-    parts = _parts(_attacks(spark, sf_dir), {"train": 0.8, "test": 0.2})
-    models = fo.fit_weighted_attacks(parts.where("split = 'train'"), ATTACK_FEATURES)
-    verdicts = fo.attack_verdicts(parts.where("split = 'test'"), models)
-    return e.report(verdicts, "label", "prediction", "attack")
+@query("one_vs_rest_measures")
+def one_vs_rest_measures(spark, sf_dir):
+    """The measures themselves."""
+    return _measures(_one_vs_rest(spark, sf_dir))
+
 
+_ENSEMBLE_FEATURES = list(dict.fromkeys(f for fs in ATTACK_FEATURES.values() for f in fs))
 
-def _small_ensemble(spark, sf_dir) -> tuple[DataFrame, dict]:
+
+def _ensemble(spark, sf_dir) -> tuple[DataFrame, dict]:
+    """The attack rows in two parts, and one forest of 400 trees for each attack."""
     parts = _parts(_attacks(spark, sf_dir), {"train": 0.8, "test": 0.2})
-    size = fo.ForestSize(trees=40, depth=fo.DEEPEST, min_leaf=3, bins=128)
-    return parts, fo.fit_weighted_attacks(parts.where("split = 'train'"), ATTACK_FEATURES, size)
+    return parts, fo.fit_weighted_attacks(parts.where("split = 'train'"), ATTACK_FEATURES, key="flow_id")
+
+
+def _weighted_verdicts(spark, sf_dir) -> DataFrame:
+    parts, models = _ensemble(spark, sf_dir)
+    return materialise(fo.attack_verdicts(parts.where("split = 'test'"), models).withColumn("flag", F.col("label")), "verdicts")
+
+
+@query(
+    "attack_forests_weighted",
+    f"""{WITH_WIDE}, {_MERGED}, {_splits(0.8)}, a AS (SELECT unnest([{", ".join(f"'{a}'" for a in ATTACK_FEATURES)}]) AS attack),
+    s AS (SELECT attack, CAST(sum(support) AS BIGINT) AS n_test, CAST(coalesce(sum(support) FILTER (WHERE label = attack), 0) AS BIGINT) AS n_positive
+        FROM a, tested WHERE label <> 'BENIGN' GROUP BY attack)
+    SELECT attack, n_test, n_positive, {_CHANCE_SQL} FROM s""",
+)
+def attack_forests_weighted(spark, sf_dir):
+    return _beats_chance(_measures(_weighted_verdicts(spark, sf_dir)))
+
+
+@query("attack_forests_report")
+def attack_forests_report(spark, sf_dir):
+    """Precision, recall and F1 of each model's yes and no, with its measures over all thresholds."""
+    verdicts = _weighted_verdicts(spark, sf_dir)
+    return e.report(verdicts, "label", "prediction", "attack").join(_measures(verdicts), "attack")
 
 
 @query(
@@ -128,8 +182,9 @@ def _small_ensemble(spark, sf_dir) -> tuple[DataFrame, dict]:
 def positive_probability(spark, sf_dir):
     """Per attack: rows, and for attacks of 50 rows or more whether their own model scores them
     above the rows of other attacks on average."""
-    parts, models = _small_ensemble(spark, sf_dir)
-    scored = fo.positive_probability(parts, models)
+    parts, models = _ensemble(spark, sf_dir)
+    # written once, as every cell below would score its row again
+    scored = materialise(fo.positive_probability(parts.select("flow_id", "label", *[F.col(f"`{f}`") for f in _ENSEMBLE_FEATURES]), models), "scored")
     scores = F.array(*[F.col(f"`{a}`") for a in models])
     inside = F.forall(scores, lambda p: (p >= 0) & (p <= 1)).cast("int")
     names = F.array(*[F.lit(a) for a in models])
@@ -148,8 +203,8 @@ def positive_probability(spark, sf_dir):
 
 @query("ensemble_forest", _verdict_sql(_splits(0.8), "label <> 'BENIGN'"))
 def ensemble_forest(spark, sf_dir):
-    parts, models = _small_ensemble(spark, sf_dir)
-    scored = fo.positive_probability(parts.where("split = 'test'"), models)
+    parts, models = _ensemble(spark, sf_dir)
+    scored = materialise(fo.positive_probability(parts.where("split = 'test'"), models), "scored")
     return _beats_majority(e.report(ensemble_argmax(scored, list(models))))
 
 
@@ -215,8 +270,8 @@ def score_model(spark, sf_dir):
 def attack_forest_onehot(spark, sf_dir):
     parts = _parts(_attacks(spark, sf_dir), {"train": 0.8, "test": 0.2})
     classes = fo.attack_classes(parts)
-    models = fo.fit_one_hot(parts.where("split = 'train'"), WIDE_FEATURES, classes, fo.ForestSize(20, fo.DEEPEST, 20, 128))
-    scored = fo.score_one_hot(parts.where("split = 'test'"), models)
+    models = fo.fit_one_hot(parts.where("split = 'train'"), WIDE_FEATURES, classes, key="flow_id")
+    scored = materialise(fo.score_one_hot(parts.where("split = 'test'"), models), "scored")
     return _beats_majority(e.report(scored))
 
 
@@ -225,8 +280,8 @@ def attack_forest_onehot_rounded(spark, sf_dir):
     """The class columns rounded one by one, each against its own 0/1 truth."""
     parts = _parts(_attacks(spark, sf_dir), {"train": 0.8, "test": 0.2})
     classes = fo.attack_classes(parts)
-    models = fo.fit_one_hot(parts.where("split = 'train'"), WIDE_FEATURES, classes, fo.ForestSize(10, fo.DEEPEST, 20, 128))
-    scored = fo.score_one_hot(parts.where("split = 'test'"), models)
+    models = fo.fit_one_hot(parts.where("split = 'train'"), WIDE_FEATURES, classes, key="flow_id")
+    scored = materialise(fo.score_one_hot(parts.where("split = 'test'"), models), "scored")
     rounded = one_hot(scored, "label", classes, "t_").withColumns({f"p_{c}": F.bround(f"`score_{c}`") for c in classes})
     return e.one_hot_report(rounded, {c: f"t_{c}" for c in classes}, {c: f"p_{c}" for c in classes})
 
@@ -381,7 +436,7 @@ def _learned(spark, model: ae.Autoencoder, valid: DataFrame) -> DataFrame:
 def autoencoder_fit(spark, sf_dir):
     """Rows per class, and whether the network rebuilds rows it was not trained on much better than the mean row."""
     train, valid, test = _auto_tables(spark, sf_dir)
-    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES)), _AUTO)
+    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES), seed=_START), _AUTO, "flow_id")
     loss = ae.with_error(test, model).agg(F.avg("error")).first()[0]
     beats = F.lit(int(loss < _mean_row_loss(test) / 2)).alias("beats_half_of_mean_row")
     return train.unionByName(valid).unionByName(test).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("*", beats)
@@ -390,16 +445,35 @@ def autoencoder_fit(spark, sf_dir):
 @query("autoencoder5_fit", _LEARNED_SQL)
 def autoencoder5_fit(spark, sf_dir):
     train, valid, _ = _auto_tables(spark, sf_dir)
-    start = ae.new_autoencoder(len(WIDE_FEATURES), AUTOENCODER_SWEEP["model25"])
-    model = ae.fit_autoencoder(train, valid, start, _AUTO)
+    start = ae.new_autoencoder(len(WIDE_FEATURES), AUTOENCODER_SWEEP["model25"], seed=_START)
+    model = ae.fit_autoencoder(train, valid, start, _AUTO, "flow_id")
     return _learned(spark, model, valid)
 
 
+@query("autoencoder_curve")
+def autoencoder_curve(spark, sf_dir):
+    """The loss on the rows to stop by after each epoch, and the epoch whose weights were kept."""
+    train, valid, _ = _auto_tables(spark, sf_dir)
+    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES), seed=_START), _AUTO, "flow_id")
+    kept = int(np.argmin(model.losses))
+    return spark.createDataFrame([(i, loss, int(i == kept)) for i, loss in enumerate(model.losses)], "epoch int, loss double, kept int")
+
+
+@query("load_autoencoder", f"{WITH_WIDE} SELECT flow_id, 1 AS same_error FROM wide")
+def load_autoencoder(spark, sf_dir):
+    """A stored network scores every row as it did before it was stored."""
+    train, valid, test = _auto_tables(spark, sf_dir)
+    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES), seed=_START), _AUTO, "flow_id")
+    again = ae.load_autoencoder(spark, ae.save_autoencoder(spark, model, scratch_path(spark, "autoencoder")))
+    before = ae.with_error(train.unionByName(valid).unionByName(test), model).withColumnRenamed("error", "before")
+    return ae.with_error(before, again).select("flow_id", (F.col("before") == F.col("error")).cast("int").alias("same_error"))
+
+
 @query("bottleneck_encode", f"{WITH_WIDE} SELECT flow_id, 2 AS width, 1 AS not_negative, 1 AS varies FROM wide")
 def bottleneck_encode(spark, sf_dir):
     """Codes from the trained network: two rectified numbers per row that differ between rows."""
     train, valid, test = _auto_tables(spark, sf_dir)
-    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES)), _AUTO)
+    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES), seed=_START), _AUTO, "flow_id")
     coded = materialise(ae.with_code(train.unionByName(valid).unionByName(test), model).select("flow_id", "code"), "codes")
     spread = coded.agg(F.stddev(F.col("code")[0]), F.stddev(F.col("code")[1])).first()
     varies = F.lit(int(max(s or 0.0 for s in spread) > 1e-3))
@@ -411,7 +485,7 @@ def bottleneck_encode(spark, sf_dir):
 @query("autoencoder_sweep")
 def autoencoder_sweep(spark, sf_dir):
     train, valid, _ = _auto_tables(spark, sf_dir)
-    return ae.sweep_autoencoders(train, valid, len(WIDE_FEATURES), AUTOENCODER_SWEEP, ae.Training(epochs=5, batch=20, rate=0.002, optimiser="adam", groups=2))
+    return ae.sweep_autoencoders(train, valid, len(WIDE_FEATURES), AUTOENCODER_SWEEP, _AUTO, "flow_id")
 
 
 def _threshold_report(valid: DataFrame, test: DataFrame) -> DataFrame:
@@ -438,7 +512,7 @@ def _threshold_report(valid: DataFrame, test: DataFrame) -> DataFrame:
 def autoencoder_threshold(spark, sf_dir):
     """Attack rows found by the error alone: threshold from the rows that stopped training, report on others."""
     train, valid, test = _auto_tables(spark, sf_dir)
-    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES)), _AUTO)
+    model = ae.fit_autoencoder(train, valid, ae.new_autoencoder(len(WIDE_FEATURES), seed=_START), _AUTO, "flow_id")
     return _threshold_report(ae.with_error(valid, model), ae.with_error(test, model))
 
 

@@ -7,20 +7,21 @@ score ranges and shifted by the totals of earlier ranges, so no task sees all sc
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.runtime import column, materialise
+from flowlens.runtime import column, materialise, small_side
 
 
-def score_counts(df: DataFrame, flag: str, score: str) -> DataFrame:
-    """``score, pos, neg`` per distinct score; rows without a score are left out."""
+def score_counts(df: DataFrame, flag: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``score, pos, neg`` per distinct score (of each group); rows without a score are left out."""
     s = column(score).cast("double")
     return (
         df.where(s.isNotNull())
-        .groupBy(s.alias("score"))
+        .groupBy(*[column(c) for c in by], s.alias("score"))
         .agg(F.count_if(column(flag) == 1).alias("pos"), F.count_if(column(flag) == 0).alias("neg"))
     )
 
@@ -37,10 +38,16 @@ def cells(df: DataFrame, flags: list[str], scores: list[str]) -> DataFrame:
 _RANGE_ROWS = 200_000
 
 
-def running_totals(counts: DataFrame, sums: list[str], descending: bool = False) -> DataFrame:
+#: Rows of score ranges and groups that may be broadcast.
+_RANGE_SUMS = 200_000
+
+
+def running_totals(counts: DataFrame, sums: list[str], descending: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Add ``<name>_before``, the total of earlier rows in score order (one row per score), and ``<name>_all``.
 
-    ``counts`` is computed and written once; the number of score ranges follows from its size.
+    With ``by``, inside each group. ``counts`` is computed and written once; the number of score ranges follows from its
+    size. Ranges are the same in all groups, and hold about as many rows of all groups together, so a group
+    of most rows is cut like a whole table.
     """
     counts = materialise(counts, "scores")
     ranges = 1 + counts.count() // _RANGE_ROWS
@@ -49,34 +56,40 @@ def running_totals(counts: DataFrame, sums: list[str], descending: bool = False)
     inner = sorted({float(b) for b in borders if math.isfinite(b)}) or [0.0]
     splits = [-math.inf, *inner, math.inf]
     ranged = Bucketizer(splits=splits, inputCol="score", outputCol="range", handleInvalid="keep").transform(counts)
-    order = F.desc if descending else F.asc
-    earlier = Window.orderBy(order("range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("range").agg(*[F.sum(s).alias(s) for s in sums])  # at most len(splits) rows
+    order, group = F.desc if descending else F.asc, [column(c) for c in by]
+    earlier = Window.partitionBy(*group).orderBy(order("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*group, "range").agg(*[F.sum(s).alias(s) for s in sums])  # at most len(splits) rows in a group
     shifts = totals.select(
-        "range",
+        *[column(c).alias(f"_{i}") for i, c in enumerate(by)],
+        F.col("range").alias("_range"),
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_shift") for s in sums],
-        *[F.sum(s).over(Window.partitionBy()).alias(f"{s}_all") for s in sums],
+        *[F.sum(s).over(Window.partitionBy(*group)).alias(f"{s}_all") for s in sums],
     )
-    within = Window.partitionBy("range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(shifts), "range")
+    same = F.col("range").eqNullSafe(F.col("_range"))
+    for i, c in enumerate(by):
+        same = same & column(c).eqNullSafe(F.col(f"_{i}"))
+    within = Window.partitionBy(*group, "range").orderBy(order("score")).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(small_side(shifts, _RANGE_SUMS), same)
     before = [(F.col(f"{s}_shift") + F.coalesce(F.sum(s).over(within), F.lit(0))).alias(f"{s}_before") for s in sums]
-    return joined.select(*counts.columns, *before, *[f"{s}_all" for s in sums])
+    return joined.select(*[column(c) for c in counts.columns], *before, *[f"{s}_all" for s in sums])
 
 
-def auc_roc(df: DataFrame, flag: str, score: str) -> DataFrame:
-    """Probability that a positive outscores a negative, ties counting half; 0.5 for one class only."""
-    ranked = running_totals(score_counts(df, flag, score), ["neg"])
+def auc_roc(df: DataFrame, flag: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Probability that a positive outscores a negative (of its group), ties counting half; 0.5 for one class only."""
+    ranked = running_totals(score_counts(df, flag, score, by), ["neg"], by=by)
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
-    sums = ranked.agg(F.sum(wins).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    sums = ranked.groupBy(*[column(c) for c in by]).agg(F.sum(wins).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     pairs = F.col("p").cast("double") * F.col("q").cast("double")
-    return sums.select(F.when(pairs > 0, F.col("wins") / pairs).otherwise(F.lit(0.5)).alias("auc"))
+    return sums.select(*[column(c) for c in by], F.when(pairs > 0, F.col("wins") / pairs).otherwise(F.lit(0.5)).alias("auc"))
 
 
-def pr_curve(df: DataFrame, flag: str, score: str) -> DataFrame:
-    """``threshold, pos, tp, fp, precision, recall, f1`` for predicting 1 at or above each score."""
-    counts = score_counts(df, flag, score)
-    ranked = running_totals(counts, ["pos", "neg"], descending=True)
+def pr_curve(df: DataFrame, flag: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """``threshold, pos, tp, fp, precision, recall, f1`` for predicting 1 at or above each score (of each group)."""
+    counts = score_counts(df, flag, score, by)
+    ranked = running_totals(counts, ["pos", "neg"], descending=True, by=by)
+    group = [column(c) for c in by]
     curve = ranked.select(
+        *group,
         F.col("score").alias("threshold"),
         "pos",
         (F.col("pos_before") + F.col("pos")).alias("tp"),
@@ -85,6 +98,7 @@ def pr_curve(df: DataFrame, flag: str, score: str) -> DataFrame:
     )
     tp, fp, all_pos = F.col("tp"), F.col("fp"), F.col("all_pos")
     return curve.select(
+        *group,
         "threshold",
         "pos",
         "tp",
@@ -95,11 +109,11 @@ def pr_curve(df: DataFrame, flag: str, score: str) -> DataFrame:
     )
 
 
-def average_precision(df: DataFrame, flag: str, score: str) -> DataFrame:
-    """Precision at each threshold weighted by the recall gained there; 0 without a positive."""
-    curve = pr_curve(df, flag, score)
-    sums = curve.agg(F.sum(F.col("precision") * F.col("pos")).alias("s"), F.sum("pos").alias("p"))
-    return sums.select(F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0).alias("average_precision"))
+def average_precision(df: DataFrame, flag: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Precision at each threshold weighted by the recall gained there (in each group); 0 without a positive."""
+    curve = pr_curve(df, flag, score, by)
+    sums = curve.groupBy(*[column(c) for c in by]).agg(F.sum(F.col("precision") * F.col("pos")).alias("s"), F.sum("pos").alias("p"))
+    return sums.select(*[column(c) for c in by], F.when(F.col("p") > 0, F.col("s") / F.col("p")).otherwise(0.0).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, flag: str, score: str) -> DataFrame:

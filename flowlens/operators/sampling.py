@@ -25,13 +25,18 @@ def _shares(weights: dict[str, float]) -> list[tuple[str, float]]:
 def random_split(df: DataFrame, keys: list[str], weights: dict[str, float], seed: int) -> DataFrame:
     """Add a ``split`` column; a row's part follows from its key alone. No shuffle."""
     drawn = draw_key(seed, *[column(k) for k in keys])
+    return split_by(df.withColumn("_drawn", drawn), "_drawn", weights)
+
+
+def split_by(df: DataFrame, drawn: str, weights: dict[str, float]) -> DataFrame:
+    """Add a ``split`` column by the draw keys in the column ``drawn``, which goes."""
     *parts, (last, _) = _shares(weights)
     if not parts:
-        return df.withColumn("split", F.lit(last))
+        return df.withColumn("split", F.lit(last)).drop(drawn)
     chosen = reduce(
-        lambda c, part: (F if c is None else c).when(drawn_below(F.col("_drawn"), part[1]), F.lit(part[0])), parts, None
+        lambda c, part: (F if c is None else c).when(drawn_below(F.col(drawn), part[1]), F.lit(part[0])), parts, None
     )
-    return df.withColumn("_drawn", drawn).withColumn("split", chosen.otherwise(F.lit(last))).drop("_drawn")
+    return df.withColumn("split", chosen.otherwise(F.lit(last))).drop(drawn)
 
 
 def rank_cuts(df: DataFrame, key: str, quotas: list[Column], seed: int | str, label: str = "label") -> DataFrame:

@@ -1,10 +1,12 @@
 """Autoencoders for rows without labels, trained data-parallel.
 
-Rows are dealt into a fixed number of groups by a hash of their values and ordered by it, so the
-result does not depend on how the table was partitioned. An epoch is one Spark job: every group
-streams its rows through mini-batches, starting from the same weights, and returns one weight vector;
-the row-weighted mean over groups, formed by Spark, starts the next epoch. Only the mean, whose size
-depends on the layer widths alone, reaches the driver, where it survives the loss of any executor.
+Rows are dealt into groups of about ``rows_per_group`` by a hash of their key (of their values without one), so that the
+number of groups follows from the number of rows and the result does not depend on how the table was
+partitioned. An epoch is one Spark job: every group takes its rows through mini-batches, starting from the same weights
+and the same state of the optimiser; a task adds up what its groups end with, and the sums of tasks are added up
+64 at a time until few are left. Their row-weighted mean, weights and optimiser state alike, starts the next epoch. The same
+job measures the weights it starts from on the rows to stop by. Only the mean, whose size depends on the layer
+widths alone, reaches the driver, where it survives the loss of any executor.
 
 Inner layers are rectifiers, the output is linear. A rectifier that is off still passes a small part of
 the error back (``LEAK``), so that units of a narrow layer cannot die.
@@ -12,11 +14,14 @@ the error back (``LEAK``), so that units of a narrow layer cannot die.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import vector_to_array
@@ -50,7 +55,13 @@ class Training:
     patience: int = 20
     min_delta: float = 1e-4
     seed: int = 1
-    groups: int = 8
+    rows_per_group: int = 8192
+
+
+# Tasks of a pass up to this number hold one group each, beyond it up to 64.
+_TASKS = 4096
+# Sums that are added up by one task.
+_FAN_IN = 64
 
 
 #: Share of the error that passes a rectifier that is off, in training only.
@@ -104,27 +115,14 @@ def gradient(widths: list[int], flat: np.ndarray, x: np.ndarray, sparsity: float
     return grad
 
 
-def _pass_over(batches, widths: list[int], start: np.ndarray, t: Training):
-    """Mini-batch steps over groups that come one after the other; yields final weights and rows of each."""
-    group, steps = None, None
-    for frame in batches:
-        for number, rows in frame.groupby("g", sort=False):
-            if number != group:
-                if steps is not None:
-                    yield steps.result()
-                group, steps = number, _Steps(widths, start.copy(), t)
-            steps.take(np.stack(rows["x"].to_numpy()))
-    if steps is not None:
-        yield steps.result()
-
-
 class _Steps:
     """The optimiser over one group's rows, in mini-batches that do not depend on how the rows arrive."""
 
-    def __init__(self, widths: list[int], w: np.ndarray, t: Training):
-        self.widths, self.w, self.t = widths, w, t
-        self.mean, self.square = np.zeros_like(w), np.zeros_like(w)
-        self.steps, self.rows, self.waiting = 0, 0, np.zeros((0, widths[0]))
+    def __init__(self, widths: list[int], state: np.ndarray, t: Training):
+        self.widths, self.t = widths, t
+        # weights, running mean and running square of the gradient, and how many steps they have seen
+        self.w, self.mean, self.square = (part.copy() for part in state[:-1].reshape(3, -1))
+        self.steps, self.rows, self.waiting = float(state[-1]), 0, np.zeros((0, widths[0]))
 
     def take(self, data: np.ndarray) -> None:
         self.rows += len(data)
@@ -145,10 +143,54 @@ class _Steps:
             self.square = 0.9 * self.square + 0.1 * g * g
             self.w -= t.rate * g / (np.sqrt(self.square) + 1e-7)
 
-    def result(self) -> pd.DataFrame:
+    def result(self) -> np.ndarray:
         if len(self.waiting):
             self.step(self.waiting)
-        return pd.DataFrame({"n": [self.rows], "w": [self.w.tolist()]})
+        return np.concatenate([self.w, self.mean, self.square, [self.steps]])
+
+
+def _epoch(widths: list[int], state: np.ndarray, t: Training, learn: bool):
+    """One row per task: what its training groups end with, times their rows, and the error on the rows to stop by."""
+    size = (len(state) - 1) // 3
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows, error, checked = np.zeros_like(state), 0, 0.0, 0
+        group, steps = None, None
+        for batch in batches:
+            groups, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy()
+            x = flat.reshape(len(groups), widths[0])
+            borders = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)) if len(groups) else []
+            for a, b in zip(borders, [*borders[1:], len(groups)]):
+                if groups[a] < 0:
+                    rebuilt = activations(layers_of(widths, state[:size]), x[a:b], len(widths) - 2)[-1]
+                    error, checked = error + float(((rebuilt - x[a:b]) ** 2).mean(axis=1).sum()), checked + int(b - a)
+                    continue
+                if groups[a] != group:
+                    if steps is not None:
+                        total, rows = total + steps.result() * steps.rows, rows + steps.rows
+                    group, steps = groups[a], _Steps(widths, state, t) if learn else None
+                if steps is not None:
+                    steps.take(x[a:b])
+        if steps is not None:
+            total, rows = total + steps.result() * steps.rows, rows + steps.rows
+        sums = np.concatenate([total, [rows, error, checked]])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["slot", "sums"])
+
+    return work
+
+
+def _added(table: pa.Table) -> pa.Table:
+    table = table.sort_by("slot")  # in one order, so that the sum is the same again
+    sums = sum(np.frombuffer(x, dtype=np.float64) for x in table["sums"].to_pylist())
+    return pa.table({"slot": [table["slot"][0].as_py() // _FAN_IN], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+
+def _total(sums: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of the tasks' rows, in the order of their numbers; few rows reach the driver."""
+    while tasks > _FAN_IN:
+        sums = sums.groupBy(F.floor(F.col("slot") / _FAN_IN)).applyInArrow(_added, "slot bigint, sums binary")
+        tasks = -(-tasks // _FAN_IN)
+    return np.frombuffer(_added(sums.toArrow())["sums"][0].as_py(), dtype=np.float64)
 
 
 def scale_rows(df: DataFrame, features: list[str]) -> PipelineModel:
@@ -161,40 +203,46 @@ def scaled_rows(scaler: PipelineModel, df: DataFrame) -> DataFrame:
     return scaler.transform(df).withColumn("x", vector_to_array("scaled")).drop("raw", "scaled")
 
 
-def fit_autoencoder(train: DataFrame, valid: DataFrame, start: Autoencoder, training: Training = Training()) -> Autoencoder:
-    """Train on the arrays ``x`` of one table, stop by the reconstruction error on another."""
-    place = F.xxhash64("x")
-    dealt = train.select("x", F.pmod(place, F.lit(training.groups)).cast("int").alias("g"), place.alias("place"))
-    dealt = dealt.repartition(training.groups, "g").sortWithinPartitions("g", "place", "x").select("g", "x")
-    held = [dealt.persist(StorageLevel.MEMORY_AND_DISK), valid.select("x").persist(StorageLevel.MEMORY_AND_DISK)]
-    widths, model = start.widths, start
+def groups_of(rows: int, training: Training) -> tuple[int, int]:
+    """(groups, tasks) of a pass over so many rows; every task has about the same number of whole groups."""
+    groups = max(1, math.ceil(rows / training.rows_per_group))
+    return groups, min(groups, max(_TASKS, math.ceil(groups / 64)))
+
+
+def fit_autoencoder(train: DataFrame, valid: DataFrame, start: Autoencoder, training: Training = Training(), key: str | None = None) -> Autoencoder:
+    """Train on the arrays ``x`` of one table, stop by the reconstruction error on another.
+
+    ``key`` names a column that tells rows apart; without it equal rows share a group.
+    """
+    place = F.xxhash64(column(key)) if key else F.xxhash64("x")
+    groups, tasks = groups_of(train.count(), training)
+    # rows to stop by are dealt out like the others, in groups with negative numbers
+    dealt = train.select(F.pmod(place, F.lit(groups)).alias("g"), place.alias("place"), "x").unionByName(
+        valid.select((-1 - F.pmod(F.xxhash64("x"), F.lit(groups))).alias("g"), F.lit(0).cast("bigint").alias("place"), "x")
+    )
+    dealt = dealt.repartition(tasks, F.when(F.col("g") < 0, -1 - F.col("g")).otherwise(F.col("g")))
+    held = dealt.sortWithinPartitions("g", "place", "x").select("g", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    size = len(start.weights)
+    state = np.concatenate([start.weights, np.zeros(2 * size + 1)])
     best, best_loss, reference, losses, stale = start, float("inf"), float("inf"), [], 0
     try:
-        for _ in range(training.epochs):
-            weights = model.weights
-            passed = held[0].mapInPandas(
-                lambda batches, w=weights: _pass_over(batches, widths, w, training), "n bigint, w array<double>"
-            )
-            # group by group in one order, so that the sum is the same again
-            entries = passed.select("n", F.posexplode("w").alias("pos", "v")).groupBy("pos")
-            parts = F.sort_array(F.collect_list(F.struct("n", "v")))
-            mean = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["v"] * p["n"]) / F.sum("n")
-            means = entries.agg(mean.alias("v")).toArrow()
-            averaged = np.empty(len(weights))
-            averaged[means["pos"].to_numpy()] = means["v"].to_numpy()
-            model = replace(model, weights=averaged)
-            losses.append(float(with_error(held[1], model).agg(F.avg("error")).first()[0]))
-            if losses[-1] < best_loss:
-                best, best_loss = model, losses[-1]
-            if losses[-1] < reference - training.min_delta:
-                reference, stale = losses[-1], 0
-            else:
-                stale += 1
-                if stale >= training.patience:
-                    break
+        for epoch in range(training.epochs + 1):
+            passed = held.mapInArrow(_epoch(start.widths, state, training, epoch < training.epochs), "slot bigint, sums binary")
+            sums = _total(passed, tasks)
+            if epoch:  # the weights that this epoch started from are those the last one ended with
+                losses.append(float(sums[-2] / sums[-1]))
+                if losses[-1] < best_loss:
+                    best, best_loss = replace(start, weights=state[:size].copy()), losses[-1]
+                if losses[-1] < reference - training.min_delta:
+                    reference, stale = losses[-1], 0
+                else:
+                    stale += 1
+                    if stale >= training.patience:
+                        break
+            if epoch < training.epochs:
+                state = sums[:-3] / sums[-3]
     finally:
-        for t in held:
-            t.unpersist()
+        held.unpersist()
     return replace(best, losses=tuple(losses))
 
 
@@ -222,12 +270,12 @@ def with_error(df: DataFrame, model: Autoencoder) -> DataFrame:
 
 
 def sweep_autoencoders(
-    train: DataFrame, valid: DataFrame, inputs: int, candidates: dict[str, list[int]], training: Training = Training()
+    train: DataFrame, valid: DataFrame, inputs: int, candidates: dict[str, list[int]], training: Training = Training(), key: str | None = None
 ) -> DataFrame:
     """``name, widths, epochs, best_loss`` for several layer widths over the same tables."""
     rows = []
     for name, hidden in candidates.items():
-        fitted = fit_autoencoder(train, valid, new_autoencoder(inputs, hidden, seed=training.seed), training)
+        fitted = fit_autoencoder(train, valid, new_autoencoder(inputs, hidden, seed=training.seed), training, key)
         rows.append((name, "-".join(map(str, hidden)), len(fitted.losses), min(fitted.losses)))
     return train.sparkSession.createDataFrame(rows, "name string, widths string, epochs int, best_loss double")
 

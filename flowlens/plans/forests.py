@@ -7,8 +7,11 @@ applied to any table with those columns.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.fixed_values import BENIGN
+from flowlens.functions.draws import draw_key
 from flowlens.functions.labels import (
     MAX_CLASSES,
     argmax,
@@ -28,12 +32,12 @@ from flowlens.functions.labels import (
     one_vs_rest,
     round_to_class,
 )
-from flowlens.operators.cleaning import cast_numeric, fill_missing, with_label
+from flowlens.operators.cleaning import with_label
 from flowlens.operators.features import assembler
-from flowlens.operators.profile import dedupe_rows, label_counts
-from flowlens.operators.sampling import random_split, stratified_split, thin_benign
+from flowlens.operators.profile import label_counts
+from flowlens.operators.sampling import random_split, split_by, stratified_split, thin_benign
 from flowlens.operators.smote import smote
-from flowlens.runtime import bounded_rows, column, laid_out, materialise
+from flowlens.runtime import bounded_rows, column, laid_out, materialise, scratch_path
 
 # Deeper trees are refused by the library.
 DEEPEST = 30
@@ -47,7 +51,7 @@ class ForestSize:
     """How large a forest to grow; the values of each plan below are its defaults.
 
     ``bins`` is the number of split candidates per feature. Plans that stand for exact splits
-    take more of them. ``partitions`` lays out the training rows; a large table needs more.
+    take more of them.
     """
 
     trees: int = 20
@@ -55,7 +59,6 @@ class ForestSize:
     min_leaf: int = 1
     bins: int = 32
     seed: int = 1
-    partitions: int = 8
 
     def settings(self) -> dict:
         return {
@@ -83,28 +86,46 @@ def as_flag(flag: Column, name: str = "flag") -> Column:
     return flag.cast("double").alias(name, metadata=_FLAG)
 
 
-def fit_classifier(
-    train: DataFrame, features: list[str], label: str, size: ForestSize, weight: str | None = None
-) -> tuple[PipelineModel, float]:
-    """A forest on named columns and the seconds its fit took. ``train`` is held while fitting."""
+@contextmanager
+def hold(train: DataFrame, keys: list[str] | None = None) -> Iterator[DataFrame]:
+    """Training rows laid out once and held while any number of models is fitted to them."""
+    held = laid_out(train, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
+def fit_held_classifier(held: DataFrame, features: list[str], label: str, size: ForestSize, weight: str | None = None) -> tuple[PipelineModel, float]:
+    """A forest on named columns of held rows and the seconds its fit took."""
     forest = RandomForestClassifier(labelCol=label, featuresCol="features", **size.settings())
     if weight is not None:
         forest = forest.setWeightCol(weight)
-    return _fit(train, [assembler(features), forest], [*features, label, *([weight] if weight else [])], size)
+    return _timed(Pipeline(stages=[assembler(features), forest]), held)
 
 
-def fit_regressor(train: DataFrame, features: list[str], label: str, size: ForestSize) -> tuple[PipelineModel, float]:
+def fit_held_regressor(held: DataFrame, features: list[str], label: str, size: ForestSize) -> tuple[PipelineModel, float]:
     forest = RandomForestRegressor(labelCol=label, featuresCol="features", **size.settings())
-    return _fit(train, [assembler(features), forest], [*features, label], size)
+    return _timed(Pipeline(stages=[assembler(features), forest]), held)
 
 
-def _fit(train: DataFrame, stages: list, names: list[str], size: ForestSize) -> tuple[PipelineModel, float]:
-    held = laid_out(train.select(*[column(n) for n in names]), size.partitions).persist(StorageLevel.MEMORY_AND_DISK)
+def _timed(pipeline: Pipeline, held: DataFrame) -> tuple[PipelineModel, float]:
     start = time.monotonic()
-    try:
-        return Pipeline(stages=stages).fit(held), time.monotonic() - start
-    finally:
-        held.unpersist()
+    return pipeline.fit(held), time.monotonic() - start
+
+
+def fit_classifier(
+    train: DataFrame, features: list[str], label: str, size: ForestSize, weight: str | None = None, keys: list[str] | None = None
+) -> tuple[PipelineModel, float]:
+    """The same on rows that are held for this fit alone; ``keys`` deal them out."""
+    names = [*features, label, *([weight] if weight else []), *(keys or [])]
+    with hold(train.select(*[column(n) for n in names]), keys) as held:
+        return fit_held_classifier(held, features, label, size, weight)
+
+
+def fit_regressor(train: DataFrame, features: list[str], label: str, size: ForestSize, keys: list[str] | None = None) -> tuple[PipelineModel, float]:
+    with hold(train.select(*[column(n) for n in [*features, label, *(keys or [])]]), keys) as held:
+        return fit_held_regressor(held, features, label, size)
 
 
 def side_by_side(spark: SparkSession, tasks: dict) -> dict:
@@ -117,40 +138,68 @@ def side_by_side(spark: SparkSession, tasks: dict) -> dict:
 # One attack versus the rest ------------------------------------------------------------------
 
 
-def fit_attack(
-    df: DataFrame,
-    attack: str,
-    features: list[str],
-    size: ForestSize = ForestSize(bins=256),
-    shares: dict[str, float] | None = None,
-    seed: int = 200,
-    label: str = "label",
-) -> Fitted:
-    """One attack against every other label, benign included, on the attack's own features.
-
-    A rare attack often sits in the last fraction of a percent of a feature, which few bins of
-    equal frequency cannot cut off; hence many bins.
+def attack_rows(df: DataFrame, dictionary: dict[str, list[str]], shares: dict[str, float] | None = None, seed: int = 200, label: str = "label") -> DataFrame:
+    """``attack, v, flag, split``: every distinct row of each attack's own columns, numbered columns in ``v``.
 
-    Copies are dropped first, so the split goes by the content of the rows: a distinct row is
-    its own key.
+    All attacks come from one scan of the table. Copies are dropped first, so the split goes by the content of the
+    rows: a distinct row is its own key.
     """
-    rows = dedupe_rows(with_label(df, label), [*features, label])
-    parts = random_split(rows, [*features, label], shares or {"train": 0.7, "test": 0.3}, seed)
-    coded = parts.select(
-        *[column(f) for f in features], one_vs_rest(column(label), attack).alias("flag"), "split"
-    )
-    clean = fill_missing(cast_numeric(coded, features), features)
-    clean = materialise(clean.select(*[column(f) for f in features], "flag", "split"), "attack")
-    clean = clean.select(*[column(f) for f in features], as_flag(F.col("flag")), "split")
-    model, seconds = fit_classifier(clean.where("split = 'train'"), features, "flag", size)
-    return Fitted(model, clean.where("split = 'test'").drop("split"), seconds)
+    kinds = dict(df.dtypes)
+
+    def as_text(name: str) -> Column:
+        # a negative zero is the same row as a positive one
+        c = column(name) + F.lit(0.0) if kinds[name] in ("double", "float") else column(name)
+        return c.cast("string")
+
+    named_rows = [
+        F.struct(F.lit(a).alias("attack"), F.array(*[as_text(f) for f in fs]).alias("v"), column(label).alias("label")) for a, fs in dictionary.items()
+    ]
+    each = with_label(df, label).select(F.explode(F.array(*named_rows)).alias("r")).select("r.*").distinct()
+    drawn = draw_key(seed, F.concat_ws("-", "v", "label"))
+    value = F.transform("v", lambda t: _finite_or_zero(t.try_cast("double")))
+    parts = split_by(each.withColumn("drawn", drawn), "drawn", shares or {"train": 0.7, "test": 0.3})
+    return parts.select("attack", value.alias("v"), one_vs_rest(F.col("label"), F.col("attack")).alias("flag"), "split")
+
+
+def _finite_or_zero(c: Column) -> Column:
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(0.0)).otherwise(c)
 
 
 def fit_attacks(
-    df: DataFrame, dictionary: dict[str, list[str]], size: ForestSize = ForestSize(bins=256), **more
+    df: DataFrame, dictionary: dict[str, list[str]], size: ForestSize = ForestSize(bins=256),
+    shares: dict[str, float] | None = None, seed: int = 200, label: str = "label",
 ) -> dict[str, Fitted]:
-    """``fit_attack`` for every attack of the dictionary."""
-    return side_by_side(df.sparkSession, {a: (lambda a=a, fs=fs: fit_attack(df, a, fs, size, **more)) for a, fs in dictionary.items()})
+    """Each attack of the dictionary against every other label, benign included, on the attack's own features.
+
+    A rare attack often sits in the last fraction of a percent of a feature, which few bins of
+    equal frequency cannot cut off; hence many bins.
+    """
+    made = attack_rows(df, dictionary, shares, seed, label)
+    path = scratch_path(df.sparkSession, "attacks")
+    made.write.partitionBy("attack").parquet(path)  # a directory per attack: a fit reads its own rows only
+    rows = df.sparkSession.read.schema(made.schema).parquet(path)
+
+    def fit(attack: str, features: list[str]) -> Fitted:
+        own = rows.where(F.col("attack") == attack)
+        own = own.select(*[F.col("v")[i].alias(f) for i, f in enumerate(features)], as_flag(F.col("flag")), "split")
+        model, seconds = fit_classifier(own.where("split = 'train'"), features, "flag", size)
+        return Fitted(model, own.where("split = 'test'").drop("split"), seconds)
+
+    return side_by_side(df.sparkSession, {a: (lambda a=a, fs=fs: fit(a, fs)) for a, fs in dictionary.items()})
+
+
+def fit_attack(df: DataFrame, attack: str, features: list[str], size: ForestSize = ForestSize(bins=256), **more) -> Fitted:
+    """``fit_attacks`` for one attack."""
+    return fit_attacks(df, {attack: features}, size, **more)[attack]
+
+
+def fitted_scores(fitted: dict[str, Fitted]) -> DataFrame:
+    """``attack, flag, score, prediction`` over the test rows of several models, each scored once."""
+    scored = [
+        f.model.transform(f.test).select(F.lit(a).alias("attack"), F.col("flag").cast("int").alias("flag"), vector_to_array("probability")[1].alias("score"), F.col("prediction").cast("int").alias("prediction"))
+        for a, f in fitted.items()
+    ]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def fit_weighted_attacks(
@@ -158,22 +207,26 @@ def fit_weighted_attacks(
     dictionary: dict[str, list[str]],
     size: ForestSize = ForestSize(trees=400, depth=DEEPEST, min_leaf=3, bins=128),
     label: str = "label",
+    key: str | None = None,
 ) -> dict[str, PipelineModel]:
-    """One class-balanced forest per attack over the same training rows."""
+    """One class-balanced forest per attack over the same training rows, laid out and held once for all of them."""
     counts = {r[label]: r["n"] for r in bounded_rows(label_counts(train, label), MAX_CLASSES, "classes")}
     total = sum(counts.values())
+    names = list(dict.fromkeys(f for fs in dictionary.values() for f in fs))
 
-    def fit(attack: str, features: list[str]) -> PipelineModel:
+    def fit(held: DataFrame, attack: str, features: list[str]) -> PipelineModel:
         positive = counts.get(attack, 0)
         balance = F.when(column(label) == attack, total / (2 * max(positive, 1))).otherwise(
             total / (2 * max(total - positive, 1))
         )
-        rows = train.select(
+        rows = held.select(
             *[column(f) for f in features], as_flag(one_vs_rest(column(label), attack)), balance.alias("weight")
         )
-        return fit_classifier(rows, features, "flag", size, "weight")[0]
+        return fit_held_classifier(rows, features, "flag", size, "weight")[0]
 
-    return side_by_side(train.sparkSession, {a: (lambda a=a, fs=fs: fit(a, fs)) for a, fs in dictionary.items()})
+    keys = [key] if key else None
+    with hold(train.select(*[column(n) for n in [*names, label, *(keys or [])]]), keys) as held:
+        return side_by_side(train.sparkSession, {a: (lambda a=a, fs=fs: fit(held, a, fs)) for a, fs in dictionary.items()})
 
 
 def positive_probability(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
@@ -189,7 +242,7 @@ def positive_probability(df: DataFrame, models: dict[str, PipelineModel]) -> Dat
 
 
 def attack_verdicts(df: DataFrame, models: dict[str, PipelineModel], label: str = "label") -> DataFrame:
-    """``attack, label, prediction``: each model's own yes or no on each row, in one pass."""
+    """``attack, label, prediction, score``: each model's own yes or no on each row, in one pass."""
     scored = positive_probability(df, models)
     verdict = F.explode(
         F.array(
@@ -198,6 +251,7 @@ def attack_verdicts(df: DataFrame, models: dict[str, PipelineModel], label: str
                     F.lit(a).alias("attack"),
                     one_vs_rest(column(label), a).alias("label"),
                     (column(a) > 0.5).cast("int").alias("prediction"),
+                    column(a).alias("score"),
                 )
                 for a in models
             ]
@@ -219,7 +273,7 @@ def fit_benign(
 ) -> Fitted:
     """Benign (1) against all attacks (0), an 80/20 split by key."""
     parts = random_split(_flagged(df, key, features, label), [key], {"train": 0.8, "test": 0.2}, seed)
-    return _fit_flag(parts, features, size)
+    return _fit_flag(parts, key, features, size)
 
 
 def fit_benign_thinned(
@@ -236,15 +290,15 @@ def fit_benign_full(
 ) -> Fitted:
     """The same on every column given, with a split stratified by label."""
     parts = stratified_split(df, key, {"train": 0.8, "test": 0.2}, seed, label)
-    return _fit_flag(_flagged(parts, key, [*features, "split"], label), features, size)
+    return _fit_flag(_flagged(parts, key, [*features, "split"], label), key, features, size)
 
 
 def _flagged(df: DataFrame, key: str, names: list[str], label: str) -> DataFrame:
     return with_label(df, label).select(column(key), *[column(n) for n in names], as_flag(benign_flag(column(label))))
 
 
-def _fit_flag(parts: DataFrame, features: list[str], size: ForestSize) -> Fitted:
-    model, seconds = fit_classifier(parts.where("split = 'train'"), features, "flag", size)
+def _fit_flag(parts: DataFrame, key: str, features: list[str], size: ForestSize) -> Fitted:
+    model, seconds = fit_classifier(parts.where("split = 'train'"), features, "flag", size, keys=[key])
     return Fitted(model, parts.where("split = 'test'").drop("split"), seconds)
 
 
@@ -258,15 +312,17 @@ def fit_code_classifier(train: DataFrame, features: list[str], code: str, size:
 
 def fit_one_hot(
     train: DataFrame, features: list[str], classes: list[str],
-    size: ForestSize = ForestSize(trees=200, depth=DEEPEST, min_leaf=20, bins=128), label: str = "label",
+    size: ForestSize = ForestSize(trees=200, depth=DEEPEST, min_leaf=20, bins=128), label: str = "label", key: str | None = None,
 ) -> dict[str, PipelineModel]:
-    """One regression per class on its 0/1 column."""
+    """One regression per class on its 0/1 column, over rows that are laid out and held once."""
 
-    def fit(name: str) -> PipelineModel:
-        rows = train.select(*[column(f) for f in features], one_vs_rest(column(label), name).cast("double").alias("target"))
-        return fit_regressor(rows, features, "target", size)[0]
+    def fit(held: DataFrame, name: str) -> PipelineModel:
+        rows = held.select(*[column(f) for f in features], one_vs_rest(column(label), name).cast("double").alias("target"))
+        return fit_held_regressor(rows, features, "target", size)[0]
 
-    return side_by_side(train.sparkSession, {c: (lambda c=c: fit(c)) for c in classes})
+    keys = [key] if key else None
+    with hold(train.select(*[column(n) for n in [*features, label, *(keys or [])]]), keys) as held:
+        return side_by_side(train.sparkSession, {c: (lambda c=c: fit(held, c)) for c in classes})
 
 
 def score_one_hot(df: DataFrame, models: dict[str, PipelineModel], prefix: str = "score_") -> DataFrame:
@@ -287,8 +343,8 @@ def fit_smote_regression(
 ) -> PipelineModel:
     """Regression on the label code of an oversampled training table."""
     grown = smote(train, key, features, ratio=ratio, seed=seed, label=label)
-    coded = grown.select(*[column(f) for f in features], code_by_list(column(label), classes).cast("double").alias("code"))
-    return fit_regressor(materialise(coded, "oversampled"), features, "code", size)[0]
+    coded = grown.select(column(key), "copy", *[column(f) for f in features], code_by_list(column(label), classes).cast("double").alias("code"))
+    return fit_regressor(materialise(coded, "oversampled"), features, "code", size, [key, "copy"])[0]
 
 
 def fit_code_regression(
@@ -297,7 +353,7 @@ def fit_code_regression(
 ) -> Fitted:
     """Regression on a class code, an 85/15 split by key."""
     parts = random_split(df, [key], {"train": 0.85, "test": 0.15}, seed)
-    model, seconds = fit_regressor(parts.where("split = 'train'"), features, code, size)
+    model, seconds = fit_regressor(parts.where("split = 'train'"), features, code, size, [key])
     return Fitted(model, parts.where("split = 'test'").drop("split"), seconds)
 
 

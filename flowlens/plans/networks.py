@@ -40,7 +40,6 @@ class Training:
     step: float = 0.03  # learning rate of solver "gd"
     seed: int = 1
     block: int = 1024
-    partitions: int = 8
 
 
 @dataclass(frozen=True)
@@ -95,7 +94,7 @@ def fit_network(
         ]
     ).fit(train)
     held = [prepare.transform(t).select("features", column(code).cast("double").alias(code)) for t in (train, valid)]
-    held = [laid_out(t, training.partitions).persist(StorageLevel.MEMORY_AND_DISK) for t in held]
+    held = [laid_out(t).persist(StorageLevel.MEMORY_AND_DISK) for t in held]
     layers = [len(features), *(widths if widths is not None else CLASSIFIER_WIDTHS), classes]
     learner = MultilayerPerceptronClassifier(
         layers=layers, labelCol=code, featuresCol="features", maxIter=training.iterations, seed=training.seed,

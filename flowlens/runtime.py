@@ -43,16 +43,27 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def laid_out(df: DataFrame, partitions: int) -> DataFrame:
+#: Rows of a partition that a learner reads: the least, the most, and how many partitions lie between.
+LEAST_ROWS, MOST_ROWS, USUAL_PARTITIONS = 10_000, 1_000_000, 200
+
+
+def layout_partitions(rows: int) -> int:
+    """Partitions for so many training rows, whatever the cluster: up to 200 of 10,000 rows, then 200 that
+    grow to a million rows each, then more of that size."""
+    each = min(max(rows // USUAL_PARTITIONS, LEAST_ROWS), MOST_ROWS)
+    return max(1, -(-rows // each))
+
+
+def laid_out(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The same rows in the same partitions and order, however they were laid out before.
 
-    Learners that draw or average per partition then give the same model on any cluster. The caller
-    gives the number of partitions: enough for a partition to fit a task, whatever the number of cores.
-    Equal rows may change places.
+    Learners that draw or average per partition then give the same model on any cluster. The number of
+    partitions follows from the number of rows, which are counted. Rows are dealt out by ``keys``, which do not come back, or by
+    all their values without any; equal rows may change places.
     """
-    place = F.xxhash64(*[column(c) for c in df.columns])
-    placed = df.withColumn("_place", place).repartition(partitions, "_place")
-    return placed.sortWithinPartitions("_place").drop("_place")
+    place = F.xxhash64(*[column(c) for c in keys or df.columns])
+    placed = df.withColumn("_place", place).repartition(layout_partitions(df.count()), "_place")
+    return placed.sortWithinPartitions("_place").drop("_place", *(keys or []))
 
 
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:

@@ -4,14 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowlens.catalog.views import flows
+from flowlens.catalog.views import flows, wide
 from flowlens.operators import evaluation
 from flowlens.operators.cleaning import clean_flows
 from flowlens.operators.features import eliminate, fit_pca, pca_summary, tree_importance
 from flowlens.operators.sampling import stratified_split
 from flowlens.plans import autoencoder as ae
 from flowlens.plans import forests, networks
-from flowlens.runtime import scratch_path
+from flowlens.runtime import laid_out, layout_partitions, scratch_path
 from flowlens.sources.models import load_model, save_model
 
 TINY = forests.ForestSize(trees=5, depth=5)
@@ -156,3 +156,69 @@ def test_importance_and_elimination_prefer_the_informative_feature(clean):
     assert max(scores, key=scores.get) == "f_value"
     rows = {r["feature"]: r["rank"] for r in eliminate(coded, ["f_value", "f_k", "f_dirty"], "code", keep=1).collect()}
     assert rows["f_value"] == 1 and sorted(rows.values()) == [1, 2, 3]
+
+
+def test_groups_follow_the_rows():
+    training = ae.Training(rows_per_group=100)
+    assert ae.groups_of(0, training) == (1, 1)
+    assert ae.groups_of(101, training) == (2, 2)
+    assert ae.groups_of(10**6, training) == (10_000, 4096)
+    assert ae.groups_of(10**9, training) == (10**7, 156_250)
+
+
+def test_many_groups_of_equal_rows_learn_alike(spark, clean):
+    """Sums over more tasks than one step adds up; a key deals equal rows out; the layout does not matter."""
+    names = ["f_value", "f_k", "f_dirty"]
+    rows = ae.scaled_rows(ae.scale_rows(clean, names), clean).select("flow_id", "x")
+    half = rows.withColumn("x", F.when(F.col("flow_id") % 2 == 0, F.array(*[F.lit(0.5)] * 3)).otherwise(F.col("x")))
+    training = ae.Training(epochs=6, rate=0.01, batch=2, rows_per_group=4)
+    assert ae.groups_of(half.count(), training)[1] > 2 * ae._FAN_IN
+    start = ae.new_autoencoder(3, [4], 2, seed=2)
+    fitted = [ae.fit_autoencoder(half.repartition(n), half, start, training, "flow_id") for n in (2, 9)]
+    assert np.array_equal(fitted[0].weights, fitted[1].weights) and len(fitted[0].losses) == 6
+    assert fitted[0].losses[-1] < ae.with_error(half, start).agg(F.avg("error")).first()[0] / 2
+
+
+def test_state_of_the_optimiser_is_carried_on(spark, clean):
+    """One group, two epochs of one batch each, against the same steps taken here."""
+    names = ["f_value", "f_k", "f_dirty"]
+    rows = ae.scaled_rows(ae.scale_rows(clean, names), clean).select("flow_id", "x")
+    start, training = ae.new_autoencoder(3, [4], 2, seed=2), ae.Training(epochs=2, rate=0.01, batch=10**6, optimiser="adam")
+    fitted = ae.fit_autoencoder(rows, rows, start, training, "flow_id")
+    x = np.array([r["x"] for r in rows.collect()])
+    state = np.concatenate([start.weights, np.zeros(2 * len(start.weights) + 1)])
+    losses = []
+    for _ in range(2):
+        steps = ae._Steps(start.widths, state, training)
+        steps.take(x)
+        state = steps.result()
+        seen = ae.activations(ae.layers_of(start.widths, state[: len(start.weights)]), x, 3)
+        losses.append(((seen[-1] - x) ** 2).mean())
+    assert fitted.losses == pytest.approx(losses, rel=1e-9)
+
+
+def test_one_scan_feeds_all_attacks(spark, sf_dir):
+    from test_plans import plan
+
+    from flowlens.fixed_values import ATTACK_FEATURES
+
+    text = plan(forests.attack_rows(wide(spark, sf_dir), ATTACK_FEATURES))
+    assert text.split("(1)")[0].count("Scan parquet") == 1 and text.split("(1)")[0].count("Exchange") == 1
+
+
+def test_rows_of_an_attack_are_distinct_and_keep_their_split(spark):
+    rows = [("1.5", "x", "a"), ("1.5", "x", "a"), ("1.5", "x", "b"), (None, "2", "a"), ("Infinity", "2", "b"), ("1.5", "x", None)]
+    df = spark.createDataFrame(rows * 3, "u string, v string, label string")
+    got = forests.attack_rows(df, {"a": ["u", "v"], "b": ["v"]}).collect()
+    assert sorted((r["attack"], tuple(r["v"]), r["flag"]) for r in got) == [
+        ("a", (0.0, 2.0), 0), ("a", (0.0, 2.0), 1), ("a", (1.5, 0.0), 0), ("a", (1.5, 0.0), 1),
+        ("b", (0.0,), 0), ("b", (0.0,), 1), ("b", (2.0,), 0), ("b", (2.0,), 1),
+    ]
+
+
+def test_layout_follows_the_rows(spark):
+    assert [layout_partitions(n) for n in (0, 1, 10_000, 10_001, 2_000_000, 10**8, 10**11)] == [1, 1, 1, 2, 200, 200, 100_000]
+    same = spark.range(30_000).select("id", F.lit(1.0).alias("x"))
+    held = laid_out(same, ["id"])
+    sizes = held.groupBy(F.spark_partition_id()).count().collect()
+    assert held.columns == ["x"] and len(sizes) == 3 and max(r["count"] for r in sizes) < 12_000

@@ -216,3 +216,24 @@ def test_perfect_reconstruction_has_no_error(spark):
         reconstruction.mean_squared_difference(F.col("x"), F.col("off")).alias("b"),
     ).first()
     assert (row["a"], row["b"]) == (0.0, 2.0)
+
+
+@pytest.mark.parametrize("range_rows", [40, 200_000])
+def test_curves_of_groups_equal_plain_ones(spark, monkeypatch, range_rows):
+    """One group with most rows, one of a single score, one without positives, one without a name."""
+    monkeypatch.setattr(curves, "_RANGE_ROWS", range_rows)
+    r = random.Random(2)
+    rows = [("most", r.randrange(2), round(r.gauss(0, 1), 2)) for _ in range(900)]
+    rows += [("tied", k % 3 == 0, 0.5) for k in range(30)] + [("never", 0, r.random()) for _ in range(20)]
+    rows += [(None, k % 2, (k % 2) + r.random() * 1.5) for k in range(50)] + [("most", 1, None)]
+    df = spark.createDataFrame([(g, int(f), s) for g, f, s in rows], "model string, flag int, score double")
+    auc = {x["model"]: x["auc"] for x in curves.auc_roc(df, "flag", "score", ["model"]).collect()}
+    ap = {x["model"]: x["average_precision"] for x in curves.average_precision(df, "flag", "score", ["model"]).collect()}
+    for name in ("most", "tied", "never", None):
+        own = [(f, s) for g, f, s in rows if g == name and s is not None]
+        pos, neg = [s for f, s in own if f], [s for f, s in own if not f]
+        wins = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
+        assert auc[name] == pytest.approx(wins / (len(pos) * len(neg)) if pos and neg else 0.5)
+        precision = [sum(q >= p for q in pos) / sum(s >= p for _, s in own) for p in pos]
+        assert ap[name] == pytest.approx(sum(precision) / len(pos) if pos else 0.0)
+    assert set(auc) == set(ap) == {"most", "tied", "never", None}
