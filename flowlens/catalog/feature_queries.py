@@ -12,6 +12,7 @@ from flowlens.catalog.views import WIDE_FEATURES, WITH_CLEAN, WITH_FLOWS, WITH_W
 from flowlens.fixed_values import ATTACK_FEATURES, WEB_ATTACK
 from flowlens.functions.labels import fit_codes, merge_web_attacks, one_vs_rest
 from flowlens.operators import features as f
+from flowlens.operators.neighbour_information import neighbour_information
 from flowlens.operators.cleaning import clean_flows
 from flowlens.runtime import column
 from flowlens.sources.dictionary import feature_union
@@ -56,6 +57,40 @@ def mutual_information(spark, sf_dir):
     return f.mutual_information(f.joint_counts(df, _NAMES)).withColumn("score", F.round("score", 6))
 
 
+_NEIGHBOURS = 3
+
+
+def _reach_sql(k: int) -> str:
+    """Distance to the k-th nearest value of the class: the best of all runs of k + 1 values that hold the row's."""
+    far = "CAST('inf' AS DOUBLE)"
+    runs = [f"greatest(coalesce(x - lag(x, {j}) OVER w, {far}), coalesce(lead(x, {k - j}) OVER w - x, {far}))" for j in range(k + 1)]
+    return f"least({', '.join(runs)})"
+
+
+def _digamma_sql(x: str) -> str:
+    y = f"({x} + 10.0)"
+    terms = [f"ln({y})", f"- 1 / (2 * {y})", f"- 1 / (12 * {y} ** 2)", f"+ 1 / (120 * {y} ** 4)", f"- 1 / (252 * {y} ** 6)"]
+    return f"({' '.join([*terms, *[f'- 1 / ({x} + {i}.0)' for i in range(10)]])})"
+
+
+@query(
+    "neighbour_information",
+    f"""{WITH_CLEAN}, long AS (UNPIVOT (SELECT label, f_value, f_k, f_dirty FROM clean) ON f_value, f_k, f_dirty INTO NAME feature VALUE x),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY feature, label) AS size FROM long QUALIFY size > 1),
+    near AS (SELECT feature, label, x, size, CASE {" ".join(f"WHEN size = {k + 1} THEN {_reach_sql(k)}" for k in range(1, _NEIGHBOURS))}
+        ELSE {_reach_sql(_NEIGHBOURS)} END * (1 - 1e-10) AS r FROM sized WINDOW w AS (PARTITION BY feature, label ORDER BY x)),
+    weights AS (SELECT feature, x AS v, count(*) AS w FROM sized GROUP BY ALL),
+    asked AS (SELECT feature, size, x - r AS low, x + r AS high, count(*) AS n FROM near GROUP BY ALL),
+    counted AS (SELECT asked.*, (SELECT sum(w) FROM weights WHERE weights.feature = asked.feature AND v BETWEEN low AND high) AS m FROM asked),
+    sums AS (SELECT feature, sum(n) AS total, sum(n * ({_digamma_sql(f"least({_NEIGHBOURS}, size - 1)")} - {_digamma_sql("size")}
+        - {_digamma_sql("m")})) AS psi FROM counted GROUP BY feature)
+    SELECT feature, round(greatest(0.0, {_digamma_sql("total")} + psi / total), 6) AS score FROM sums""",
+)
+def neighbour_information_query(spark, sf_dir):
+    df = clean_flows(flows(spark, sf_dir), ["f_dirty"])
+    return neighbour_information(df, _NAMES, k=_NEIGHBOURS).withColumn("score", F.round("score", 6))
+
+
 @query("rank_scores", f"{_WIDE_MI} SELECT feature, round(score, 6) AS score FROM mi ORDER BY round(score, 6) DESC, feature DESC")
 def rank_scores(spark, sf_dir):
     return f.rank_scores(_wide_scores(spark, sf_dir))
