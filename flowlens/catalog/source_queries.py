@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowlens.catalog.registry import query
 from flowlens.catalog.views import FLOWS_SQL, ITEMS_SQL, WITH_CLEAN, flows, items
+from flowlens.fixed_values import BENIGN
 from flowlens.functions.labels import class_names
 from flowlens.operators.cleaning import clean_flows, trim_headers
 from flowlens.operators.features import label_means
@@ -14,7 +15,8 @@ from flowlens.operators.sampling import stratified_split
 from flowlens.runtime import scratch_path, small_side
 from flowlens.sources.csv import read_csv_text, read_csv_typed, write_csv
 from flowlens.sources.dictionary import load_dictionary, save_dictionary
-from flowlens.sources.matrix import read_matrix, read_split, write_matrix
+from flowlens.sources.matrix import read_matrix, read_split, read_text_matrix, write_matrix, write_text_matrix
+from flowlens.sources.npy import read_npy, write_npy
 
 _EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 _EVENTS_SQL = "SELECT event_id, epoch_us(ts) AS ts, user_id, event_type, value, props FROM events"
@@ -79,6 +81,41 @@ def scan_matrix(spark, sf_dir):
     )
 
 
+_NUMBERED_SQL = f"""{WITH_CLEAN} SELECT row_number() OVER (ORDER BY flow_id) - 1 AS row_id, f_value AS x1, f_k AS x2, f_dirty AS x3,
+    CASE WHEN label = 'BENIGN' THEN 1.0 ELSE 0.0 END AS y1, CASE WHEN label = 'BENIGN' THEN 0.0 ELSE 1.0 END AS y2 FROM clean"""
+
+
+def _xy(spark, sf_dir):
+    """Clean flows with their one-hot class, benign or not."""
+    df = clean_flows(flows(spark, sf_dir), ["f_dirty"])
+    benign = (F.col("label") == BENIGN).cast("double")
+    return df.withColumns({"y1": benign, "y2": 1 - benign})
+
+
+def _joined(x, y):
+    y = y.select("row_id", F.col("x").alias("y"))
+    numbers = [F.col(side)[i].alias(f"{side}{i + 1}") for side, n in (("x", 3), ("y", 2)) for i in range(n)]
+    return x.join(y, "row_id").select("row_id", *numbers)
+
+
+@query("scan_text_matrix", _NUMBERED_SQL)
+def scan_text_matrix(spark, sf_dir):
+    """X and y written as lines of numbers, read back, and put together by line order."""
+    df = _xy(spark, sf_dir)
+    x = write_text_matrix(df, scratch_path(spark, "x"), "flow_id", ["f_value", "f_k", "f_dirty"])
+    y = write_text_matrix(df, scratch_path(spark, "y"), "flow_id", ["y1", "y2"])
+    return _joined(read_text_matrix(spark, x), read_text_matrix(spark, y))
+
+
+@query("scan_npy_matrix", _NUMBERED_SQL)
+def scan_npy_matrix(spark, sf_dir):
+    """The same through binary files."""
+    df = _xy(spark, sf_dir)
+    x = write_npy(df, scratch_path(spark, "x"), "flow_id", ["f_value", "f_k", "f_dirty"])
+    y = write_npy(df, scratch_path(spark, "y"), "flow_id", ["y1", "y2"])
+    return _joined(read_npy(spark, x), read_npy(spark, y))
+
+
 _LABEL_MEANS_SQL = f"""{WITH_CLEAN}
     SELECT label, 'f_value' AS feature, round(avg(f_value), 6) AS score FROM clean GROUP BY label
     UNION ALL SELECT label, 'f_k', round(avg(f_k), 6) FROM clean GROUP BY label

@@ -33,14 +33,23 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == F.lit(split))
 
 
+def write_text_matrix(df: DataFrame, path: str, key: str, features: list[str], separator: str = " ") -> str:
+    """The named columns as lines of numbers, in the order of ``key``, in text files in the order of their names."""
+    ordered = df.repartitionByRange(column(key)).sortWithinPartitions(column(key))
+    numbers = [F.coalesce(column(f).cast("double").cast("string"), F.lit("NaN")) for f in features]
+    ordered.select(F.concat_ws(separator, *numbers).alias("value")).write.text(path)
+    return path
+
+
 def read_text_matrix(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
-    """``row_id, x`` from one text file of numbers, ``row_id`` being the line's place in it.
+    """``row_id, x`` from a text file of numbers or a folder of them, ``row_id`` being the line's place in it.
 
-    A line's place is the number of lines in earlier file blocks plus its place in its own
-    block, so X and y files that belong together by line order can be joined by ``row_id``.
+    Files count in the order of their names. A line's place is the number of lines in earlier files and file blocks
+    plus its place in its own block, so X and y files that belong together by line order can be joined by
+    ``row_id``. Blocks are read by as many tasks as there are.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_block_start").alias("block"),
+        F.struct("_metadata.file_name", "_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
         "value",
     )
