@@ -12,8 +12,8 @@ from flowlens.catalog.views import WIDE_FEATURES, WITH_CLEAN, WITH_FLOWS, WITH_W
 from flowlens.fixed_values import ATTACK_FEATURES, WEB_ATTACK
 from flowlens.functions.labels import fit_codes, merge_web_attacks, one_vs_rest
 from flowlens.operators import features as f
-from flowlens.operators.neighbour_information import neighbour_information
 from flowlens.operators.cleaning import clean_flows
+from flowlens.operators.neighbour_information import neighbour_information
 from flowlens.runtime import column
 from flowlens.sources.dictionary import feature_union
 
@@ -215,7 +215,7 @@ _LISTED = " UNION ALL ".join(f"SELECT '{n}' AS feature" for n in WIDE_FEATURES)
 @query("tree_importance", f"SELECT feature, 1 AS in_range, 1 AS sum_is_one, 1 AS informative FROM ({_LISTED})")
 def tree_importance(spark, sf_dir):
     """Per feature: a share between 0 and 1, shares that sum to one, and more than one feature with weight."""
-    scores = f.rank_scores(f.tree_importance(_coded(spark, sf_dir), WIDE_FEATURES, "code", trees=10, depth=8))
+    scores = f.rank_scores(f.extra_tree_importance(_coded(spark, sf_dir), WIDE_FEATURES, "code"))
     sums = scores.agg(F.sum("score").alias("s"), F.count_if(F.col("score") > 0).alias("n")).first()
     inside = F.col("score").between(0, 1).cast("int").alias("in_range")
     return scores.select("feature", inside, F.lit(int(abs(sums["s"] - 1) < 1e-6)).alias("sum_is_one"), F.lit(int(sums["n"] > 1)).alias("informative"))

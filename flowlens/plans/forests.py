@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.fixed_values import BENIGN
@@ -37,12 +36,10 @@ from flowlens.operators.features import assembler
 from flowlens.operators.profile import label_counts
 from flowlens.operators.sampling import random_split, split_by, stratified_split, thin_benign
 from flowlens.operators.smote import smote
-from flowlens.runtime import bounded_rows, column, laid_out, materialise, scratch_path
+from flowlens.runtime import bounded_rows, column, laid_out, materialise, scratch_path, side_by_side
 
 # Deeper trees are refused by the library.
 DEEPEST = 30
-# Models fitted side by side; each fit is itself spread over the executors.
-SIDE_BY_SIDE = 4
 _FLAG = {"ml_attr": {"type": "nominal", "vals": ["0", "1"]}}
 
 
@@ -128,13 +125,6 @@ def fit_regressor(train: DataFrame, features: list[str], label: str, size: Fores
         return fit_held_regressor(held, features, label, size)
 
 
-def side_by_side(spark: SparkSession, tasks: dict) -> dict:
-    """Run independent fits from a few driver threads; results under the tasks' names."""
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        running = {name: pool.submit(inheritable_thread_target(spark)(task)) for name, task in tasks.items()}
-        return {name: future.result() for name, future in running.items()}
-
-
 # One attack versus the rest ------------------------------------------------------------------
 
 

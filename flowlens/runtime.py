@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,17 @@ def laid_out(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return placed.sortWithinPartitions("_place").drop("_place", *(keys or []))
 
 
+# Models fitted side by side; each fit is itself spread over the executors.
+SIDE_BY_SIDE = 4
+
+
+def side_by_side(spark: SparkSession, tasks: dict) -> dict:
+    """Run independent fits from a few driver threads; results under the tasks' names."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        running = {name: pool.submit(inheritable_thread_target(spark)(task)) for name, task in tasks.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` as a broadcast side if it has at most ``max_rows`` rows, else ``df`` unchanged.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.catalog.views import flows, wide
 from flowlens.operators import evaluation
 from flowlens.operators.cleaning import clean_flows
-from flowlens.operators.features import eliminate, fit_pca, pca_summary, tree_importance
+from flowlens.operators.features import eliminate, extra_tree_importance, fit_pca, pca_summary, tree_importance
 from flowlens.operators.sampling import stratified_split
 from flowlens.plans import autoencoder as ae
 from flowlens.plans import forests, networks
@@ -222,3 +222,19 @@ def test_layout_follows_the_rows(spark):
     held = laid_out(same, ["id"])
     sizes = held.groupBy(F.spark_partition_id()).count().collect()
     assert held.columns == ["x"] and len(sizes) == 3 and max(r["count"] for r in sizes) < 12_000
+
+
+def test_extra_trees_rank_planted_features_first_and_differ_from_the_forest(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((1500, 6))
+    code = (x[:, 1] + 0.7 * x[:, 4] > 0).astype(int) + (x[:, 1] > 1.2)
+    names = [f"c {j}" for j in range(6)]
+    df = spark.createDataFrame([(float(c), *map(float, row)) for c, row in zip(code, x)], ["code", *names])
+    score = {s["feature"]: s["score"] for s in extra_tree_importance(df, names, "code", trees=8).collect()}
+    assert sorted(score, key=score.get)[-2:] == ["c 4", "c 1"] and sum(score.values()) == pytest.approx(1)
+    plain = {s["feature"]: s["score"] for s in tree_importance(df, names, "code", trees=8).collect()}
+    assert max(abs(score[n] - plain[n]) for n in names) > 0.01
+    again = {s["feature"]: s["score"] for s in extra_tree_importance(df, names, "code", trees=8).collect()}
+    assert again == score
+    with pytest.raises(ValueError, match="no rows"):
+        extra_tree_importance(df.limit(0), names, "code")
