@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from flowlens.fixed_values import CLASSIFIER_WIDTHS
 from flowlens.functions.draws import uniform
 from flowlens.functions.labels import round_probability
-from flowlens.operators.curves import average_precision, cells
+from flowlens.operators.curves import auc_roc, average_precision, cells
 from flowlens.operators.evaluation import micro
 from flowlens.operators.features import assembler
-from flowlens.runtime import column, laid_out
+from flowlens.runtime import column, laid_out, materialise
 
 
 @dataclass(frozen=True)
@@ -133,7 +133,26 @@ def round_scores(scored: DataFrame, code: str, classes: int) -> dict[str, float]
     )
     truths, rounded = ([f"{side}{c}" for c in range(classes)] for side in "tp")
     found = micro(hot, truths, rounded).first().asDict()
-    return {**found, "average_precision": average_precision(cells(hot, truths, rounded), "flag", "score").first()[0]}
+    found["average_precision"] = average_precision(cells(hot, truths, rounded), "flag", "score").first()[0]
+    return {**found, "auc": _binary_auc(scored, code)} if classes == 2 else found
+
+
+def _binary_auc(scored: DataFrame, code: str) -> float:
+    flagged = scored.select(column(code).cast("int").alias("flag"), vector_to_array(F.col("probability"))[1].alias("score"))
+    return auc_roc(flagged, "flag", "score").first()[0]
+
+
+def network_measures(network: Network, test: DataFrame, code: str, classes: int) -> DataFrame:
+    """``n, loss, accuracy, auc`` on rows that the network has not seen; the ROC area for two classes only."""
+    scored = materialise(network.model.transform(test).select(column(code).cast("double").alias(code), "prediction", "probability"), "scored")
+    p = F.get(vector_to_array(F.col("probability")), column(code).cast("int"))
+    auc = _binary_auc(scored, code) if classes == 2 else None
+    return scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("loss"),
+        F.avg((column(code) == F.col("prediction")).cast("double")).alias("accuracy"),
+        F.lit(auc).cast("double").alias("auc"),
+    )
 
 
 def sweep_networks(

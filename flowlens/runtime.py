@@ -46,11 +46,11 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 #: Rows of a partition that a learner reads: the least, the most, and how many partitions lie between.
-LEAST_ROWS, MOST_ROWS, USUAL_PARTITIONS = 10_000, 1_000_000, 200
+LEAST_ROWS, MOST_ROWS, USUAL_PARTITIONS = 2_500, 1_000_000, 200
 
 
 def layout_partitions(rows: int) -> int:
-    """Partitions for so many training rows, whatever the cluster: up to 200 of 10,000 rows, then 200 that
+    """Partitions for so many training rows, whatever the cluster: up to 200 of 2,500 rows, then 200 that
     grow to a million rows each, then more of that size."""
     each = min(max(rows // USUAL_PARTITIONS, LEAST_ROWS), MOST_ROWS)
     return max(1, -(-rows // each))

@@ -217,11 +217,11 @@ def test_rows_of_an_attack_are_distinct_and_keep_their_split(spark):
 
 
 def test_layout_follows_the_rows(spark):
-    assert [layout_partitions(n) for n in (0, 1, 10_000, 10_001, 2_000_000, 10**8, 10**11)] == [1, 1, 1, 2, 200, 200, 100_000]
-    same = spark.range(30_000).select("id", F.lit(1.0).alias("x"))
+    assert [layout_partitions(n) for n in (0, 1, 2_500, 2_501, 500_000, 10**8, 10**11)] == [1, 1, 1, 2, 200, 200, 100_000]
+    same = spark.range(7_500).select("id", F.lit(1.0).alias("x"))
     held = laid_out(same, ["id"])
     sizes = held.groupBy(F.spark_partition_id()).count().collect()
-    assert held.columns == ["x"] and len(sizes) == 3 and max(r["count"] for r in sizes) < 12_000
+    assert held.columns == ["x"] and len(sizes) == 3 and max(r["count"] for r in sizes) < 3_000
 
 
 def test_extra_trees_rank_planted_features_first_and_differ_from_the_forest(spark):
@@ -238,3 +238,19 @@ def test_extra_trees_rank_planted_features_first_and_differ_from_the_forest(spar
     assert again == score
     with pytest.raises(ValueError, match="no rows"):
         extra_tree_importance(df.limit(0), names, "code")
+
+
+def test_measures_of_a_network_on_other_rows(clean):
+    coded = clean.withColumn("code", (F.col("label") == "BENIGN").cast("double"))
+    train, test = coded.where("flow_id % 3 > 0"), coded.where("flow_id % 3 = 0")
+    network = networks.fit_network(train, train, ["f_value", "f_k"], "code", 2, [4], networks.Training(rounds=2, iterations=20))
+    found = networks.network_measures(network, test, "code", 2).first()
+    rows = network.model.transform(test).select("code", "prediction", "probability").collect()
+    assert found["n"] == len(rows)
+    assert found["accuracy"] == pytest.approx(np.mean([r["code"] == r["prediction"] for r in rows]))
+    assert found["loss"] == pytest.approx(np.mean([-np.log(max(r["probability"][int(r["code"])], 1e-15)) for r in rows]))
+    pos, neg = ([r["probability"][1] for r in rows if r["code"] == c] for c in (1, 0))
+    assert found["auc"] == pytest.approx(np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]))
+    assert found["accuracy"] > 0.9 and found["auc"] > 0.95
+    scored = network.model.transform(test)
+    assert networks.round_scores(scored, "code", 2)["auc"] == pytest.approx(found["auc"])
