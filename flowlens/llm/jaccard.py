@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.batches import column, fixed_bytes, runs, text_chunks
+from flowlens.llm.batches import column, fixed_bytes, runs, text_chunks, tidied
 from flowlens.llm.grouping import Merger, components, pair_tiles, sorted_by
 from flowlens.runtime import column as named
 from flowlens.runtime import materialise, small_side
@@ -314,13 +314,13 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     texts = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("tag"), named(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialise(
-        texts.mapInArrow(_signatures(shingle), f"id {kind}, tag bigint, cls binary, sig binary, bands array<bigint>"), "signatures"
+        texts.mapInArrow(tidied(_signatures(shingle)), f"id {kind}, tag bigint, cls binary, sig binary, bands array<bigint>"), "signatures"
     )
     classes = materialise(_classes(signed), "classes")
     least = least_matches(threshold)
     banded = classes.select(F.explode("bands").alias("band"), "cls", "sig")
     buckets = sorted_by(pair_tiles(banded, ["band"], "cls", TILE), ["band", "lo", "hi"])
-    found = buckets.select("band", "lo", "hi", "side", "cls", "sig").mapInArrow(_candidate_links(least), "a binary, b binary")
+    found = buckets.select("band", "lo", "hi", "side", "cls", "sig").mapInArrow(tidied(_candidate_links(least)), "a binary, b binary")
     groups = components(found)
     wanted = groups.join(classes.select("cls", "rep", "tag", "copies"), groups["node"] == F.col("cls"))
     wanted = wanted.select("cls", "rep", "tag", "copies", "root", F.xxhash64("root").alias("part"))
@@ -330,7 +330,7 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     parts = sorted_by(fetched.select("g.*", "t.text"), ["part", "lo", "hi"])
     parts = parts.select("part", "lo", "hi", "side", "cls", "root", "copies", "text")
     checked = materialise(
-        parts.mapInArrow(_checked(shingle, Fraction(str(threshold))), "a binary, b binary, links bigint"), "checked"
+        parts.mapInArrow(tidied(_checked(shingle, Fraction(str(threshold)))), "a binary, b binary, links bigint"), "checked"
     )
     links = checked.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
     roots = components(checked.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "cls")

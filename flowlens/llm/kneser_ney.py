@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.batches import column, text_chunks
+from flowlens.llm.batches import column, text_chunks, tidied
 from flowlens.runtime import column as named
 from flowlens.runtime import materialise, small_side
 
@@ -115,7 +115,7 @@ class Model:
 def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
     """Fit on the texts of ``trusted``; None if they have no symbol."""
     texts = trusted.select(named(text_col).alias("text"))
-    counts = texts.mapInArrow(_counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(tidied(_counted), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     by_order = {ORDER: materialise(counts, "counts")}
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
@@ -182,7 +182,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), bits], names=[*batch.schema.names, "n_symbols", "bits"])
 
     schema = docs.select("*", F.lit(0).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("bits")).schema
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidied(work), schema)
 
 
 def language_limits(trusted: DataFrame, lang_col: str = "lang") -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm.batches import tidied
 from flowlens.runtime import column as named
 from flowlens.runtime import materialise, small_side
 
@@ -129,7 +130,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, gram_words: int
     """(id, tag, lines): sorted numbers of the lines to delete, for every id and hash of a text that has some."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("tag"), named(text_col).alias("text"))
-    places = source.mapInArrow(_emit(gram_words, run_words), f"id {kind}, tag bigint, key binary, line int")
+    places = source.mapInArrow(tidied(_emit(gram_words, run_words)), f"id {kind}, tag bigint, key binary, line int")
     place = F.struct("id", "tag", "line")
     firsts = places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = materialise(firsts.select("key", "first"), "firsts")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.batches import text_chunks
+from flowlens.llm.batches import text_chunks, tidied
 
 MARK = "▁"
 UNKNOWN = -10.0
@@ -415,7 +415,7 @@ def encode_texts(
                 )
 
     schema = docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in added]).schema
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidied(work), schema)
 
 
 def _by_size(batch: pa.RecordBatch, text_col: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -450,4 +450,4 @@ def decode_pieces(encoded: DataFrame, vocabulary: Vocabulary, pieces_col: str =
             out = [None if row.values is None else _text(raw, row.values.to_numpy()) for row in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, out_col])
 
-    return encoded.mapInArrow(work, encoded.select("*", F.lit(None).cast("string").alias(out_col)).schema)
+    return encoded.mapInArrow(tidied(work), encoded.select("*", F.lit(None).cast("string").alias(out_col)).schema)
