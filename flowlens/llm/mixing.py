@@ -14,13 +14,15 @@ cut off is shared by weight among the others until none is above its cap.
   blocks are put in random order and half of them go left, which draws the left quotas from the multivariate
   hypergeometric distribution and keeps every total exact. A shard's quota of a source then is the next
   range of the source's blocks in permuted order, so shards hold disjoint blocks.
-* Within a shard, ``place`` is a random number for each copy: sort by it to shuffle locally.
+* Rows go to their shard: ``mixed_documents`` gives each shard partitions of its own, one for each ``PART_WORDS`` words,
+  where rows lie in random order by ``place``, a hash of id, text and copy. Documents that the quotas leave out go nowhere.
 
 Draws are hashes of ids and seeds: reruns, retries and other cluster sizes give the same mix. Documents are taken
 whole, so the words taken from a source differ from its target by less than the document at the cut has.
 Null or blank texts have size 0 and are taken as their block is. Equal rows (same id and text) are taken alike.
 A table whose texts are all blank has targets 0, and takes nothing. Null sources form one source.
-Only per-source and per-block totals are shuffled, and these have at most CELLS rows for a source; texts are not.
+The plan shuffles only per-source and per-block totals, which have at most CELLS rows for a source. Texts are shuffled
+once, to their shards; the partitions of a shard are dealt by ``place``, so only rows with equal id and text meet in one.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ CELLS = 4096
 SHARDS = 16
 #: Blocks of average size that a shard gets.
 BLOCKS_PER_SHARD = 64
+#: Words of a partition of a shard, about 40 MB of text.
+PART_WORDS = 8_000_000
 #: Rows of the block table that are broadcast to the documents; beyond, both sides are shuffled.
 BROADCAST_ROWS = 100_000
 
@@ -214,13 +218,18 @@ def mix_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The mix: every row as often as it is taken, with ``shard``, ``copy`` and ``place``, shuffled locally.
+    """The mix: every row as often as it is taken, with ``shard``, ``copy`` and ``place``, in its shard and shuffled there.
 
-    Columns of ``docs`` with these names are replaced.
+    The partitions of shard ``s`` are ``s * k`` to ``s * k + k - 1``, where ``k`` follows from the words of the corpus. Columns of
+    ``docs`` with the added names are replaced.
     """
     docs = docs.drop("shard", "copy", "place")
     _, blocks = mix_plan(docs, id_col, text_col, source_col, shards, seed)
     chosen = _applied(_keyed(docs, id_col, text_col, source_col, seed), blocks)
-    copies = chosen.select("doc", "id", F.posexplode("shards").alias("copy", "shard"))
-    place = F.xxhash64(F.lit(seed), F.lit("place"), "id", "copy")
-    return copies.select("doc.*", "shard", "copy", place.alias("place")).sortWithinPartitions("shard", "place")
+    words = blocks.select("source", "source_size").distinct().agg(F.sum("source_size")).first()[0] or 0
+    parts = max(1, -(-words // (shards * PART_WORDS)))
+    copies = chosen.select("doc", "id", "cell", "fine", F.posexplode("shards").alias("copy", "shard"))
+    place = F.xxhash64(F.lit(seed), F.lit("place"), "id", "cell", "fine", "copy")
+    placed = copies.select("doc.*", "shard", "copy", place.alias("place"))
+    own = F.col("shard") * F.lit(parts) + F.pmod("place", F.lit(parts)).cast("int")
+    return placed.repartitionById(shards * parts, own).sortWithinPartitions("shard", "place")

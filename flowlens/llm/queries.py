@@ -89,7 +89,8 @@ def op4_language_id(spark, sf_dir):
 
 @query("op5_mixing_sources")
 def op5_mixing_sources(spark, sf_dir):
-    return mixing.mix_sizes(table(spark, sf_dir, "documents")).drop("shards")
+    """Per document what the mix takes of it, and the shard of each copy that the splitting tree deals out."""
+    return mixing.mix_sizes(table(spark, sf_dir, "documents"))
 
 
 @query("op6_quality_classifier")

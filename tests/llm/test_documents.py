@@ -219,6 +219,24 @@ def test_shards_have_equal_numbers_of_blocks(spark):
     assert dealt.select("source", "block", "copy").distinct().count() == 1000
 
 
+def test_rows_lie_in_their_shards_in_random_order(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 1000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    planned = QUERIES["op5_mixing_sources"](spark, sf_dir)
+    _, blocks = mixing.mix_plan(docs, "doc_id", "text", "source")
+    slots = {r["shard"]: r["count"] for r in blocks.select(F.explode("shards").alias("shard")).groupBy("shard").count().collect()}
+    assert sorted(slots) == list(range(mixing.SHARDS)) and max(slots.values()) - min(slots.values()) <= 1
+    rows = mixing.mixed_documents(docs).select(F.spark_partition_id().alias("part"), "shard", "place", "copy", "doc_id").collect()
+    want = planned.select("doc_id", F.posexplode("shards").alias("copy", "shard")).collect()
+    assert key((r["doc_id"], r["copy"], r["shard"]) for r in rows) == key(tuple(r) for r in want)
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["part"], []).append(r)
+    per_shard = -(-planned.agg(F.sum("size")).first()[0] // (mixing.SHARDS * 1000))
+    assert per_shard > 1 and all({r["part"] // per_shard for r in rows if r["shard"] == s} == {s} for s in slots)
+    assert all([r["place"] for r in part] == sorted(r["place"] for r in part) for part in parts.values())
+
+
 def test_mixed_documents_repeat_whole_rows(spark, corpus):
     mixed = mixing.mixed_documents(corpus)
     sizes = {tuple(r): r["n"] for r in mixed.groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
