@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.batches import text_chunks, tidied
+from flowlens.llm.batches import CHUNK_BYTES, text_chunks, tidied
 
 MARK = "▁"
 UNKNOWN = -10.0
@@ -277,9 +277,9 @@ def _many(v: Vocabulary, units: list[str], length: int) -> tuple[np.ndarray, np.
     return best[:, length], gap, ids
 
 
-def best_of_units(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+def best_of_units(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[array]]:
     """(score, gap to the second best, pieces) of each unit."""
-    score, gap, ids = np.zeros(len(units)), np.full(len(units), np.inf), [[]] * len(units)
+    score, gap, ids = np.zeros(len(units)), np.full(len(units), np.inf), [array("i")] * len(units)
     by_length: dict[int, list[int]] = {}
     for k, unit in enumerate(units):
         by_length.setdefault(len(unit), []).append(k)
@@ -293,7 +293,7 @@ def best_of_units(v: Vocabulary, units: list[str]) -> tuple[np.ndarray, np.ndarr
                 got = _many(v, [units[k] for k in part], length)
             score[part], gap[part] = got[0], got[1]
             for k, x in zip(part, got[2]):
-                ids[k] = x
+                ids[k] = array("i", x)
     return score, gap, ids
 
 
@@ -329,7 +329,7 @@ class Encoder:
         score, gap, ids = best_of_units(self.v, units)
         size = np.array([len(x) for x in ids])
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(size) - size])
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], dtype=np.int32)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), dtype=np.int32)])
         self.size, self.score, self.gap = np.concatenate([self.size, size]), np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
         self.names += units
         self.chars += sum(map(len, units))
@@ -418,7 +418,7 @@ def encode_texts(
     return docs.mapInArrow(tidied(work), schema)
 
 
-def _by_size(batch: pa.RecordBatch, text_col: str, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _by_size(batch: pa.RecordBatch, text_col: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``size`` bytes of text."""
     texts = batch.column(batch.schema.get_field_index(text_col))
     for a, b, _, _ in text_chunks(texts, size):
