@@ -12,8 +12,12 @@ from flowlens.fixed_values import BENIGN, BENIGN_KEEP_FRACTION
 from flowlens.functions.draws import draw_key, drawn_below
 from flowlens.runtime import column, small_side
 
-# Draw keys are counted by their first three hex digits: 4,096 buckets per class.
+# Draw keys are counted by three hex digits at a time: 4,096 buckets per class, and as many in each bucket that is counted again.
 _PREFIX = 3
+# Hex digits of a draw key.
+_DIGITS = 32
+#: Rows of one class that are put in order in one task; larger buckets are counted by further digits first.
+MOST_RANKED = 100_000
 
 
 def _shares(weights: dict[str, float]) -> list[tuple[str, float]]:
@@ -39,19 +43,19 @@ def split_by(df: DataFrame, drawn: str, weights: dict[str, float]) -> DataFrame:
     return df.withColumn("split", chosen.otherwise(F.lit(last))).drop(drawn)
 
 
-def rank_cuts(df: DataFrame, key: str, quotas: list[Column], seed: int | str, label: str = "label") -> DataFrame:
-    """For each class and quota q, the draw key of the q-th smallest row of that class.
+def _within(keyed: DataFrame, edges: DataFrame, digits: int) -> DataFrame:
+    """(class, n, i, nth, h): the rows of ``keyed`` that lie in the buckets of ``edges``."""
+    same = F.col("k.class").eqNullSafe(F.col("e.class")) & (F.substring("k.h", 1, digits) == F.col("e.bucket"))
+    return keyed.alias("k").join(edges.alias("e"), same).select("e.class", "e.n", "e.i", "e.nth", "k.h")
 
-    ``quotas`` are column expressions over ``n``, the size of the class. Returns
-    ``class, n, cuts`` with one cut per quota; an empty string stands for quota 0.
 
-    Only the bucket that holds the q-th row is ranked: rows are counted per class and key
-    prefix, the buckets' running counts locate the q-th row, and about one row in 4,096 is
-    sorted. A class holding a third of all rows is never sorted as a whole.
+def _edges(keyed: DataFrame, quotas: list[Column]) -> tuple[DataFrame, int]:
+    """For each class and quota the bucket of draw keys that holds its last row, and how many digits name a bucket.
+
+    ``nth`` is the row's place in the bucket of ``rows`` rows. Digits are added until no bucket has more than MOST_RANKED.
     """
-    keyed = df.select(column(label).alias("class"), draw_key(seed, column(key)).alias("h"))
-    bucketed = keyed.withColumn("bucket", F.substring("h", 1, _PREFIX))
-    counts = bucketed.groupBy("class", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    digits = _PREFIX
+    counts = keyed.groupBy("class", F.substring("h", 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     whole = Window.partitionBy("class")
     below = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     numbered = F.array(*[F.struct(F.lit(i).alias("i"), q.cast("bigint").alias("q")) for i, q in enumerate(quotas)])
@@ -60,15 +64,34 @@ def rank_cuts(df: DataFrame, key: str, quotas: list[Column], seed: int | str, la
         .withColumn("before", F.coalesce(F.sum("rows").over(below), F.lit(0)))
         .withColumn("quota", F.explode(numbered))
         .where((F.col("quota.q") > F.col("before")) & (F.col("quota.q") <= F.col("before") + F.col("rows")))
-        .select("class", "n", "bucket", "quota.i", (F.col("quota.q") - F.col("before")).alias("nth"))
+        .select("class", "n", "quota.i", "bucket", (F.col("quota.q") - F.col("before")).alias("nth"), "rows")
     )
     edges = small_side(placed)
-    same = bucketed["class"].eqNullSafe(edges["class"]) & (bucketed["bucket"] == edges["bucket"])
-    ranked = (
-        bucketed.join(edges, same)
-        .select(edges["class"].alias("class"), "n", "i", "nth", "h")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("class", "i").orderBy("h")))
-    )
+    while digits < _DIGITS and (edges.agg(F.max("rows")).first()[0] or 0) > MOST_RANKED:
+        inside = _within(keyed, edges, digits)
+        digits = min(digits + _PREFIX, _DIGITS)
+        counts = inside.groupBy("class", "n", "i", "nth", F.substring("h", 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+        below = Window.partitionBy("class", "i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        found = counts.withColumn("before", F.coalesce(F.sum("rows").over(below), F.lit(0))).where("nth > before AND nth <= before + rows")
+        edges = small_side(found.select("class", "n", "i", "bucket", (F.col("nth") - F.col("before")).alias("nth"), "rows"))
+    return edges, digits
+
+
+def rank_cuts(df: DataFrame, key: str, quotas: list[Column], seed: int | str, label: str = "label") -> DataFrame:
+    """For each class and quota q, the draw key of the q-th smallest row of that class.
+
+    ``quotas`` are column expressions over ``n``, the size of the class. Returns
+    ``class, n, cuts`` with one cut per quota; an empty string stands for quota 0.
+
+    Only the bucket that holds the q-th row is ranked: rows are counted per class and key
+    prefix, the buckets' running counts locate the q-th row, and a bucket of more than
+    ``MOST_RANKED`` rows is counted again by a longer prefix. So no task sorts more than that,
+    however large the class.
+    """
+    keyed = df.select(column(label).alias("class"), draw_key(seed, column(key)).alias("h"))
+    edges, digits = _edges(keyed, quotas)
+    rank = F.row_number().over(Window.partitionBy("class", "i").orderBy("h"))
+    ranked = _within(keyed, edges, digits).withColumn("rank", rank)
     cut = [F.coalesce(F.max(F.when(F.col("i") == i, F.col("h"))), F.lit("")) for i in range(len(quotas))]
     return ranked.where("rank = nth").groupBy("class").agg(F.max("n").alias("n"), F.array(*cut).alias("cuts"))
 
@@ -78,7 +101,8 @@ def stratified_split(
 ) -> DataFrame:
     """Add a ``split`` column with the same shares inside every class, exact to one row.
 
-    Two scans of key and label find one cut per class and part; tagging the rows is then a
+    Two scans of key and label (one more for each 4,096-fold of 400 million rows of a class) find
+    one cut per class and part; tagging the rows is then a
     broadcast join with one row per class. The table itself is never shuffled. ``key`` must
     be unique.
     """

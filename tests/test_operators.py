@@ -131,6 +131,28 @@ def test_split_does_not_depend_on_partitions(spark):
     assert one.exceptAll(many).count() == 0
 
 
+def test_split_ranks_no_more_rows_at_once_than_allowed(spark, monkeypatch):
+    label = F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 7 == 0, F.lit(None)).otherwise((F.col("id") % 5).cast("string"))
+    df = spark.range(3000).select(F.col("id").alias("flow_id"), label.alias("label"))
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    want = sampling.stratified_split(df, "flow_id", shares, 3).select("flow_id", "split").collect()
+    monkeypatch.setattr(sampling, "_PREFIX", 1)
+    monkeypatch.setattr(sampling, "MOST_RANKED", 4)
+    keyed = df.select(F.col("label").alias("class"), sampling.draw_key(3, F.col("flow_id")).alias("h"))
+    edges, digits = sampling._edges(keyed, [F.floor(0.8 * F.col("n")), F.floor(0.9 * F.col("n"))])
+    assert digits > 2
+    held = sampling._within(keyed, edges, digits).groupBy("class", "i").count().collect()
+    assert len(held) == 2 * 7 and max(r["count"] for r in held) <= 4
+    got = sampling.stratified_split(df, "flow_id", shares, 3).select("flow_id", "split").collect()
+    assert sorted(got) == sorted(want)
+
+
+def test_split_with_repeated_keys_ends(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "MOST_RANKED", 4)
+    df = spark.range(20).select(F.lit(1).alias("flow_id"), F.lit("a").alias("label"))
+    assert sampling.stratified_split(df, "flow_id", {"x": 0.5, "y": 0.5}, 1).count() == 20
+
+
 def test_thinning_and_splitting_with_one_seed_are_independent(spark):
     df = spark.range(20_000).select(F.col("id").alias("flow_id"), F.lit("BENIGN").alias("label"))
     thin = sampling.thin_benign(df, "flow_id", seed=5)
