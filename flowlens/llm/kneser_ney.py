@@ -1,27 +1,34 @@
 """Quality of a text by its perplexity under an n-gram model of trusted text.
 
-The model is an interpolated modified Kneser-Ney model of order ``ORDER`` over ``SYMBOLS`` symbols: UTF-8 bytes with
-capitals, digits, rare signs and the second halves of letters put together (``symbol_table``). Counts of n-grams
-are summed over all trusted text, sharded by n-gram; continuation counts, discounts, context totals and the
-probabilities follow from joins of these sharded count tables on contexts and suffixes. An n-gram model over
-so few symbols has at most SYMBOLS ** ORDER = 2 ** 24 rows whatever the input, so that is the proven bound of
-what is broadcast, and scoring a text looks its n-grams up in a table instead of shuffling every occurrence.
-
-A text is kept if its bits per symbol do not exceed the threshold of its language: with the quantiles
+The model is an interpolated modified Kneser-Ney model of order ``ORDER`` over characters: every code point that occurs is a
+symbol of its own, so its tables grow with the trusted text. An n-gram is known by a 64-bit hash (two different ones of
+10^9 share a hash with a chance of 3 in 100). Counts are summed over all trusted text, sharded by n-gram; continuation counts, discounts,
+context totals and probabilities follow from joins of the sharded tables on contexts and suffixes. Characters that trusted
+text lacks share one further symbol in the uniform distribution at the bottom.
+
+Texts are scored by joins with the sharded tables; nothing of them is broadcast or reaches the driver but a few sums. Rows
+are packed into chunks of about ``CHUNK_BYTES`` of text and written once. A chunk asks for each of its distinct n-grams a single
+time, whatever the number of documents and repeats that hold it; the answers (probability, and weight as a context) meet
+the rows of the chunk again by its number, and each document sums its own bits. A common n-gram is asked for once a
+chunk, so no key is hotter than the number of chunks, and copies of a text lie in the chunks of the tasks that read them.
+
+A text is kept if its bits per character do not exceed the threshold of its language: with the quantiles
 q50 and q95 of trusted texts of that language, q95 + SLACK * (q95 - q50). Short texts scatter more, so
-``SHORT`` * (q95 - q50) / sqrt(symbols) is added. Languages without trusted texts, and null ones, take the
-quantiles of all trusted texts. Without any trusted text everything with a symbol is kept.
+``SHORT`` * (q95 - q50) / sqrt(characters) is added. Languages without trusted texts, and null ones, take the
+quantiles of all trusted texts. Without any trusted text everything with a character is kept.
 
 Null and empty texts have no perplexity and are rejected. Ids may be null or repeat; a label counts as trusted
-if all its rows with that id have the trusted value. Texts are scored whole.
+if all its rows with that id have the trusted value. Texts are scored whole; a longer text than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,65 +36,91 @@ from flowlens.llm.batches import column, text_chunks, tidied
 from flowlens.runtime import column as named
 from flowlens.runtime import materialise, small_side
 
-SYMBOLS, BITS, ORDER = 64, 6, 4
+ORDER = 5
 SLACK = 2.0
 SHORT = 40.0
-#: Bits per symbol are binned this fine for the quantiles.
+#: Text that asks for its n-grams together, and text of one packed row.
+CHUNK_BYTES, PACK_BYTES = 32 << 20, 1 << 20
+#: Distinct n-grams that a counting task holds before it hands them on.
+HELD = 1 << 21
+#: Bits per character are binned this fine for the quantiles.
 BINS = 1000
 BROADCAST_ROWS = 500_000
-# fixed values: signs with a symbol of their own
-SIGNS = b".,;:!?'\"()-/#*$%&|<>=+_@"
-_NEWLINE = 29
-
-
-def symbol_table() -> np.ndarray:
-    """Symbol of each byte."""
-    table = np.full(256, 55, dtype=np.int64)
-    table[:33] = 30
-    table[127] = 30
-    table[32], table[10] = 28, _NEWLINE
-    table[ord("a") : ord("z") + 1] = np.arange(26)
-    table[ord("A") : ord("Z") + 1] = 26
-    table[ord("0") : ord("9") + 1] = 27
-    for k, sign in enumerate(SIGNS):
-        table[sign] = 31 + k
-    table[0x80:0xC0] = 56 + np.arange(64) % 4
-    table[0xC0:0xC4], table[0xC4:0xE0], table[0xE0:0xF0], table[0xF0:] = 60, 61, 62, 63
-    return table
-
-
-_TABLE = symbol_table()
-
-
-def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each byte; a text starts as if after line ends."""
-    symbols = _TABLE[data]
-    place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = symbols.copy()
-    for j in range(1, ORDER):
-        before = np.full(len(data), _NEWLINE, dtype=np.int64)
-        before[j:] = symbols[:-j] if j < len(data) else before[j:]
-        before[place < j] = _NEWLINE
-        out |= before << (BITS * j)
-    return out
+_NEWLINE = np.uint64(10)
+# fixed values: multipliers of the hash
+_STEP, _MIX1, _MIX2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_EVENTS = [f"e{k}" for k in range(ORDER, 0, -1)]
+_CONTEXTS = [f"f{k}" for k in range(ORDER - 1, 0, -1)]
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of each character as one number, and the offsets of the texts in characters."""
+    starts = (data & 0xC0) != 0x80
+    starts[offsets[:-1][offsets[:-1] < len(data)]] = True
+    at = np.flatnonzero(starts)
+    size = np.diff(np.append(at, len(data)))
+    out = data[at].astype(np.uint64)
+    for j in (1, 2, 3):
+        longer = np.flatnonzero(size > j)
+        out[longer] = out[longer] << np.uint64(8) | data[at[longer] + j]
+    return out, np.concatenate([[0], np.cumsum(starts)])[offsets]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def grams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the n-grams of order 1 to ORDER that end at each character, and of those of order 0 to ORDER - 1 that end
+    before it. A text starts as if after line ends."""
+    first = offsets[:-1][np.diff(offsets) > 0]
+    before, blank = np.zeros(len(symbols), np.uint64), np.zeros(1, np.uint64)
+    events, contexts = [], []
+    for _ in range(ORDER):
+        contexts.append(before)
+        events.append(_mixed(before * _STEP + symbols))
+        blank = _mixed(blank * _STEP + _NEWLINE)
+        before = np.empty_like(symbols)
+        before[1:] = events[-1][:-1]
+        before[first] = blank
+    return [e.view(np.int64) for e in events], [c.view(np.int64) for c in contexts]
+
+
+def _distinct(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+    """For pieces of the texts: the place and number of each distinct n-gram of the highest order, and all hashes."""
+    for _, _, data, offsets in text_chunks(texts):
+        if len(data):
+            events, contexts = grams(*characters(data, offsets))
+            _, at, n = np.unique(events[-1], return_index=True, return_counts=True)
+            yield at, n, events, contexts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SYMBOLS**ORDER, dtype=np.int64)
+    """Rows of the highest order with the hashes of all shorter n-grams that follow from them."""
     held, size = [], 0
     for batch in batches:
-        for _, _, data, offsets in text_chunks(column(pa.Table.from_batches([batch]), "text")):
-            held.append(grams(data, offsets))
-            size += len(data)
-            if size > 1 << 23:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
+        for at, n, events, contexts in _distinct(batch.column(0)):
+            held.append(np.stack([*[e[at] for e in events[::-1]], *[c[at] for c in contexts[:0:-1]], n], axis=1))
+            size += len(at)
+            if size > HELD:
+                yield from _summed(held)
                 held, size = [], 0
     if held:
-        total += np.bincount(np.concatenate(held), minlength=len(total))
-    keys = np.flatnonzero(total)
-    for a in range(0, len(keys), 100_000):
-        part = keys[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["gram", "n"])
+        yield from _summed(held)
+
+
+def _summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    rows = np.concatenate(held)
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+    n = np.add.reduceat(rows[:, -1], starts)
+    rows = rows[starts]
+    for a in range(0, len(rows), 100_000):
+        part = rows[a : a + 100_000]
+        arrays = [*[pa.array(part[:, j]) for j in range(part.shape[1] - 1)], pa.array(n[a : a + 100_000])]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*_EVENTS, *_CONTEXTS, "n"])
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -99,90 +132,157 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.1), k - 0.1) for k, d in zip((1, 2, 3), raw))
 
 
+@dataclass
 class Model:
-    """Tables of a fitted model, small enough to broadcast: the observed n-grams and the dense lower orders."""
-
-    def __init__(self, lower: np.ndarray, weight: np.ndarray, keys: np.ndarray, values: np.ndarray):
-        self.lower, self.weight, self.keys, self.values = lower, weight, keys, values
+    """``table`` holds (gram, bits, weight): -log2 of the probability of a seen n-gram, and of the weight that it gives, as a
+    context, to the next lower order; either may be null. ``unseen`` are the bits of a character that was never seen, without context."""
 
-    def bits(self) -> np.ndarray:
-        """-log2 of the probability of every n-gram, observed or not."""
-        full = _spread(self.weight.astype(np.float32), self.lower.astype(np.float32))
-        full[self.keys] = self.values
-        return -np.log2(full)
+    table: DataFrame
+    unseen: float
 
 
 def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
-    """Fit on the texts of ``trusted``; None if they have no symbol."""
+    """Fit on the texts of ``trusted``; None if they have no character."""
     texts = trusted.select(named(text_col).alias("text"))
-    counts = texts.mapInArrow(tidied(_counted), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    by_order = {ORDER: materialise(counts, "counts")}
-    for order in range(ORDER - 1, 0, -1):
-        suffix = F.col("gram").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-        by_order[order] = materialise(by_order[order + 1].groupBy(suffix.alias("gram")).agg(F.count("*").alias("n")), "counts")
-    dense, previous = np.full(SYMBOLS, 1 / SYMBOLS), None
-    for order in range(1, ORDER + 1):
-        probability, weights = _interpolated(by_order[order], previous, order)
-        previous = materialise(probability, "probabilities")
-        got, contexts = previous.toArrow(), weights.toArrow()
-        keys, values = got.column("gram").to_numpy(), got.column("p").to_numpy()
-        if not len(keys):
-            return None
-        weight = np.ones(SYMBOLS ** (order - 1))
-        weight[contexts.column("context").to_numpy()] = contexts.column("weight").to_numpy()
-        if order == ORDER:
-            return Model(dense, weight, keys, values.astype(np.float32))
-        dense = _spread(weight, dense)
-        dense[keys] = values
-    raise AssertionError("unreachable")
-
-
-def _spread(weight: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """What unseen n-grams get: the context's weight times the probability under the context less its first symbol."""
-    rows = lower.reshape(-1, SYMBOLS)
-    return (weight[:, None] * np.tile(rows, (len(weight) // len(rows), 1))).reshape(-1)
-
-
-def _interpolated(counts: DataFrame, previous: DataFrame | None, order: int) -> tuple[DataFrame, DataFrame]:
-    """Probabilities of the n-grams of ``counts`` and the weight each context gives to the lower order."""
-    d = discounts(counts)
-    discount = F.when(F.col("n") == 1, F.lit(d[0])).when(F.col("n") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-    counts = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("discount", discount)
-    contexts = counts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("discount").alias("freed"))
-    contexts = contexts.withColumn("weight", F.col("freed") / F.col("total"))
-    joined = counts.join(contexts, "context").withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1)))
-    if previous is None:
-        lower = joined.withColumn("lower", F.lit(1.0 / SYMBOLS))
-    else:
-        lower = joined.join(previous.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-    p = (F.col("n") - F.col("discount")) / F.col("total") + F.col("weight") * F.col("lower")
-    return lower.select("gram", p.alias("p")), contexts.select("context", "weight")
+    schema = ", ".join(f"{c} bigint" for c in [*_EVENTS, *_CONTEXTS, "n"])
+    counts = texts.mapInArrow(tidied(_counted), schema)
+    by_order = {}
+    for k in range(ORDER, 0, -1):
+        # all shorter hashes follow from the n-gram, so any of its rows has them
+        shorter = [F.any_value(f"{c}{j}").alias(f"{c}{j}") for c in "ef" for j in range(1, k)]
+        n = F.sum("n") if k == ORDER else F.count("*")
+        by_order[k] = counts = materialise(counts.groupBy(f"e{k}").agg(*shorter, n.alias("n")), "counts")
+    known = by_order[1].count()
+    if not known:
+        return None
+    found, lower = [], None
+    for k in range(1, ORDER + 1):
+        d = discounts(by_order[k])
+        discount = F.when(F.col("n") == 1, F.lit(d[0])).when(F.col("n") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+        rows = by_order[k].select(F.col(f"e{k}").alias("gram"), *([F.col(f"f{k - 1}").alias("context"), F.col(f"e{k - 1}").alias("suffix")] if k > 1 else []), "n", discount.alias("d"))
+        total, freed = F.sum("n").alias("total"), F.sum("d").alias("freed")
+        if k == 1:
+            sums = rows.agg(total, freed).first()
+            weight = sums["freed"] / sums["total"]
+            unseen = weight / (known + 1)
+            p = rows.select("gram", ((F.col("n") - F.col("d")) / F.lit(float(sums["total"])) + F.lit(unseen)).alias("p"))
+        else:
+            contexts = materialise(rows.groupBy("context").agg(total, freed), "contexts")
+            found.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("freed") / F.col("total")).alias("weight")))
+            joined = rows.join(contexts, "context").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            p = joined.select("gram", ((F.col("n") - F.col("d") + F.col("freed") * F.col("lower")) / F.col("total")).alias("p"))
+        lower = materialise(p, "probabilities")
+        found.append(lower.select("gram", "p", F.lit(None).cast("double").alias("weight")))
+    every = found[0]
+    for part in found[1:]:
+        every = every.union(part)
+    bits = [(-F.log2(F.max(c))).cast("float").alias(name) for c, name in (("p", "bits"), ("weight", "weight"))]
+    return Model(materialise(every.groupBy("gram").agg(*bits), "model"), float(-np.log2(unseen)))
+
+
+def _packed(text_col: str):
+    """Rows as compressed Arrow streams of about PACK_BYTES of text, numbered by chunk."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            for a, b, data, _ in text_chunks(column(pa.Table.from_batches([batch]), text_col), PACK_BYTES):
+                if size and size + len(data) > CHUNK_BYTES:
+                    chunk, size = chunk + 1, 0
+                size += len(data)
+                sink = pa.BufferOutputStream()
+                # a slice is written with its own rows only
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(batch.slice(a, b - a))
+                packed = pa.array([sink.getvalue().to_pybytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), packed], names=["chunk", "rows"])
 
+    return work
 
-def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per symbol; null without symbols or model).
 
-    The dense table lives as long as a task does, so that workers hold nothing between tasks.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _unpacked(rows: pa.Array) -> Iterator[pa.RecordBatch]:
+    for packed in rows:
+        yield from pa.ipc.open_stream(packed.as_buffer())
+
+
+def _asked(text_col: str):
+    """The distinct n-grams of each chunk, of all orders."""
+
+    def told(chunk: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        every = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        for a in range(0, len(every), 100_000):
+            part = every[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), chunk))], names=["gram", "chunk"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, table = shared.value, None
+        current, held = None, []
         for batch in batches:
-            if table is None and fitted is not None:
-                table = fitted.bits()
-            size = np.zeros(batch.num_rows, dtype=np.int64)
-            total = np.zeros(batch.num_rows)
-            for a, b, data, offsets in text_chunks(column(pa.Table.from_batches([batch]), text_col)):
-                size[a:b] = np.diff(offsets)
-                if table is not None and len(data):
-                    doc = np.repeat(np.arange(b - a), np.diff(offsets))
-                    total[a:b] = np.bincount(doc, weights=table[grams(data, offsets)], minlength=b - a)
-            bits = pa.array(np.round(total / np.maximum(size, 1), 6), mask=(size == 0) | (table is None))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), bits], names=[*batch.schema.names, "n_symbols", "bits"])
-
-    schema = docs.select("*", F.lit(0).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("bits")).schema
-    return docs.mapInArrow(tidied(work), schema)
+            for i, chunk in enumerate(batch.column("chunk").to_pylist()):
+                if chunk != current:
+                    yield from told(current, held)
+                    current, held = chunk, []
+                for rows in _unpacked(batch.column("rows").slice(i, 1)):
+                    for at, _, events, contexts in _distinct(column(pa.Table.from_batches([rows]), text_col)):
+                        held.append(np.unique(np.concatenate([h[at] for h in [*events, *contexts[1:]]])))
+        yield from told(current, held)
+
+    return work
+
+
+def _bits(symbols: np.ndarray, offsets: np.ndarray, keys: np.ndarray, bits: np.ndarray, weights: np.ndarray, unseen: float) -> np.ndarray:
+    """Bits of each character: those of the longest n-gram that was seen, plus the weights of the contexts passed on the way."""
+    events, contexts = grams(symbols, offsets)
+    total, open_ = np.zeros(len(symbols)), np.arange(len(symbols))
+
+    def found(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), np.nan, np.float32)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], np.float32(np.nan))
+
+    for event, context in zip(events[::-1], contexts[::-1]):
+        got = found(bits, event[open_])
+        seen = ~np.isnan(got)
+        total[open_[seen]] += got[seen]
+        open_ = open_[~seen]
+        if context is not contexts[0]:
+            total[open_] += np.nan_to_num(found(weights, context[open_]))
+    total[open_] += unseen
+    return total
+
+
+def _scoring(text_col: str, unseen: float):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right.column("gram").to_numpy()
+        order = np.argsort(keys)
+        keys = keys[order]
+        bits, weights = (right.column(c).to_numpy()[order].astype(np.float32) for c in ("bits", "weight"))
+        out = []
+        for rows in _unpacked(left.column("rows").combine_chunks() if left.num_rows else []):
+            size, total = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows)
+            for a, b, data, offsets in text_chunks(column(pa.Table.from_batches([rows]), text_col)):
+                if len(data):
+                    symbols, places = characters(data, offsets)
+                    size[a:b] = np.diff(places)
+                    doc = np.repeat(np.arange(b - a), size[a:b])
+                    total[a:b] = np.bincount(doc, weights=_bits(symbols, places, keys, bits, weights, unseen), minlength=b - a)
+            mean = pa.array(np.round(total / np.maximum(size, 1), 6), mask=size == 0)
+            out.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array(size), mean], names=[*rows.schema.names, "n_symbols", "bits"]))
+        return pa.Table.from_batches(out)
+
+    return work
+
+
+def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per character; null without characters or model)."""
+    blank = docs.select("*", F.coalesce(F.length(named(text_col)), F.lit(0)).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("bits"))
+    if model is None:
+        return blank
+    packs = materialise(docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, rows binary"), "packs")
+    asked = packs.mapInArrow(tidied(_asked(text_col)), "gram bigint, chunk bigint")
+    answers = asked.join(model.table, "gram").select("chunk", "gram", "bits", "weight")
+    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scoring(text_col, model.unseen), blank.schema)
 
 
 def language_limits(trusted: DataFrame, lang_col: str = "lang") -> DataFrame:

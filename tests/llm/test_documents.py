@@ -290,13 +290,11 @@ def test_language_of_awkward_rows(spark, corpus, empty):
 def _plain_model(texts):
     """Interpolated modified Kneser-Ney by dictionaries: a function from n-gram to probability."""
     n = kneser_ney.ORDER
-    table = kneser_ney.symbol_table()
     counts = [dict() for _ in range(n + 1)]
     for t in texts:
-        s = [kneser_ney._NEWLINE] * (n - 1) + [int(table[b]) for b in (t or "").encode()]
+        s = "\n" * (n - 1) + (t or "")
         for i in range(n - 1, len(s)):
-            g = tuple(s[i - n + 1 : i + 1])
-            counts[n][g] = counts[n].get(g, 0) + 1
+            counts[n][s[i - n + 1 : i + 1]] = counts[n].get(s[i - n + 1 : i + 1], 0) + 1
     for k in range(n - 1, 0, -1):
         for g in counts[k + 1]:
             counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
@@ -311,7 +309,7 @@ def _plain_model(texts):
 
     def p(g):
         k = len(g)
-        lower = p(g[1:]) if k > 1 else 1 / kneser_ney.SYMBOLS
+        lower = p(g[1:]) if k > 1 else 1 / (len(counts[1]) + 1)
         seen = {x: c for x, c in counts[k].items() if x[:-1] == g[:-1]}
         if not seen:
             return lower
@@ -323,25 +321,61 @@ def _plain_model(texts):
     return p
 
 
-def test_perplexity_equals_the_plain_model(spark):
-    trusted = [brute.prose(k, 12) for k in range(8)] + [None, ""]
-    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
-    p, table = _plain_model(trusted), kneser_ney.symbol_table()
-    texts = [brute.prose(3, 12), "W7 !! $$$", "never seen é", "x", None, ""]
-    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
-    for r in kneser_ney.scored(rows, model).collect():
+def _plain_bits(p, text):
+    s = "\n" * (kneser_ney.ORDER - 1) + text
+    return [-math.log2(p(s[i : i + kneser_ney.ORDER])) for i in range(len(text))]
+
+
+OTHER_SCRIPTS = ["Быстрая лиса прыгает через ленивую собаку", "γρήγορη αλεπού πηδάει", "敏捷的狐狸跳过懒狗。敏捷的狐狸", "الثعلب السريع يقفز", "🦊🐶 fox"]
+
+
+def test_perplexity_equals_the_plain_model(spark, monkeypatch):
+    # small chunks, so that n-grams are asked for by several of them
+    monkeypatch.setattr(kneser_ney, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(kneser_ney, "PACK_BYTES", 100)
+    trusted = [brute.prose(k, 12) for k in range(8)] + OTHER_SCRIPTS + [None, ""]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3))
+    p = _plain_model(trusted)
+    texts = [brute.prose(3, 12), "W7 !! $$$", "never seen é", "x", "лиса и собака", "狐狸跳", "\n\n", None, "", *OTHER_SCRIPTS]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(2)
+    got = kneser_ney.scored(rows, model).collect()
+    assert sorted(r["k"] for r in got) == list(range(len(texts)))
+    for r in got:
+        assert r["text"] == texts[r["k"]]
         if not texts[r["k"]]:
             assert r["bits"] is None and r["n_symbols"] == 0
             continue
-        s = [kneser_ney._NEWLINE] * 3 + [int(table[b]) for b in texts[r["k"]].encode()]
-        want = [-math.log2(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
+        want = _plain_bits(p, texts[r["k"]])
         assert r["n_symbols"] == len(want) and r["bits"] == pytest.approx(sum(want) / len(want), abs=1e-4)
 
 
 def test_probabilities_of_each_context_sum_to_one(spark):
-    model = kneser_ney.train(spark.createDataFrame([(brute.prose(k, 30),) for k in range(5)], "text string"))
-    sums = np.exp2(-model.bits().astype(float)).reshape(-1, kneser_ney.SYMBOLS).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-4)
+    trusted = [brute.prose(k, 30) for k in range(5)] + OTHER_SCRIPTS
+    p, signs = _plain_model(trusted), sorted(set("".join(trusted)))
+    # the last one stands for all characters that were never seen
+    contexts = [trusted[0][:4], "\n\n\n\n", "狐狸跳过", "zzzz"]
+    for context in contexts:
+        assert sum(p(context + c) for c in [*signs, "\0"]) == pytest.approx(1)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    rows = spark.createDataFrame([(k, c + x) for k, c in enumerate(contexts) for x in [*signs, "\0"]] + [(k + 10, c) for k, c in enumerate(contexts)], "k int, text string")
+    bits = {(r["k"], r["text"]): r["bits"] * r["n_symbols"] for r in kneser_ney.scored(rows, model).collect()}
+    for k, c in enumerate(contexts):
+        assert sum(2 ** (bits[k + 10, c] - bits[k, c + x]) for x in [*signs, "\0"]) == pytest.approx(1, abs=1e-3)
+
+
+def test_scripts_are_told_apart(spark):
+    """Text in a script that the trusted text has is likelier than shuffled characters of the same script."""
+    trusted = OTHER_SCRIPTS * 3 + [brute.prose(1, 30)]
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string"))
+    pairs = [(k, half, t if half == 0 else t[::-1]) for k, t in enumerate(OTHER_SCRIPTS[:4]) for half in (0, 1)]
+    bits = {(r["k"], r["half"]): r["bits"] for r in kneser_ney.scored(spark.createDataFrame(pairs, "k int, half int, text string"), model).collect()}
+    assert all(bits[k, 0] + 1 < bits[k, 1] for k in range(4))
+
+
+def test_texts_are_scored_by_joins(spark):
+    model = kneser_ney.train(spark.createDataFrame([(brute.prose(1, 30),)], "text string"))
+    plan = kneser_ney.scored(spark.createDataFrame([(1, "w1 w2")], "k int, text string"), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "ResolvedHint" not in plan and "broadcast" not in plan.lower()
 
 
 def test_quality_classifier_tells_junk_from_trusted(spark, sf_dir):
