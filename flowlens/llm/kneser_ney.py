@@ -1,10 +1,10 @@
 """Quality of a text by its perplexity under an n-gram model of trusted text.
 
-The model is an interpolated modified Kneser-Ney model of order ``ORDER`` over characters: every code point that occurs is a
-symbol of its own, so its tables grow with the trusted text. An n-gram is known by a 64-bit hash (two different ones of
-10^9 share a hash with a chance of 3 in 100). Counts are summed over all trusted text, sharded by n-gram; continuation counts, discounts,
-context totals and probabilities follow from joins of the sharded tables on contexts and suffixes. Characters that trusted
-text lacks share one further symbol in the uniform distribution at the bottom.
+The model is an interpolated modified Kneser-Ney model of order ``ORDER`` over UTF-16 code units: a symbol is a character, or half of one
+beyond U+FFFF. Four units are one 64-bit number, so every n-gram is known exactly, there is no fixed alphabet, and the tables
+grow with the trusted text. Counts are summed over all trusted text, sharded by n-gram; continuation counts, discounts, context
+totals and probabilities follow from joins of the sharded tables on contexts and suffixes. Symbols that trusted text lacks share
+one further symbol in the uniform distribution at the bottom.
 
 Texts are scored by joins with the sharded tables; nothing of them is broadcast or reaches the driver but a few sums. Rows
 are packed into chunks of about ``CHUNK_BYTES`` of text and written once. A chunk asks for each of its distinct n-grams a single
@@ -12,10 +12,10 @@ time, whatever the number of documents and repeats that hold it; the answers (pr
 the rows of the chunk again by its number, and each document sums its own bits. A common n-gram is asked for once a
 chunk, so no key is hotter than the number of chunks, and copies of a text lie in the chunks of the tasks that read them.
 
-A text is kept if its bits per character do not exceed the threshold of its language: with the quantiles
+A text is kept if its bits per symbol do not exceed the threshold of its language: with the quantiles
 q50 and q95 of trusted texts of that language, q95 + SLACK * (q95 - q50). Short texts scatter more, so
-``SHORT`` * (q95 - q50) / sqrt(characters) is added. Languages without trusted texts, and null ones, take the
-quantiles of all trusted texts. Without any trusted text everything with a character is kept.
+``SHORT`` * (q95 - q50) / sqrt(symbols) is added. Languages without trusted texts, and null ones, take the
+quantiles of all trusted texts. Without any trusted text everything with a symbol is kept.
 
 Null and empty texts have no perplexity and are rejected. Ids may be null or repeat; a label counts as trusted
 if all its rows with that id have the trusted value. Texts are scored whole; a longer text than a chunk is a chunk of its own.
@@ -36,74 +36,65 @@ from flowlens.llm.batches import column, text_chunks, tidied
 from flowlens.runtime import column as named
 from flowlens.runtime import materialise, small_side
 
-ORDER = 5
+ORDER, BITS = 4, 16
 SLACK = 2.0
 SHORT = 40.0
 #: Text that asks for its n-grams together, and text of one packed row.
 CHUNK_BYTES, PACK_BYTES = 32 << 20, 1 << 20
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
-#: Bits per character are binned this fine for the quantiles.
+#: Bits per symbol are binned this fine for the quantiles.
 BINS = 1000
 BROADCAST_ROWS = 500_000
-_NEWLINE = np.uint64(10)
-# fixed values: multipliers of the hash
-_STEP, _MIX1, _MIX2 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_EVENTS = [f"e{k}" for k in range(ORDER, 0, -1)]
-_CONTEXTS = [f"f{k}" for k in range(ORDER - 1, 0, -1)]
-
-
-def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of each character as one number, and the offsets of the texts in characters."""
-    starts = (data & 0xC0) != 0x80
-    starts[offsets[:-1][offsets[:-1] < len(data)]] = True
-    at = np.flatnonzero(starts)
-    size = np.diff(np.append(at, len(data)))
-    out = data[at].astype(np.uint64)
-    for j in (1, 2, 3):
-        longer = np.flatnonzero(size > j)
-        out[longer] = out[longer] << np.uint64(8) | data[at[longer] + j]
-    return out, np.concatenate([[0], np.cumsum(starts)])[offsets]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
-
-
-def grams(symbols: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of the n-grams of order 1 to ORDER that end at each character, and of those of order 0 to ORDER - 1 that end
-    before it. A text starts as if after line ends."""
-    first = offsets[:-1][np.diff(offsets) > 0]
-    before, blank = np.zeros(len(symbols), np.uint64), np.zeros(1, np.uint64)
-    events, contexts = [], []
-    for _ in range(ORDER):
-        contexts.append(before)
-        events.append(_mixed(before * _STEP + symbols))
-        blank = _mixed(blank * _STEP + _NEWLINE)
-        before = np.empty_like(symbols)
-        before[1:] = events[-1][:-1]
-        before[first] = blank
-    return [e.view(np.int64) for e in events], [c.view(np.int64) for c in contexts]
-
-
-def _distinct(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """For pieces of the texts: the place and number of each distinct n-gram of the highest order, and all hashes."""
+_NEWLINE = 10
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 code units of UTF-8 bytes, and the offsets of the texts in units. Broken bytes count as U+FFFD."""
+    try:
+        every = data.tobytes().decode().encode("utf-16-le")
+        size = ((data & 0xC0) != 0x80) + (data >= 0xF0).astype(np.int64)
+        return np.frombuffer(every, dtype="<u2").astype(np.int64), np.concatenate([[0], np.cumsum(size)])[offsets]
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode(errors="replace").encode("utf-16-le") for a, b in zip(offsets, offsets[1:])]
+        return np.frombuffer(b"".join(texts), dtype="<u2").astype(np.int64), np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])])
+
+
+def grams(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The n-gram that ends at each symbol, the last symbol in the lowest bits; a text starts as if after line ends."""
+    place = np.arange(len(symbols)) - np.repeat(offsets[:-1], np.diff(offsets))
+    out = symbols.copy()
+    for j in range(1, ORDER):
+        before = np.full(len(symbols), _NEWLINE, dtype=np.int64)
+        before[j:] = symbols[:-j] if j < len(symbols) else before[j:]
+        before[place < j] = _NEWLINE
+        out |= before << (BITS * j)
+    return out
+
+
+def suffix_of(gram, order: int):
+    """The last ``order`` symbols."""
+    return gram & ((1 << (BITS * order)) - 1)
+
+
+def context_of(gram, order: int):
+    """All symbols but the last of an n-gram of ``order``."""
+    return suffix_of(gram >> BITS, order - 1)
+
+
+def _distinct(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams of pieces of the texts, and how often each is there."""
     for _, _, data, offsets in text_chunks(texts):
         if len(data):
-            events, contexts = grams(*characters(data, offsets))
-            _, at, n = np.unique(events[-1], return_index=True, return_counts=True)
-            yield at, n, events, contexts
+            yield np.unique(grams(*units(data, offsets)), return_counts=True)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the highest order with the hashes of all shorter n-grams that follow from them."""
     held, size = [], 0
     for batch in batches:
-        for at, n, events, contexts in _distinct(batch.column(0)):
-            held.append(np.stack([*[e[at] for e in events[::-1]], *[c[at] for c in contexts[:0:-1]], n], axis=1))
-            size += len(at)
+        for found in _distinct(batch.column(0)):
+            held.append(found)
+            size += len(found[0])
             if size > HELD:
                 yield from _summed(held)
                 held, size = [], 0
@@ -111,16 +102,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _summed(held)
 
 
-def _summed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    rows = np.concatenate(held)
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-    n = np.add.reduceat(rows[:, -1], starts)
-    rows = rows[starts]
-    for a in range(0, len(rows), 100_000):
-        part = rows[a : a + 100_000]
-        arrays = [*[pa.array(part[:, j]) for j in range(part.shape[1] - 1)], pa.array(n[a : a + 100_000])]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*_EVENTS, *_CONTEXTS, "n"])
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    every, places = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+    n = np.bincount(places, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+    for a in range(0, len(every), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(every[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["gram", "n"])
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -134,50 +120,51 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """``table`` holds (gram, bits, weight): -log2 of the probability of a seen n-gram, and of the weight that it gives, as a
-    context, to the next lower order; either may be null. ``unseen`` are the bits of a character that was never seen, without context."""
+    """``table`` holds (k, gram, bits, weight) of n-grams of k symbols: -log2 of the probability of a seen one, and of the weight that
+    it gives, as a context, to the next lower order; either may be null. ``unseen`` are the bits of a symbol that was never seen, without context."""
 
     table: DataFrame
     unseen: float
 
 
+def _shorter(name: str, order: int):
+    return F.col(name).bitwiseAND(F.lit((1 << (BITS * order)) - 1))
+
+
 def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
-    """Fit on the texts of ``trusted``; None if they have no character."""
+    """Fit on the texts of ``trusted``; None if they have no symbol."""
     texts = trusted.select(named(text_col).alias("text"))
-    schema = ", ".join(f"{c} bigint" for c in [*_EVENTS, *_CONTEXTS, "n"])
-    counts = texts.mapInArrow(tidied(_counted), schema)
-    by_order = {}
-    for k in range(ORDER, 0, -1):
-        # all shorter hashes follow from the n-gram, so any of its rows has them
-        shorter = [F.any_value(f"{c}{j}").alias(f"{c}{j}") for c in "ef" for j in range(1, k)]
-        n = F.sum("n") if k == ORDER else F.count("*")
-        by_order[k] = counts = materialise(counts.groupBy(f"e{k}").agg(*shorter, n.alias("n")), "counts")
+    counts = texts.mapInArrow(tidied(_counted), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    by_order = {ORDER: materialise(counts, "counts")}
+    for k in range(ORDER - 1, 0, -1):
+        by_order[k] = materialise(by_order[k + 1].groupBy(_shorter("gram", k).alias("gram")).agg(F.count("*").alias("n")), "counts")
     known = by_order[1].count()
     if not known:
         return None
-    found, lower = [], None
+    none = F.lit(None).cast("double")
+    every, lower, unseen = None, None, 0.0
     for k in range(1, ORDER + 1):
         d = discounts(by_order[k])
         discount = F.when(F.col("n") == 1, F.lit(d[0])).when(F.col("n") == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
-        rows = by_order[k].select(F.col(f"e{k}").alias("gram"), *([F.col(f"f{k - 1}").alias("context"), F.col(f"e{k - 1}").alias("suffix")] if k > 1 else []), "n", discount.alias("d"))
-        total, freed = F.sum("n").alias("total"), F.sum("d").alias("freed")
+        context = F.shiftrightunsigned("gram", BITS).alias("context")
+        rows = by_order[k].select("gram", context, _shorter("gram", k - 1).alias("suffix"), "n", discount.alias("d"))
+        sums = [F.sum("n").alias("total"), F.sum("d").alias("freed")]
         if k == 1:
-            sums = rows.agg(total, freed).first()
-            weight = sums["freed"] / sums["total"]
-            unseen = weight / (known + 1)
-            p = rows.select("gram", ((F.col("n") - F.col("d")) / F.lit(float(sums["total"])) + F.lit(unseen)).alias("p"))
+            found = rows.agg(*sums).first()
+            unseen = found["freed"] / found["total"] / (known + 1)
+            p = rows.select("gram", ((F.col("n") - F.col("d")) / F.lit(float(found["total"])) + F.lit(unseen)).alias("p"))
         else:
-            contexts = materialise(rows.groupBy("context").agg(total, freed), "contexts")
-            found.append(contexts.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("freed") / F.col("total")).alias("weight")))
-            joined = rows.join(contexts, "context").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-            p = joined.select("gram", ((F.col("n") - F.col("d") + F.col("freed") * F.col("lower")) / F.col("total")).alias("p"))
+            contexts = materialise(rows.groupBy("context").agg(*sums), "contexts")
+            weight = (F.col("freed") / F.col("total")).alias("weight")
+            every = every.union(contexts.select(F.lit(k - 1).alias("k"), F.col("context").alias("gram"), none.alias("p"), weight))
+            below = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("lower"))
+            p = rows.join(contexts, "context").join(below, "suffix")
+            p = p.select("gram", ((F.col("n") - F.col("d") + F.col("freed") * F.col("lower")) / F.col("total")).alias("p"))
         lower = materialise(p, "probabilities")
-        found.append(lower.select("gram", "p", F.lit(None).cast("double").alias("weight")))
-    every = found[0]
-    for part in found[1:]:
-        every = every.union(part)
+        own = lower.select(F.lit(k).alias("k"), "gram", "p", none.alias("weight"))
+        every = own if every is None else every.union(own)
     bits = [(-F.log2(F.max(c))).cast("float").alias(name) for c, name in (("p", "bits"), ("weight", "weight"))]
-    return Model(materialise(every.groupBy("gram").agg(*bits), "model"), float(-np.log2(unseen)))
+    return Model(materialise(every.groupBy("k", "gram").agg(*bits), "model"), float(-np.log2(unseen)))
 
 
 def _packed(text_col: str):
@@ -210,10 +197,13 @@ def _asked(text_col: str):
     """The distinct n-grams of each chunk, of all orders."""
 
     def told(chunk: int, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        every = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
-        for a in range(0, len(every), 100_000):
-            part = every[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), chunk))], names=["gram", "chunk"])
+        wanted = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        for k in range(ORDER, 0, -1):
+            for a in range(0, len(wanted), 100_000):
+                part = wanted[a : a + 100_000]
+                same = [pa.array(np.full(len(part), v, dtype=t)) for v, t in ((k, np.int32), (chunk, np.int64))]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(part), same[1]], names=["k", "gram", "chunk"])
+            wanted = np.unique(np.concatenate([suffix_of(wanted, k - 1), context_of(wanted, k)]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
@@ -223,50 +213,53 @@ def _asked(text_col: str):
                     yield from told(current, held)
                     current, held = chunk, []
                 for rows in _unpacked(batch.column("rows").slice(i, 1)):
-                    for at, _, events, contexts in _distinct(column(pa.Table.from_batches([rows]), text_col)):
-                        held.append(np.unique(np.concatenate([h[at] for h in [*events, *contexts[1:]]])))
+                    held.extend(g for g, _ in _distinct(column(pa.Table.from_batches([rows]), text_col)))
         yield from told(current, held)
 
     return work
 
 
-def _bits(symbols: np.ndarray, offsets: np.ndarray, keys: np.ndarray, bits: np.ndarray, weights: np.ndarray, unseen: float) -> np.ndarray:
-    """Bits of each character: those of the longest n-gram that was seen, plus the weights of the contexts passed on the way."""
-    events, contexts = grams(symbols, offsets)
-    total, open_ = np.zeros(len(symbols)), np.arange(len(symbols))
+def _bits(grams_: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], unseen: float) -> np.ndarray:
+    """Bits of each symbol: those of the longest n-gram that was seen, plus the weights of the contexts passed on the way."""
+    total, left = np.zeros(len(grams_)), np.arange(len(grams_))
 
-    def found(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    def found(k: int, column_: int, wanted: np.ndarray) -> np.ndarray:
+        keys = answers[k][0]
         if not len(keys):
-            return np.full(len(wanted), np.nan, np.float32)
+            return np.full(len(wanted), np.nan)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], np.float32(np.nan))
+        return np.where(keys[at] == wanted, answers[k][column_][at], np.nan)
 
-    for event, context in zip(events[::-1], contexts[::-1]):
-        got = found(bits, event[open_])
+    for k in range(ORDER, 0, -1):
+        wanted = suffix_of(grams_[left], k) if k < ORDER else grams_
+        got = found(k, 1, wanted)
         seen = ~np.isnan(got)
-        total[open_[seen]] += got[seen]
-        open_ = open_[~seen]
-        if context is not contexts[0]:
-            total[open_] += np.nan_to_num(found(weights, context[open_]))
-    total[open_] += unseen
+        total[left[seen]] += got[seen]
+        left, wanted = left[~seen], wanted[~seen]
+        if k > 1:
+            total[left] += np.nan_to_num(found(k - 1, 2, context_of(wanted, k)))
+    total[left] += unseen
     return total
 
 
 def _scoring(text_col: str, unseen: float):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("gram").to_numpy()
-        order = np.argsort(keys)
-        keys = keys[order]
-        bits, weights = (right.column(c).to_numpy()[order].astype(np.float32) for c in ("bits", "weight"))
+        orders, every = right.column("k").to_numpy(), right.column("gram").to_numpy()
+        values = [right.column(c).to_numpy().astype(np.float32) for c in ("bits", "weight")]
+        answers = {}
+        for k in range(1, ORDER + 1):
+            at = np.flatnonzero(orders == k)
+            at = at[np.argsort(every[at])]
+            answers[k] = (every[at], *[v[at] for v in values])
         out = []
-        for rows in _unpacked(left.column("rows").combine_chunks() if left.num_rows else []):
+        for rows in _unpacked(left.column("rows").combine_chunks()):
             size, total = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows)
             for a, b, data, offsets in text_chunks(column(pa.Table.from_batches([rows]), text_col)):
                 if len(data):
-                    symbols, places = characters(data, offsets)
+                    symbols, places = units(data, offsets)
                     size[a:b] = np.diff(places)
                     doc = np.repeat(np.arange(b - a), size[a:b])
-                    total[a:b] = np.bincount(doc, weights=_bits(symbols, places, keys, bits, weights, unseen), minlength=b - a)
+                    total[a:b] = np.bincount(doc, weights=_bits(grams(symbols, places), answers, unseen), minlength=b - a)
             mean = pa.array(np.round(total / np.maximum(size, 1), 6), mask=size == 0)
             out.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array(size), mean], names=[*rows.schema.names, "n_symbols", "bits"]))
         return pa.Table.from_batches(out)
@@ -275,13 +268,14 @@ def _scoring(text_col: str, unseen: float):
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per character; null without characters or model)."""
-    blank = docs.select("*", F.coalesce(F.length(named(text_col)), F.lit(0)).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("bits"))
+    """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per symbol; null without symbols or model)."""
+    size = F.floor(F.octet_length(F.encode(named(text_col), "UTF-16LE")) / 2).cast("bigint")
+    blank = docs.select("*", F.coalesce(size, F.lit(0).cast("bigint")).alias("n_symbols"), F.lit(None).cast("double").alias("bits"))
     if model is None:
         return blank
     packs = materialise(docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, rows binary"), "packs")
-    asked = packs.mapInArrow(tidied(_asked(text_col)), "gram bigint, chunk bigint")
-    answers = asked.join(model.table, "gram").select("chunk", "gram", "bits", "weight")
+    asked = packs.mapInArrow(tidied(_asked(text_col)), "k int, gram bigint, chunk bigint")
+    answers = asked.join(model.table, ["k", "gram"]).select("chunk", "k", "gram", "bits", "weight")
     return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scoring(text_col, model.unseen), blank.schema)
 
 
@@ -310,9 +304,9 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     label = label.where("__id IS NOT NULL").groupBy("__id").agg(F.min(F.coalesce("__good", F.lit(False))).alias("__good"))
     label = small_side(label.where("__good").select("__id"), BROADCAST_ROWS)
     trusted = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
-    trusted = trusted.join(label, F.col("id") == F.col("__id"), "left_semi").select("text", "lang")
+    trusted = materialise(trusted.join(label, F.col("id") == F.col("__id"), "left_semi").select("text", "lang"), "trusted")
     model = train(trusted)
-    limits = materialise(language_limits(scored(trusted, model)), "limits")
+    limits = materialise(language_limits(materialise(scored(trusted, model).select("lang", "bits"), "trusted_bits")), "limits")
     every = limits.where("lang IS NULL").first()
     one = small_side(limits.where("lang IS NOT NULL"), BROADCAST_ROWS).alias("l")
     docs = docs.drop("n_symbols", "bits", "perplexity", "threshold", "kept")
