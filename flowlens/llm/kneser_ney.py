@@ -9,7 +9,8 @@ one further symbol in the uniform distribution at the bottom.
 Texts are scored by joins with the sharded tables; nothing of them is broadcast or reaches the driver but a few sums. Rows
 are packed into chunks of about ``CHUNK_BYTES`` of text and written once. A chunk asks for each of its distinct n-grams a single
 time, whatever the number of documents and repeats that hold it; the answers (probability, and weight as a context) meet
-the rows of the chunk again by its number, and each document sums its own bits. A common n-gram is asked for once a
+the rows of the chunk again by its number, and each document sums its own bits. The chunks lie in buckets, so their
+texts are not shuffled. A common n-gram is asked for once a
 chunk, so no key is hotter than the number of chunks, and copies of a text lie in the chunks of the tasks that read them.
 
 A text is kept if its bits per symbol do not exceed the threshold of its language: with the quantiles
@@ -31,10 +32,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from flowlens.llm.batches import column, text_chunks, tidied
 from flowlens.runtime import column as named
-from flowlens.runtime import materialise, small_side
+from flowlens.runtime import materialise, scratch_path, small_side
 
 ORDER, BITS = 4, 16
 SLACK = 2.0
@@ -168,26 +170,40 @@ def train(trusted: DataFrame, text_col: str = "text") -> Model | None:
 
 
 def _packed(text_col: str):
-    """Rows as compressed Arrow streams of about PACK_BYTES of text, numbered by chunk."""
+    """Rows as compressed Arrow streams of about PACK_BYTES of text, numbered by chunk and place in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, size = TaskContext.get().partitionId() << 32, 0
+        chunk, place, size = TaskContext.get().partitionId() << 32, 0, 0
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
             for a, b, data, _ in text_chunks(column(pa.Table.from_batches([batch]), text_col), PACK_BYTES):
                 if size and size + len(data) > CHUNK_BYTES:
-                    chunk, size = chunk + 1, 0
+                    chunk, place, size = chunk + 1, 0, 0
                 size += len(data)
                 sink = pa.BufferOutputStream()
                 # a slice is written with its own rows only
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
                     writer.write_batch(batch.slice(a, b - a))
                 packed = pa.array([sink.getvalue().to_pybytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), packed], names=["chunk", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([place], pa.int32()), packed], names=["chunk", "place", "rows"])
+                place += 1
 
     return work
 
 
+def packed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(chunk, place, rows): the table written once, in buckets by chunk, so that what belongs to a chunk is joined to it without
+    moving its texts. Buckets follow from the bytes of text: one for each chunk, at most 100,000."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(named(text_col)).cast("bigint"))).first()[0] or 0
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // CHUNK_BYTES + 1), 100_000)
+    path = scratch_path(spark, "packs")
+    name = "packs_" + path.rsplit("-", 1)[1]
+    packs = docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, place int, rows binary")
+    packs.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def _unpacked(rows: pa.Array) -> Iterator[pa.RecordBatch]:
     for packed in rows:
         yield from pa.ipc.open_stream(packed.as_buffer())
@@ -242,7 +258,9 @@ def _bits(grams_: np.ndarray, answers: dict[int, tuple[np.ndarray, np.ndarray, n
     return total
 
 
-def _scoring(text_col: str, unseen: float):
+def _scoring(text_col: str, kept: list[str], unseen: float):
+    """Size and bits of the rows of a chunk from the answers to what it asked, beside the columns ``kept``."""
+
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         orders, every = right.column("k").to_numpy(), right.column("gram").to_numpy()
         values = [right.column(c).to_numpy().astype(np.float32) for c in ("bits", "weight")]
@@ -252,31 +270,69 @@ def _scoring(text_col: str, unseen: float):
             at = at[np.argsort(every[at])]
             answers[k] = (every[at], *[v[at] for v in values])
         out = []
-        for rows in _unpacked(left.column("rows").combine_chunks()):
-            size, total = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows)
-            for a, b, data, offsets in text_chunks(column(pa.Table.from_batches([rows]), text_col)):
-                if len(data):
-                    symbols, places = units(data, offsets)
-                    size[a:b] = np.diff(places)
-                    doc = np.repeat(np.arange(b - a), size[a:b])
-                    total[a:b] = np.bincount(doc, weights=_bits(grams(symbols, places), answers, unseen), minlength=b - a)
-            mean = pa.array(np.round(total / np.maximum(size, 1), 6), mask=size == 0)
-            out.append(pa.RecordBatch.from_arrays([*rows.columns, pa.array(size), mean], names=[*rows.schema.names, "n_symbols", "bits"]))
-        return pa.Table.from_batches(out)
+        for i, (chunk, place) in enumerate(zip(left.column("chunk").to_pylist(), left.column("place").to_pylist())):
+            first = 0
+            for rows in _unpacked(left.column("rows").slice(i, 1).combine_chunks()):
+                size, total = np.zeros(rows.num_rows, dtype=np.int64), np.zeros(rows.num_rows)
+                for a, b, data, offsets in text_chunks(column(pa.Table.from_batches([rows]), text_col)):
+                    if len(data):
+                        symbols, places = units(data, offsets)
+                        size[a:b] = np.diff(places)
+                        doc = np.repeat(np.arange(b - a), size[a:b])
+                        total[a:b] = np.bincount(doc, weights=_bits(grams(symbols, places), answers, unseen), minlength=b - a)
+                mean = pa.array(np.round(total / np.maximum(size, 1), 6), mask=size == 0)
+                same = [pa.array(np.full(rows.num_rows, v, dtype=t)) for v, t in ((chunk, np.int64), (place, np.int32))]
+                row = pa.array(np.arange(first, first + rows.num_rows))
+                values_ = [*same, row, pa.array(size), mean, *[column(pa.Table.from_batches([rows]), c) for c in kept]]
+                out.append(pa.Table.from_arrays(values_, names=["chunk", "place", "row", "n_symbols", "bits", *[f"kept{j}" for j in range(len(kept))]]))
+                first += rows.num_rows
+        return pa.concat_tables(out)
 
     return work
 
 
+def _attached(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The rows of a chunk with their sizes and bits."""
+    right = right.sort_by([("place", "ascending"), ("row", "ascending")])
+    left = left.sort_by("place")
+    out, first = [], 0
+    for rows in _unpacked(left.column("rows").combine_chunks()):
+        own = right.slice(first, rows.num_rows)
+        first += rows.num_rows
+        arrays = [*rows.columns, column(own, "n_symbols"), column(own, "bits")]
+        out.append(pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, "n_symbols", "bits"]))
+    return pa.Table.from_batches(out)
+
+
+def bits_of(packs: DataFrame, docs: DataFrame, model: Model, text_col: str, kept: list[str]) -> DataFrame:
+    """(chunk, place, row, n_symbols, bits, kept0, ...) of the rows of ``docs`` that ``packs`` hold, written once; no texts."""
+    asked = packs.mapInArrow(tidied(_asked(text_col)), "k int, gram bigint, chunk bigint")
+    answers = asked.join(model.table, ["k", "gram"]).select("chunk", "k", "gram", "bits", "weight")
+    blank = StructType.fromDDL("chunk bigint, place int, row bigint, n_symbols bigint, bits double")
+    for j, c in enumerate(kept):
+        blank = blank.add(f"kept{j}", docs.schema[c].dataType)
+    found = packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scoring(text_col, kept, model.unseen), blank)
+    return materialise(found, "bits")
+
+
+def with_bits(packs: DataFrame, bits: DataFrame, docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` with ``n_symbols`` and ``bits``."""
+    schema = docs.select("*", F.lit(0).cast("bigint").alias("n_symbols"), F.lit(None).cast("double").alias("bits")).schema
+    sizes = bits.select("chunk", "place", "row", "n_symbols", "bits")
+    return packs.groupBy("chunk").cogroup(sizes.groupBy("chunk")).applyInArrow(_attached, schema)
+
+
+def unscored(docs: DataFrame, text_col: str) -> DataFrame:
+    size = F.floor(F.octet_length(F.encode(named(text_col), "UTF-16LE")) / 2).cast("bigint")
+    return docs.select("*", F.coalesce(size, F.lit(0).cast("bigint")).alias("n_symbols"), F.lit(None).cast("double").alias("bits"))
+
+
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``n_symbols`` and ``bits`` (per symbol; null without symbols or model)."""
-    size = F.floor(F.octet_length(F.encode(named(text_col), "UTF-16LE")) / 2).cast("bigint")
-    blank = docs.select("*", F.coalesce(size, F.lit(0).cast("bigint")).alias("n_symbols"), F.lit(None).cast("double").alias("bits"))
     if model is None:
-        return blank
-    packs = materialise(docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, rows binary"), "packs")
-    asked = packs.mapInArrow(tidied(_asked(text_col)), "k int, gram bigint, chunk bigint")
-    answers = asked.join(model.table, ["k", "gram"]).select("chunk", "k", "gram", "bits", "weight")
-    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scoring(text_col, model.unseen), blank.schema)
+        return unscored(docs, text_col)
+    packs = packed(docs, text_col)
+    return with_bits(packs, bits_of(packs, docs, model, text_col, []), docs)
 
 
 def language_limits(trusted: DataFrame, lang_col: str = "lang") -> DataFrame:
@@ -303,14 +359,20 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     label = labels.select(named(label_id).alias("__id"), (named(label_col) == F.lit(trusted_value)).alias("__good"))
     label = label.where("__id IS NOT NULL").groupBy("__id").agg(F.min(F.coalesce("__good", F.lit(False))).alias("__good"))
     label = small_side(label.where("__good").select("__id"), BROADCAST_ROWS)
-    trusted = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
-    trusted = materialise(trusted.join(label, F.col("id") == F.col("__id"), "left_semi").select("text", "lang"), "trusted")
-    model = train(trusted)
-    limits = materialise(language_limits(materialise(scored(trusted, model).select("lang", "bits"), "trusted_bits")), "limits")
+    docs = docs.drop("n_symbols", "bits", "perplexity", "threshold", "kept")
+    good = F.col("id") == F.col("__id")
+    model = train(docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(label, good, "left_semi"))
+    if model is None:
+        limits, rows = language_limits(unscored(docs.limit(0), text_col), lang_col), unscored(docs, text_col)
+    else:
+        packs = packed(docs, text_col)
+        bits = bits_of(packs, docs, model, text_col, [id_col, lang_col])
+        trusted = bits.select(F.col("kept0").alias("id"), F.col("kept1").alias("lang"), "bits").join(label, good, "left_semi")
+        limits, rows = language_limits(trusted), with_bits(packs, bits, docs)
+    limits = materialise(limits, "limits")
     every = limits.where("lang IS NULL").first()
     one = small_side(limits.where("lang IS NOT NULL"), BROADCAST_ROWS).alias("l")
-    docs = docs.drop("n_symbols", "bits", "perplexity", "threshold", "kept")
-    found = scored(docs, model, text_col).alias("d").join(one, named_in("d", lang_col) == F.col("l.lang"), "left")
+    found = rows.alias("d").join(one, named_in("d", lang_col) == F.col("l.lang"), "left")
     q50, q95 = (F.coalesce(f"l.{q}", F.lit(every[q] if every else None).cast("double")) for q in ("q50", "q95"))
     limit = q95 + (q95 - q50) * (F.lit(SLACK) + F.lit(SHORT) / F.sqrt(F.greatest(F.col("d.n_symbols"), F.lit(1))))
     kept = (F.col("d.n_symbols") > 0) & F.coalesce(F.col("d.bits") <= limit, F.lit(True))
