@@ -1,9 +1,11 @@
 """Plans stay what they should be at scale: pruned scans, no cross joins, no needless shuffles."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.catalog.views import flows, items, wide
 from flowlens.operators import cleaning, features, profile, sampling
+from flowlens.plans import forests
 from flowlens.runtime import materialise, scratch_path, scratch_root, small_side
 
 
@@ -96,3 +98,13 @@ def test_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         scratch_root(Session())
+
+
+def test_forests_read_few_partitions_whatever_the_rows(spark):
+    """Each partition sends all open nodes of all trees, so their number must not follow the rows."""
+    rows = spark.range(60_000).select(F.col("id").alias("key"), F.rand(1).alias("x"))
+    with forests.hold(rows, ["key"], at_once=12) as held:
+        assert held.rdd.getNumPartitions() == 3
+        assert held.count() == 60_000
+    assert [forests.forest_partitions(n) for n in (1_000, 480_000, 4_800_000, 29_000_000)] == [1, 12, 20, 116]
+    assert forests.forest_partitions(670_000, 4) == 3
