@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from flowlens.operators.near_join import ROUNDS, near_in_class
+from flowlens.operators.near_join import ROUNDS, _Close, near_in_class, nearest_rows
 from flowlens.operators.neighbours import nearest_in_class
 from flowlens.operators.smote import smote
 
@@ -158,3 +158,17 @@ def test_small_classes_are_exact(spark):
     want = _brute(rows, 5)
     for i, c, *x in rows:
         assert [j for j in found[(c, tuple(v + 0.0 for v in x))] if j != i][:5] == want[i]
+
+
+def test_only_near_pairs_are_measured_and_none_is_missed():
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1.0, 0.0), (1.0, 1e9), (1e-170, 0.0), (1e160, 0.0)):
+        points = np.round(rng.uniform(0, 50, (900, 23)), 1) * scale + shift
+        row, other, d2 = nearest_rows(points[:60], points, 6)
+        with np.errstate(over="ignore"):
+            every = sum((points[:60, j, None] - points[None, :, j]) ** 2 for j in range(23))
+        order = np.lexsort((np.broadcast_to(np.arange(900), every.shape), every), axis=1)[:, :6]
+        assert row.tolist() == np.repeat(np.arange(60), 6).tolist() and other.tolist() == order.ravel().tolist()
+        assert np.array_equal(d2, np.take_along_axis(every, order, 1).ravel())
+    measured, _ = _Close(points := rng.uniform(0, 50, (4096, 23)), 6).pairs(points[:200])
+    assert len(measured) < 200 * 20
