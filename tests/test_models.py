@@ -166,6 +166,13 @@ def test_groups_follow_the_rows():
     assert ae.groups_of(10**9, training) == (10**7, 156_250)
 
 
+def test_tasks_of_an_epoch_hold_several_groups_of_a_large_table():
+    training = ae.Training()
+    assert [ae.tasks_of(n, training) for n in (0, 8_193, 192 * 8_192, 360_000 * 60)] == [1, 2, 192, 192]
+    assert ae.tasks_of(10**9, training) == 3_815
+    assert ae.tasks_of(10**6, training) == ae.groups_of(10**6, training)[1]
+
+
 def test_many_groups_of_equal_rows_learn_alike(spark, clean):
     """Sums over more tasks than one step adds up; a key deals equal rows out; the layout does not matter."""
     names = ["f_value", "f_k", "f_dirty"]
