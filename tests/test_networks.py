@@ -90,3 +90,18 @@ def test_minimisers_reach_the_least_place():
     assert lbfgs(bowl, np.zeros(3), 50, 1e-9) == pytest.approx([2.0] * 3, abs=1e-4)
     assert gradient_descent(bowl, np.zeros(3), 3000, 1e-9, 0.015) == pytest.approx([2.0] * 3, abs=1e-4)
     assert (lbfgs(bowl, np.full(3, 2.0), 5, 1e-9) == 2.0).all()
+
+
+def test_sweep_holds_its_tables_once(rows, monkeypatch):
+    calls, hold = [], networks.hold_tables
+    monkeypatch.setattr(networks, "hold_tables", lambda *args: calls.append(args[-1]) or hold(*args))
+    short = networks.Training(rounds=2, iterations=3)
+    other = networks.Training(rounds=2, iterations=3, block=64)
+    candidates = {"a": ([4], short), "b": ([3], other), "c": ([5, 4], short)}
+    found = networks.sweep_networks(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), NAMES, "code", 3, candidates).collect()
+    assert calls == [1024, 64]
+    assert [(r["name"], r["widths"]) for r in found] == [("a", "4"), ("b", "3"), ("c", "5-4")]
+    for r in found:
+        widths, training = candidates[r["name"]]
+        alone = networks.fit_network(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), NAMES, "code", 3, widths, training)
+        assert (r["rounds"], r["best_loss"]) == (len(alone.losses), pytest.approx(alone.best_loss, rel=1e-9))
