@@ -7,7 +7,7 @@ totals and probabilities follow from joins of the sharded tables on contexts and
 one further symbol in the uniform distribution at the bottom.
 
 Texts are scored by joins with the sharded tables; nothing of them is broadcast or reaches the driver but a few sums. Rows
-are packed into chunks of about ``CHUNK_BYTES`` of text and written once. A chunk asks for each of its distinct n-grams a single
+are packed into chunks of about ``CHUNK_BYTES`` of text and written once, in buckets by chunk, so the packed texts are never shuffled. A chunk asks for each of its distinct n-grams a single
 time, whatever the number of documents and repeats that hold it; the answers (probability, and weight as a context) meet
 the rows of the chunk again by its number, and each document sums its own bits. A common n-gram is asked for once a
 chunk, so no key is hotter than the number of chunks, and copies of a text lie in the chunks of the tasks that read them.
@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.batches import column, text_chunks, tidied
 from flowlens.runtime import column as named
-from flowlens.runtime import materialise, small_side
+from flowlens.runtime import bucketed, materialise, small_side
 
 ORDER, BITS = 4, 16
 SLACK = 2.0
 SHORT = 40.0
 #: Text that asks for its n-grams together, and text of one packed row.
 CHUNK_BYTES, PACK_BYTES = 32 << 20, 1 << 20
+#: Level of its compression: 1 leaves 11.7 MB of the documents of sf0.1, 3 leaves 10.2, 6 and more 9.5 to 9.2 in thrice the time.
+PACK_LEVEL = 3
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
 #: Bits per symbol are binned this fine for the quantiles.
@@ -172,7 +174,7 @@ def _packed(text_col: str):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 32, 0
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PACK_LEVEL))
         for batch in batches:
             for a, b, data, _ in text_chunks(column(pa.Table.from_batches([batch]), text_col), PACK_BYTES):
                 if size and size + len(data) > CHUNK_BYTES:
@@ -273,7 +275,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
     blank = docs.select("*", F.coalesce(size, F.lit(0).cast("bigint")).alias("n_symbols"), F.lit(None).cast("double").alias("bits"))
     if model is None:
         return blank
-    packs = materialise(docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, rows binary"), "packs")
+    packs = bucketed(docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, rows binary"), "chunk", "packs")
     asked = packs.mapInArrow(tidied(_asked(text_col)), "k int, gram bigint, chunk bigint")
     answers = asked.join(model.table, ["k", "gram"]).select("chunk", "k", "gram", "bits", "weight")
     return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scoring(text_col, model.unseen), blank.schema)
@@ -304,7 +306,8 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     label = label.where("__id IS NOT NULL").groupBy("__id").agg(F.min(F.coalesce("__good", F.lit(False))).alias("__good"))
     label = small_side(label.where("__good").select("__id"), BROADCAST_ROWS)
     trusted = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).alias("lang"))
-    trusted = materialise(trusted.join(label, F.col("id") == F.col("__id"), "left_semi").select("text", "lang"), "trusted")
+    # read twice, as written once it would take as much disk as its packs
+    trusted = trusted.join(label, F.col("id") == F.col("__id"), "left_semi").select("text", "lang")
     model = train(trusted)
     limits = materialise(language_limits(materialise(scored(trusted, model).select("lang", "bits"), "trusted_bits")), "limits")
     every = limits.where("lang IS NULL").first()

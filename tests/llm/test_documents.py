@@ -381,6 +381,23 @@ def test_scripts_are_told_apart(spark):
     assert all(bits[k, 0] + 1 < bits[k, 1] for k in range(4))
 
 
+def test_texts_are_written_once_and_never_shuffled(spark, monkeypatch):
+    """Of the texts only packs are written, and scoring shuffles the answers alone, also with several chunks to a bucket."""
+    monkeypatch.setattr(kneser_ney, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(kneser_ney, "PACK_BYTES", 100)
+    written = []
+    write = kneser_ney.materialise
+    monkeypatch.setattr(kneser_ney, "materialise", lambda df, *name: written.extend(df.columns) or write(df, *name))
+    docs = spark.createDataFrame([(i % 90, brute.prose(i, 20), "en") for i in range(120)], "doc_id int, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id int, quality int")
+    got = kneser_ney.judge_perplexity(docs, labels)
+    assert "text" not in written and "rows" not in written
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk") == 1
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("packs")]
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
+
+
 def test_texts_are_scored_by_joins(spark):
     model = kneser_ney.train(spark.createDataFrame([(brute.prose(1, 30),)], "text string"))
     plan = kneser_ney.scored(spark.createDataFrame([(1, "w1 w2")], "k int, text string"), model)._jdf.queryExecution().optimizedPlan().toString()
