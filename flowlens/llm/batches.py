@@ -22,10 +22,27 @@ def tidied(work: Work) -> Work:
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Memory that is no longer used goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied_groups(work: Callable[..., pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``tidied`` for the function of two groups of one key."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return work(left, right)
+        finally:
+            give_back()
 
     return run
 

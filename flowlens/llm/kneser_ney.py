@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.llm.batches import column, text_chunks, tidied
+from flowlens.llm.batches import column, text_chunks, tidied, tidied_groups
 from flowlens.runtime import column as named
 from flowlens.runtime import bucketed, materialise, small_side
 
@@ -278,7 +278,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text") -> Data
     packs = bucketed(docs.mapInArrow(tidied(_packed(text_col)), "chunk bigint, rows binary"), "chunk", "packs")
     asked = packs.mapInArrow(tidied(_asked(text_col)), "k int, gram bigint, chunk bigint")
     answers = asked.join(model.table, ["k", "gram"]).select("chunk", "k", "gram", "bits", "weight")
-    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scoring(text_col, model.unseen), blank.schema)
+    return packs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidied_groups(_scoring(text_col, model.unseen)), blank.schema)
 
 
 def language_limits(trusted: DataFrame, lang_col: str = "lang") -> DataFrame:

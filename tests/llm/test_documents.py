@@ -398,6 +398,28 @@ def test_texts_are_written_once_and_never_shuffled(spark, monkeypatch):
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
 
 
+def test_scoring_leaves_no_memory_with_idle_workers(spark):
+    """Each chunk's arrays go back to the system once it is scored."""
+    import numpy as np
+    import pyarrow as pa
+
+    from flowlens.llm.batches import tidied_groups
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(left, right):
+        held = [np.ones(6_000) for _ in range(4_000)]
+        kept.append(held[-1])  # the top of the heap stays in use, so it doesn't shrink by itself
+        return pa.table({"n": [len(held)]})
+
+    kept = []
+    before = resident()
+    assert tidied_groups(work)(None, None).column("n").to_pylist() == [4_000]
+    assert resident() - before < 60 << 20
+
+
 def test_texts_are_scored_by_joins(spark):
     model = kneser_ney.train(spark.createDataFrame([(brute.prose(1, 30),)], "text string"))
     plan = kneser_ney.scored(spark.createDataFrame([(1, "w1 w2")], "k int, text string"), model)._jdf.queryExecution().optimizedPlan().toString()
