@@ -41,7 +41,7 @@ SLACK = 2.0
 SHORT = 40.0
 #: Text that asks for its n-grams together, and text of one packed row.
 CHUNK_BYTES, PACK_BYTES = 32 << 20, 1 << 20
-#: Level of its compression: 1 leaves 11.7 MB of the documents of sf0.1, 3 leaves 10.2, 6 and more 9.5 to 9.2 in thrice the time.
+#: Level of its compression: 1 leaves 11.7 MB of the documents of sf0.1, 3 leaves 10.2, 6 leaves 9.5 in 2.6 times the time of 3.
 PACK_LEVEL = 3
 #: Distinct n-grams that a counting task holds before it hands them on.
 HELD = 1 << 21
