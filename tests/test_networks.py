@@ -105,3 +105,19 @@ def test_sweep_holds_its_tables_once(rows, monkeypatch):
         widths, training = candidates[r["name"]]
         alone = networks.fit_network(rows.where("id % 3 > 0"), rows.where("id % 3 = 0"), NAMES, "code", 3, widths, training)
         assert (r["rounds"], r["best_loss"]) == (len(alone.losses), pytest.approx(alone.best_loss, rel=1e-9))
+
+
+def test_measures_are_those_of_a_network_trained_as_planned(spark, sf_dir, monkeypatch):
+    """The query trains at the settings of the plan, not at a few steps of it."""
+    from flowlens.catalog import model_queries
+
+    seen = []
+
+    def fitted(train, valid, features, code, classes, widths=None, training=networks.Training()):
+        seen.append((widths, training))
+        raise InterruptedError
+
+    monkeypatch.setattr(networks, "fit_network", fitted)
+    with pytest.raises(InterruptedError):
+        model_queries.network_measures(spark, sf_dir)
+    assert seen == [(None, networks.Training(rounds=50, iterations=20, patience=20))]
