@@ -327,23 +327,20 @@ def fit_one_hot(
     train: DataFrame, features: list[str], classes: list[str],
     size: ForestSize = ForestSize(trees=200, depth=DEEPEST, min_leaf=20, bins=128), label: str = "label", key: str | None = None,
 ) -> dict[str, PipelineModel]:
-    """One regression per class on its 0/1 column, over rows that are laid out and held once."""
-
-    def fit(held: DataFrame, name: str) -> PipelineModel:
-        rows = held.select(*[column(f) for f in features], one_vs_rest(column(label), name).cast("double").alias("target"))
-        return fit_held_regressor(rows, features, "target", size)[0]
-
-    keys = [key] if key else None
-    with hold(train.select(*[column(n) for n in [*features, label, *(keys or [])]]), keys, len(classes)) as held:
-        return side_by_side(train.sparkSession, {c: (lambda c=c: fit(held, c)) for c in classes})
+    """One regression per class on its 0/1 column, over rows that are laid out and cut into bins once."""
+    known = class_names(train, label)
+    forests = {c: Wanted(features, [int(k == c) for k in known]) for c in classes}
+    return _fit_labelled(train, forests, label, known, key, size, regression=True, flag="target")
 
 
 def score_one_hot(df: DataFrame, models: dict[str, PipelineModel], prefix: str = "score_") -> DataFrame:
     """Each class's regression output beside the rows and the class with the largest one."""
-    kept = df.columns
-    for name, model in models.items():
-        df = model.transform(df).select(*[column(c) for c in kept], column("prediction").alias(prefix + name))
-        kept = df.columns
+    forests = {prefix + name: stored(model) for name, model in models.items()}
+    if all(forests.values()):
+        df = scored(spread(df), forests)
+    else:
+        for name, model in models.items():
+            df = model.transform(df).select(*[column(c) for c in df.columns], column("prediction").alias(prefix + name))
     scores = F.array(*[column(prefix + c) for c in models])
     names = F.array(*[F.lit(c) for c in models])
     return df.withColumn("prediction", F.element_at(names, argmax(scores) + 1))

@@ -125,6 +125,14 @@ def _own(model):
     return model
 
 
+def test_one_hot_scores_are_the_library_s(rows):
+    models = forests.fit_one_hot(rows, NAMES, ["bad", "odd"], SIZE, key="id")
+    quick = {r["id"]: r for r in forests.score_one_hot(rows, models).collect()}
+    told = forests.score_one_hot(rows, {n: _own(m) for n, m in models.items()}).collect()
+    for r in told:
+        assert [quick[r["id"]][c] for c in ("score_bad", "score_odd")] == pytest.approx([r["score_bad"], r["score_odd"]], abs=1e-12)
+
+
 def test_forest_is_as_good_as_the_library_s(rows):
     size = forests.ForestSize(trees=30, depth=10, min_leaf=3, bins=32)
     train, test = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
