@@ -311,8 +311,23 @@ def _flagged(df: DataFrame, key: str, names: list[str], label: str) -> DataFrame
 
 
 def _fit_flag(parts: DataFrame, key: str, features: list[str], size: ForestSize) -> Fitted:
-    model, seconds = fit_classifier(parts.where("split = 'train'"), features, "flag", size, keys=[key])
-    return Fitted(model, parts.where("split = 'test'").drop("split"), seconds)
+    start = time.monotonic()
+    train = parts.where("split = 'train'").select(*[column(f) for f in features], "flag", column(key))
+    with hold(train, [key]) as held:
+        table = binned(held, features, "flag", size.bins)
+    model = grown(table, parts.sparkSession, {"flag": Wanted(features, [0, 1])}, size.settings())["flag"]
+    return Fitted(model, parts.where("split = 'test'").drop("split"), time.monotonic() - start)
+
+
+def flag_scores(fitted: Fitted) -> DataFrame:
+    """``flag, prediction, rawPrediction`` of the test rows; a forest grown here gives the probability of class 1 as its raw prediction."""
+    forest = stored(fitted.model)
+    if forest is None:
+        told = fitted.model.transform(fitted.test)
+    else:
+        told = scored(spread(fitted.test.select(*[column(f) for f in forest.features], "flag")), {"rawPrediction": forest})
+        told = told.withColumn("prediction", (F.col("rawPrediction") > 0.5).cast("int"))
+    return told.select(F.col("flag").cast("int").alias("flag"), F.col("prediction").cast("int").alias("prediction"), "rawPrediction")
 
 
 # All classes at once ---------------------------------------------------------------------------

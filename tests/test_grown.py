@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from flowlens.functions import trees
+from flowlens.operators import evaluation
 from flowlens.plans import forests, grown
 from flowlens.runtime import scratch_path
 from flowlens.sources.models import load_model, save_model
@@ -133,6 +134,15 @@ def test_one_hot_scores_are_the_library_s(rows):
         assert [quick[r["id"]][c] for c in ("score_bad", "score_odd")] == pytest.approx([r["score_bad"], r["score_odd"]], abs=1e-12)
 
 
+def test_scores_of_a_benign_model_are_the_library_s(rows):
+    fitted = forests.fit_benign(rows, "id", NAMES, SIZE)
+    assert fitted.seconds > 0
+    quick, told = (forests.flag_scores(f) for f in (fitted, forests.Fitted(_own(forests.fit_benign(rows, "id", NAMES, SIZE).model), fitted.test, 0.0)))
+    assert quick.dtypes[2] == ("rawPrediction", "double") and told.dtypes[2] == ("rawPrediction", "vector")
+    assert evaluation.auc_of(quick) == pytest.approx(evaluation.auc_of(told), abs=1e-9)
+    assert evaluation.report(quick, "flag", "prediction").orderBy("class").collect() == evaluation.report(told, "flag", "prediction").orderBy("class").collect()
+
+
 def test_forest_is_as_good_as_the_library_s(rows):
     size = forests.ForestSize(trees=30, depth=10, min_leaf=3, bins=32)
     train, test = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
