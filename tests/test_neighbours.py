@@ -172,3 +172,18 @@ def test_only_near_pairs_are_measured_and_none_is_missed():
         assert np.array_equal(d2, np.take_along_axis(every, order, 1).ravel())
     measured, _ = _Close(points := rng.uniform(0, 50, (4096, 23)), 6).pairs(points[:200])
     assert len(measured) < 200 * 20
+
+
+def test_orders_are_not_written_to_storage(spark, monkeypatch):
+    """Of each order only what was found is kept, not the points again."""
+    from flowlens.operators import near_join
+
+    written = []
+    write = near_join.materialise
+    monkeypatch.setattr(near_join, "materialise", lambda df, name="table": written.append((name, df.columns)) or write(df, name))
+    rng = random.Random(6)
+    rows = [(i, "a", *(rng.random() for _ in range(6))) for i in range(400)]
+    df = spark.createDataFrame(rows, "flow_id bigint, label string, " + ", ".join(f"x{j} double" for j in range(6)))
+    found = near_in_class(df, "flow_id", [f"x{j}" for j in range(6)], 5, bucket_rows=60)
+    assert found.orders > 1 and found.recall >= 0.95
+    assert [name for name, columns in written if "x" in columns] == ["points"]
